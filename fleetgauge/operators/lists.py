@@ -1,0 +1,31 @@
+"""Lists of bounded length.
+
+A list per group is only safe while groups are small, and nothing here says they are. These
+helpers split a large group's values over as many parts as its size asks for; a group that
+fits has the one part 0. Every value lands in exactly one part.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PER_PART = 200
+
+
+def spread(value: Column) -> Column:
+    """A whole number taken from a text, evenly spread and stable across runs."""
+    return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("bigint")
+
+
+def with_parts(df: DataFrame, keys: list[str], value: str, per_part: int = PER_PART) -> DataFrame:
+    """Add `part` and `parts`: which of its group's parts a row belongs to.
+
+    Sizes come from a partial aggregate, so a group with a large share of the rows costs one
+    counter per task; joining the sizes back is an equality join that adaptive execution
+    splits where a key is heavy.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, F.ceil(F.col("_n") / per_part).alias("parts")
+    )
+    return df.join(sizes, keys).withColumn("part", F.pmod(spread(F.col(value)), F.col("parts")))
