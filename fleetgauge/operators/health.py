@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetgauge import constants as C
 from fleetgauge.functions import text as X
 from fleetgauge.functions.links import run_url
-from fleetgauge.operators.lists import PER_PART, spread
+from fleetgauge.operators.lists import PER_PART, with_parts
 from fleetgauge.operators.matching import last_entry_wins
 from fleetgauge.session import bounded_broadcast
 
@@ -148,10 +148,7 @@ def comments(
     Nearly every resource has part 0 only, holding all its lines in order. A resource with
     very many failed runs has further parts with the rest of those lines.
     """
-    sizes = noted.groupBy(*ENTRY).agg(F.ceil(F.count(F.lit(1)) / per_part).alias("parts"))
-    placed = noted.join(sizes, ENTRY).select(
-        *ENTRY, F.pmod(spread(F.col("line")), F.col("parts")).alias("part"), "section", "line"
-    )
+    placed = with_parts(noted, ENTRY, "line", per_part).select(*ENTRY, "part", "section", "line")
     first = standing_comments(health).withColumn("part", F.lit(0).cast("bigint"))
     everything = placed.unionByName(first)
     return everything.groupBy(*ENTRY, "part").agg(

@@ -19,7 +19,7 @@ def spread(value: Column) -> Column:
 
 
 def with_parts(df: DataFrame, keys: list[str], value: str, per_part: int = PER_PART) -> DataFrame:
-    """Add `part` and `parts`: which of its group's parts a row belongs to.
+    """Add `part`: which of its group's parts a row belongs to, from 0.
 
     Sizes come from a partial aggregate, so a group with a large share of the rows costs one
     counter per task; joining the sizes back is an equality join that adaptive execution
@@ -28,4 +28,4 @@ def with_parts(df: DataFrame, keys: list[str], value: str, per_part: int = PER_P
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
         *keys, F.ceil(F.col("_n") / per_part).alias("parts")
     )
-    return df.join(sizes, keys).withColumn("part", F.pmod(spread(F.col(value)), F.col("parts")))
+    return df.join(sizes, keys).withColumn("part", F.pmod(spread(F.col(value)), F.col("parts"))).drop("parts")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
 from fleetgauge.functions.globs import glob_to_regex, has_glob, literal_prefix, name_prefixes
+from fleetgauge.operators.lists import with_parts
 from fleetgauge.session import bounded_broadcast
 
 _PREFIX = 6
@@ -149,12 +150,14 @@ def with_delivery_method(df: DataFrame, methods: DataFrame) -> DataFrame:
 def delivery_options(matches: DataFrame, recipients: DataFrame, methods: DataFrame) -> DataFrame:
     """Recipients per resource and delivery method, for alerts.
 
-    Lists hold configured recipients only, once per resource, however many events there are.
+    Worked out once per resource, however many events there are. A very long list comes in
+    parts, each a delivery of its own.
     """
     keys = [c for c in matches.columns if c != "group_name"]
     chosen = recipients_for(matches, recipients, "alert")
-    lists = chosen.groupBy(*keys, "delivery_method").agg(
-        F.sort_array(F.collect_set("recipient")).alias("recipients")
+    group = [*keys, "delivery_method"]
+    lists = with_parts(chosen, group, "recipient").groupBy(*group, "part").agg(
+        F.sort_array(F.collect_list("recipient")).alias("recipients")
     )
     return with_delivery_method(lists, methods)
 
@@ -170,11 +173,15 @@ def recipient_groups(recipients: DataFrame, kind: str) -> DataFrame:
 
 
 def group_recipients(recipients: DataFrame, methods: DataFrame) -> DataFrame:
-    """Recipients who share delivery method and group set, as one digest audience."""
+    """Recipients who share delivery method and group set, as one digest audience.
+
+    A very long list of recipients comes in parts, each an audience of its own.
+    """
     wanted = recipient_groups(recipients, "digest").withColumn(
         "monitoring_groups", F.sort_array("monitoring_groups")
     )
-    shared = wanted.groupBy("delivery_method", "monitoring_groups").agg(
+    group = ["delivery_method", "monitoring_groups"]
+    shared = with_parts(wanted, group, "recipient").groupBy(*group, "part").agg(
         F.sort_array(F.collect_list("recipient")).alias("recipients")
     )
     return with_delivery_method(shared, methods)

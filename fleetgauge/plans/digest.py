@@ -97,9 +97,9 @@ def catalog_tables(summary: DataFrame, health: DataFrame) -> DataFrame:
     return summary_rows.unionByName(resource_rows)
 
 
-def audience_id(delivery_method: Column, groups: Column) -> Column:
+def audience_id(delivery_method: Column, groups: Column, part: Column) -> Column:
     """A stable message group for an audience."""
-    key = F.concat_ws("\u0000", delivery_method, F.array_join(groups, "\u0001"))
+    key = F.concat_ws("\u0000", delivery_method, F.array_join(groups, "\u0001"), part.cast("string"))
     return F.concat(F.lit("digest_group_"), F.substring(F.md5(key), 1, 16))
 
 
@@ -180,7 +180,8 @@ def report_body(rows: DataFrame, audiences: DataFrame, start: datetime, end: dat
 
 def with_audience(audiences: DataFrame) -> DataFrame:
     return audiences.withColumn(
-        "audience", audience_id(F.col("delivery_method"), F.col("monitoring_groups"))
+        "audience",
+        audience_id(F.col("delivery_method"), F.col("monitoring_groups"), F.col("part")),
     )
 
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from workbench import catalogue_collect  # noqa: F401
+from workbench import catalogue_collect, catalogue_config, catalogue_explore  # noqa: F401
 from workbench.registry import SPARK, SQL  # noqa: F401
