@@ -16,6 +16,7 @@ from fleetgauge.operators.matching import (
     expand_wildcards, group_recipients, with_account,
 )
 from fleetgauge.operators.progress import union_types
+from fleetgauge.session import settle
 from fleetgauge.sources.settings import Settings
 
 HEADING, SUMMARY, CATALOG_SUMMARY, DETAIL = 0, 1, 2, 3
@@ -204,15 +205,19 @@ def digest(
     end: datetime,
     match_env: bool = True,
 ) -> DataFrame:
-    """Reports of a period. `config` holds expanded entries with account and region."""
+    """Reports of a period. `config` holds expanded entries with account and region.
+
+    Health has one row per configured resource and is used by every table of the report, so
+    it is worked out once.
+    """
     with_runs = config.filter(F.col("resource_type") != C.GLUE_CATALOGS)
     runs = all_runs(metrics_by_type, start, end)
-    health = H.resource_health(runs, with_runs, match_env)
+    health = settle(H.resource_health(runs, with_runs, match_env), "health")
     notes = H.comments(health, H.run_comments(runs, with_runs, match_env))
     rows = generic_tables(H.group_summary(health), health, notes)
     if C.GLUE_CATALOGS in metrics_by_type:
         deltas = digest_runs(metrics_by_type[C.GLUE_CATALOGS], C.GLUE_CATALOGS, start, end)
-        catalogs = H.catalog_health(deltas, config, match_env)
+        catalogs = settle(H.catalog_health(deltas, config, match_env), "catalog-health")
         rows = rows.unionByName(catalog_tables(H.catalog_summary(catalogs), catalogs))
     audiences = with_audience(group_recipients(recipients, methods))
     return reports(report_body(rows, audiences, start, end), audiences, end)
@@ -226,6 +231,7 @@ def run_digest(
 
     hours = settings.tooling.first()["digest_report_period_hours"]
     start, end = digest_window(now, hours)
-    config = with_account(expand_wildcards(settings.monitored, inventory), settings.environments)
+    entries = expand_wildcards(settings.monitored, inventory)
+    config = settle(with_account(entries, settings.environments), "config")
     tables = {kind: metrics(spark, base, kind) for kind in C.RESOURCE_TYPES}
     return digest(tables, config, settings.recipients, settings.delivery_methods, start, end)

@@ -49,6 +49,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Work a small derived table out once: write it to the shared folder and read it back.
+
+    Whatever joins it then sees its true size and does not repeat the work behind it, also
+    when an executor is lost.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Hint a broadcast only after counting that the side is small enough.
 

@@ -1,4 +1,9 @@
 """All registered queries."""
 
-from workbench import catalogue_collect, catalogue_config, catalogue_explore  # noqa: F401
+from workbench import (  # noqa: F401
+    catalogue_collect,
+    catalogue_config,
+    catalogue_digest,
+    catalogue_explore,
+)
 from workbench.registry import SPARK, SQL  # noqa: F401

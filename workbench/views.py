@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetgauge import constants as C
 from fleetgauge import schemas
 from fleetgauge.operators import normalise as N
+from fleetgauge.session import settle
 
 START, END = datetime(2024, 1, 8), datetime(2024, 1, 22)
 NOW = datetime(2024, 1, 22, 12)
@@ -32,6 +33,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, sf_dir
+        self._config: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -363,8 +365,12 @@ class Views:
         """Entries for digests: expanded (or as written), with account and region."""
         from fleetgauge.operators.matching import expand_wildcards, with_account
 
-        entries = expand_wildcards(self.monitored, self.inventory) if resolved else self.monitored
-        return with_account(entries, self.environments)
+        if not resolved:
+            return with_account(self.monitored, self.environments)
+        if self._config is None:
+            entries = expand_wildcards(self.monitored, self.inventory)
+            self._config = settle(with_account(entries, self.environments), "config")
+        return self._config
 
     # --- events -----------------------------------------------------------------------
 
