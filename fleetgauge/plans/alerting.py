@@ -66,8 +66,8 @@ def notifications(alerts: DataFrame, matches: DataFrame, config: AlertConfig) ->
     return told.select(
         F.substring("resource_name", 1, C.GROUP_ID_CHARS).alias("message_group_id"),
         "event_time", "resource_type", "resource_name", "delivery_method",
-        "delivery_method_type", "recipients", "message_subject", "message_body",
-        F.xxhash64("event", "delivery_method").alias("message_key"),
+        "delivery_method_type", "part", "recipients", "message_subject", "message_body",
+        F.xxhash64("event", "delivery_method", "part").alias("message_key"),
     )
 
 

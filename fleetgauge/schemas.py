@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import types as T
 
 from fleetgauge import constants as C
@@ -47,9 +50,14 @@ METRICS_DDL = {
 }
 
 
+@lru_cache(maxsize=None)
+def _metrics_json(resource_type: str) -> str:
+    return ddl(METRICS_DDL[resource_type]).json()
+
+
 def metrics_schema(resource_type: str) -> T.StructType:
     """Schema of one metrics table."""
-    return ddl(METRICS_DDL[resource_type])
+    return T.StructType.fromJson(json.loads(_metrics_json(resource_type)))
 
 
 _ENV = "monitored_environment STRING"

@@ -59,8 +59,7 @@ def stream_timeline(
 ) -> DataFrame:
     """Alerts per time bin, following the alert log; a bin is final once the bound passes."""
     log = (
-        spark.readStream.schema(schemas.ddl(schemas.ALERT_LOG_DDL).add("date", "date").add("batch_id", "bigint"))
-        .option("recursiveFileLookup", "false")
+        spark.readStream.schema(schemas.ALERT_LOG_DDL + ", date DATE, batch_id BIGINT")
         .parquet(alert_log_path)
     )
     return alerts_timeline(late_bound(log, "event_time", bound), minutes)

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from workbench import (  # noqa: F401
+    catalogue_alert,
     catalogue_collect,
     catalogue_config,
     catalogue_digest,

@@ -7,12 +7,12 @@ configuration comes from `supplier`, `part`, `customer` and `orders`, so it grow
 from __future__ import annotations
 
 from datetime import datetime
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
-from fleetgauge import schemas
 from fleetgauge.operators import normalise as N
 from fleetgauge.session import settle
 
@@ -24,7 +24,34 @@ STEMS = ["job", "wf", "crawler", "db", "rules", "fn", "sm", "app"]
 # How many names each type has.
 SPREAD = [12, 9, 7, 10, 6, 8, 5, 4]
 
-c, lit = F.col, F.lit
+c = F.col
+
+
+# --- expressions over `ev` --------------------------------------------------------------
+
+ENV = "'env-' || (user_id % 3)"
+FAILED = "(event_type = 'error')"
+RUNNING = "(event_type = 'view')"
+AT_MS = "timestamp_millis(unix_millis(ts))"
+# The time `value` seconds after `ts`.
+LATER = "timestamp_micros(unix_micros(ts) + CAST(round(value * 1000000) AS BIGINT))"
+LONG_ERROR = "'k=' || k || ' ' || repeat('x', CAST(k + 20 AS INT))"
+ACCOUNT = "CASE WHEN user_id % 5 = 4 THEN '999999999999' ELSE lpad(CAST(user_id % 3 AS STRING), 12, '0') END"
+REGION = "'region-' || (user_id % 3)"
+
+
+def name_of(stem: str) -> str:
+    return f"('{stem}-' || (user_id % {SPREAD[STEMS.index(stem)]}))"
+
+
+def by_outcome(bad: list[str], open_: str, good: str) -> str:
+    """One of the bad states by k, the open state or the good one."""
+    cases = " ".join(f"WHEN {FAILED} AND k % {len(bad)} = {i} THEN '{b}'" for i, b in enumerate(bad))
+    return f"CASE {cases} WHEN {RUNNING} THEN '{open_}' ELSE '{good}' END"
+
+
+def struct_of(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
 
 
 class Views:
@@ -35,239 +62,199 @@ class Views:
         self.spark, self.dir = spark, sf_dir
         self._config: DataFrame | None = None
 
+        self._tables: dict[str, DataFrame] = {}
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
-    @property
+    @cached_property
     def ev(self) -> DataFrame:
-        return self.table("events").select(
-            "event_id", c("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
-            F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+        return self.table("events").selectExpr(
+            "event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value",
+            "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
         )
 
     # --- raw run records --------------------------------------------------------------
 
-    def _raw(self, **columns: Column) -> DataFrame:
-        return self.ev.select(
-            env().alias("monitored_environment"), *[v.alias(k) for k, v in columns.items()]
-        )
+    def _raw(self, **columns: str) -> DataFrame:
+        return self.ev.selectExpr(f"{ENV} AS monitored_environment", *[f"{e} AS {n}" for n, e in columns.items()])
 
-    @property
+    @cached_property
     def raw_jobs(self) -> DataFrame:
-        null = lit(None)
         return self._raw(
-            Id=text("jr_", c("event_id")), Attempt=lit(0), JobName=name_of("job"),
-            StartedOn=c("ts"), LastModifiedOn=c("ts"), CompletedOn=c("ts"),
+            Id="'jr_' || event_id", Attempt="0", JobName=name_of("job"), StartedOn="ts", LastModifiedOn="ts",
+            CompletedOn="ts",
             JobRunState=by_outcome(["FAILED", "ERROR", "TIMEOUT", "STOPPED"], "RUNNING", "SUCCEEDED"),
-            ErrorMessage=F.when(failed(), long_error()),
-            PredecessorRuns=F.array().cast("array<string>"), AllocatedCapacity=lit(2),
-            ExecutionTime=F.floor("value").cast("int"), Timeout=lit(60),
-            MaxCapacity=(c("k") % 3 + 2).cast("double"), LogGroupName=lit("g"), GlueVersion=lit("4.0"),
-            DPUSeconds=F.when(c("k") % 3 == 0, null.cast("double")).when(c("k") % 3 == 1, 0.0)
-            .otherwise(c("value") * 3),
+            ErrorMessage=f"CASE WHEN {FAILED} THEN {LONG_ERROR} END", PredecessorRuns="CAST(array() AS ARRAY<STRING>)",
+            AllocatedCapacity="2", ExecutionTime="CAST(floor(value) AS INT)", Timeout="60",
+            MaxCapacity="CAST(k % 3 + 2 AS DOUBLE)", LogGroupName="'g'", GlueVersion="'4.0'",
+            DPUSeconds="CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN 0D ELSE value * 3 END",
         )
 
-    @property
+    @cached_property
     def raw_workflows(self) -> DataFrame:
-        k = c("k")
-        node = lambda kind, job=None, runs=None, crawls=None: F.struct(
-            lit(kind).alias("Type"), lit("n").alias("Name"),
-            F.struct(lit("j").alias("Name"), (job if job is not None else lit(None).cast("string")).alias("ErrorMessage")).alias("Job"),
-            F.struct(F.array(*[F.struct(lit("r").alias("Id"), r.alias("ErrorMessage")) for r in runs or []])
-                     .cast("array<struct<Id:string,ErrorMessage:string>>").alias("JobRuns")).alias("JobDetails"),
-            F.struct(F.array(*[F.struct(lit("FAILED").alias("State"), r.alias("ErrorMessage")) for r in crawls or []])
-                     .cast("array<struct<State:string,ErrorMessage:string>>").alias("Crawls")).alias("CrawlerDetails"),
-        )
-        one = F.array(node("JOB", job=F.repeat(lit("e"), k.cast("int"))))
-        many = F.array(
-            node("JOB", runs=[lit("x")]), node("TRIGGER"), node("CRAWLER", crawls=[text("c=", k), lit("")])
-        )
-        nodes = F.when(k % 3 == 1, one).when(k % 3 == 2, many).otherwise(F.slice(one, 1, 0))
-        stat = {
-            "TotalActions": k % 5 + 1, "TimeoutActions": k % 2, "FailedActions": (k % 7 == 0).cast("int"),
-            "StoppedActions": k % 3, "SucceededActions": k % 5 + 1 - (k % 7 == 0).cast("int"),
-            "RunningActions": lit(0), "ErroredActions": k % 4, "WaitingActions": lit(0),
-        }
+        def node(kind: str, job: str = "CAST(NULL AS STRING)", runs: str = "", crawls: str = "") -> str:
+            one = lambda fields, texts: (
+                f"transform(CAST(array({texts}) AS ARRAY<STRING>), m -> named_struct({fields}, 'ErrorMessage', m))"
+            )
+            id_, state = "'Id', 'r'", "'State', 'FAILED'"
+            return f"""named_struct('Type', '{kind}', 'Name', 'n', 'Job', named_struct('Name', 'j', 'ErrorMessage', {job}),
+                'JobDetails', named_struct('JobRuns', {one(id_, runs)}),
+                'CrawlerDetails', named_struct('Crawls', {one(state, crawls)}))"""
+
+        one = f"array({node('JOB', job='repeat(chr(101), CAST(k AS INT))')})"
+        many = f"array({node('JOB', runs=chr(39) + 'x' + chr(39))}, {node('TRIGGER')}, " + node(
+            "CRAWLER", crawls="'c=' || k, ''") + ")"
         return self._raw(
-            Name=name_of("wf"), WorkflowRunId=text("wr_", c("event_id")),
-            WorkflowRunProperties=F.create_map(lit("p"), lit("1")),
-            StartedOn=c("ts"), CompletedOn=later(),
+            Name=name_of("wf"), WorkflowRunId="'wr_' || event_id", WorkflowRunProperties="map('p', '1')",
+            StartedOn="ts", CompletedOn=LATER,
             Status=by_outcome(["STOPPED", "ERROR", "FAILURE"], "RUNNING", "COMPLETED"),
-            ErrorMessage=F.when(failed() & (k % 2 == 0), text("wf k=", k)),
-            Statistics=F.struct(*[v.cast("int").alias(n) for n, v in stat.items()]),
-            Graph=F.struct(nodes.alias("Nodes")),
+            ErrorMessage=f"CASE WHEN {FAILED} AND k % 2 = 0 THEN 'wf k=' || k END",
+            Statistics="""named_struct('TotalActions', INT(k % 5 + 1), 'TimeoutActions', INT(k % 2),
+                'FailedActions', INT(k % 7 = 0), 'StoppedActions', INT(k % 3),
+                'SucceededActions', INT(k % 5 + 1 - INT(k % 7 = 0)), 'RunningActions', 0, 'ErroredActions', INT(k % 4),
+                'WaitingActions', 0)""",
+            Graph=f"named_struct('Nodes', CASE k % 3 WHEN 1 THEN {one} WHEN 2 THEN {many} ELSE slice({one}, 1, 0) END)",
         )
 
-    @property
+    @cached_property
     def raw_crawlers(self) -> DataFrame:
-        k = c("k")
+        # JSON whose leaves are JSON texts; q stands for an escaped quote.
+        added = """replace('{"TABLE":{"ADD":"{qCountq: ' || k || '}","delete":"{qCountq: 2}"}}', 'q', chr(92) || '"')"""
+        moved = """replace('{"table":{"UPDATE":"{qCountq: ' || k || '}"},"PARTITION":{"ADD":"{qCountq: 5}","DELETE":"oops"}}',
+            'q', chr(92) || '"')"""
         return self._raw(
-            CrawlerName=name_of("crawler"), CrawlId=text("cr_", c("event_id")),
-            State=by_outcome(["FAILED", "STOPPED"], "RUNNING", "COMPLETED"), StartTime=c("ts"),
-            EndTime=later(), ErrorMessage=F.when(failed(), text("crawl k=", k)),
-            DPUHour=F.when(k % 10 != 9, k / 1000.0),
-            Summary=F.when(k % 4 == 0, lit("{}")).when(k % 4 == 1, lit("bad json{"))
-            .when(k % 4 == 2, F.format_string(
-                '{"TABLE":{"ADD":"{\\"Count\\": %d}","delete":"{\\"Count\\": 2}"}}', k))
-            .otherwise(F.format_string(
-                '{"table":{"UPDATE":"{\\"Count\\": %d}"},"PARTITION":{"ADD":"{\\"Count\\": 5}","DELETE":"oops"}}', k)),
+            CrawlerName=name_of("crawler"), CrawlId="'cr_' || event_id",
+            State=by_outcome(["FAILED", "STOPPED"], "RUNNING", "COMPLETED"), StartTime="ts", EndTime=LATER,
+            ErrorMessage=f"CASE WHEN {FAILED} THEN 'crawl k=' || k END", DPUHour="CASE WHEN k % 10 <> 9 THEN k / 1000D END",
+            Summary=f"CASE k % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN 'bad json{{' WHEN 2 THEN {added} ELSE {moved} END",
         )
 
-    @property
+    @cached_property
     def raw_dq(self) -> DataFrame:
-        k = c("k")
-        rule = lambda i, result: F.struct(
-            lit(f"r{i}").alias("Name"), lit("d").alias("Description"), result.alias("Result"),
-            F.create_map(lit("m"), lit(1.0)).alias("EvaluatedMetrics"),
-            F.when(result != "PASS", F.concat(lit("bad value "), F.repeat(lit("9"), k.cast("int")))).alias("EvaluationMessage"),
-        )
-        rules = F.array(
-            rule(1, F.when(failed(), lit("FAIL")).otherwise("PASS")),
-            rule(2, F.when(k % 5 == 0, lit("ERROR")).otherwise("PASS")), rule(3, lit("PASS")),
-        )
+        rule = lambda i, result: f"""named_struct('Name', 'r{i}', 'Description', 'd', 'Result', {result},
+            'EvaluatedMetrics', map('m', 1D),
+            'EvaluationMessage', CASE WHEN {result} <> 'PASS' THEN 'bad value ' || repeat('9', CAST(k AS INT)) END)"""
+        first = f"(CASE WHEN {FAILED} THEN 'FAIL' ELSE 'PASS' END)"
+        second = "(CASE WHEN k % 5 = 0 THEN 'ERROR' ELSE 'PASS' END)"
         return self._raw(
-            ResultId=text("dq_", c("event_id")), Score=k / 100.0, RulesetName=name_of("rules"),
-            EvaluationContext=lit("ctx"), RulesetEvaluationRunId=text("rr_", c("event_id")),
-            StartedOn=c("ts"), CompletedOn=later(), JobName=text("job-", c("user_id") % 12),
-            JobRunId=text("jr_", c("event_id")), RuleResults=F.slice(rules, lit(1), (k % 4).cast("int")),
-            DataSource=F.struct(
-                F.when(k % 2 == 0, F.struct(
-                    text("db-", c("user_id") % 10).alias("DatabaseName"), text("tbl-", k).alias("TableName"),
-                )).alias("GlueTable")
-            ),
+            ResultId="'dq_' || event_id", Score="k / 100D", RulesetName=name_of("rules"), EvaluationContext="'ctx'",
+            RulesetEvaluationRunId="'rr_' || event_id", StartedOn="ts", CompletedOn=LATER,
+            JobName="'job-' || (user_id % 12)", JobRunId="'jr_' || event_id",
+            RuleResults=f"slice(array({rule(1, first)}, {rule(2, second)}, {rule(3, repr('PASS'))}), 1, CAST(k % 4 AS INT))",
+            DataSource="""named_struct('GlueTable', CASE WHEN k % 2 = 0 THEN
+                named_struct('DatabaseName', 'db-' || (user_id % 10), 'TableName', 'tbl-' || k) END)""",
         )
 
-    @property
+    @cached_property
     def raw_sfn(self) -> DataFrame:
-        k = c("k")
         return self._raw(
-            executionArn=text("arn:x:", c("event_id")),
-            stateMachineArn=F.concat(lit("arn:aws:states:r:1:stateMachine:"), name_of("sm")),
-            name=text("ex_", c("event_id")),
-            status=by_outcome(["FAILED", "ABORTED", "TIMED_OUT"], "RUNNING", "SUCCEEDED"),
-            startDate=c("ts"), stopDate=later(), error=F.when(k % 2 == 0, "Err"),
-            cause=F.format_string('{"k":%d}', k),
+            executionArn="'arn:x:' || event_id",
+            stateMachineArn=f"'arn:aws:states:r:1:stateMachine:' || {name_of('sm')}", name="'ex_' || event_id",
+            status=by_outcome(["FAILED", "ABORTED", "TIMED_OUT"], "RUNNING", "SUCCEEDED"), startDate="ts", stopDate=LATER,
+            error="CASE WHEN k % 2 = 0 THEN 'Err' END", cause="""'{"k":' || k || '}'""",
         )
 
-    @property
+    @cached_property
     def machines(self) -> DataFrame:
         """State machines by address, one per supplier."""
-        name = text("sm-", c("s_suppkey"))
-        return self.table("supplier").select(
-            F.concat(lit("arn:aws:states:r:1:stateMachine:"), name).alias("stateMachineArn"),
-            name.alias("name"),
+        return self.table("supplier").selectExpr(
+            "'arn:aws:states:r:1:stateMachine:sm-' || s_suppkey AS stateMachineArn", "'sm-' || s_suppkey AS name"
         )
 
-    @property
+    @cached_property
     def raw_emr(self) -> DataFrame:
-        k, v = c("k"), c("value")
-        use = lambda f: F.struct(
-            F.when(k % 10 != 0, v * f).alias("vCPUHour"), (v * 4 * f).alias("memoryGBHour"),
-            k.cast("double").alias("storageGBHour"),
-        )
+        use = lambda f: f"""named_struct('vCPUHour', CASE WHEN k % 10 <> 0 THEN value * {f} END,
+            'memoryGBHour', value * 4 * {f}, 'storageGBHour', CAST(k AS DOUBLE))"""
         return self._raw(
-            applicationId=text("app", c("user_id") % 4), jobRunId=text("er_", c("event_id")),
-            name=text("n", k), createdAt=c("ts"), updatedAt=c("ts"),
-            state=by_outcome(["FAILED", "CANCELLED"], "RUNNING", "SUCCESS"),
-            stateDetails=F.when(failed(), F.concat(
-                lit(C.BATCH_STOCK_SENTENCE), lit("  "), F.repeat(lit("ab"), (k * 2).cast("int")), lit(" "))),
-            jobDriver=F.struct(F.struct(lit("s3://x/y.py").alias("entryPoint")).alias("sparkSubmit")),
-            totalResourceUtilization=use(1.0), totalExecutionDurationSeconds=F.floor(v).cast("int"),
-            billedResourceUtilization=use(0.5),
+            applicationId="'app' || (user_id % 4)", jobRunId="'er_' || event_id", name="'n' || k", createdAt="ts",
+            updatedAt="ts", state=by_outcome(["FAILED", "CANCELLED"], "RUNNING", "SUCCESS"),
+            stateDetails=f"""CASE WHEN {FAILED} THEN '{C.BATCH_STOCK_SENTENCE}' || '  '
+                || repeat('ab', CAST(k * 2 AS INT)) || ' ' END""",
+            jobDriver="named_struct('sparkSubmit', named_struct('entryPoint', 's3://x/y.py'))",
+            totalResourceUtilization=use("1D"), totalExecutionDurationSeconds="CAST(floor(value) AS INT)",
+            billedResourceUtilization=use("0.5D"),
         )
 
-    @property
+    @cached_property
     def apps(self) -> DataFrame:
         """Batch applications, one per supplier."""
-        return self.table("supplier").select(
-            text("app", c("s_suppkey")).alias("id"), text("app-", c("s_suppkey")).alias("name")
-        )
+        return self.table("supplier").selectExpr("'app' || s_suppkey AS id", "'app-' || s_suppkey AS name")
 
-    @property
+    @cached_property
     def listing(self) -> dict[str, DataFrame]:
         """A catalog listing: databases from nations, tables from parts, parts of them from
         order lines."""
-        db = lambda key: text("db-", key)
-        env0 = lambda key: text("env-", key % 3)
-        part, line, nation = self.table("part"), self.table("lineitem"), self.table("nation")
-        of_line = lambda: [
-            env0(c("l_partkey") % 20).alias("monitored_environment"),
-            db(c("l_partkey") % 20).alias("DatabaseName"), text("t", c("l_partkey")).alias("TableName"),
-        ]
+        place = lambda key: [
+            f"'env-' || ({key} % 20 % 3) AS monitored_environment", f"'db-' || ({key} % 20) AS DatabaseName"]
+        part, line = self.table("part"), self.table("lineitem")
         return {
-            "databases": nation.select(
-                env0(c("n_nationkey")).alias("monitored_environment"), db(c("n_nationkey")).alias("DatabaseName"),
-                lit("123").alias("AccountId"),
-            ),
-            "tables": part.filter(c("p_partkey") % 9 != 0).select(
-                env0(c("p_partkey") % 20).alias("monitored_environment"),
-                db(c("p_partkey") % 20).alias("DatabaseName"), text("t", c("p_partkey")).alias("Name"),
-                c("p_brand").alias("CatalogId"), lit(None).cast("timestamp").alias("CreateTime"),
-                lit(None).cast("timestamp").alias("UpdateTime"),
-            ),
-            "partitions": line.select(*of_line(), c("l_linenumber").cast("string").alias("Partition")),
-            "indexes": line.filter("l_linenumber = 1").select(*of_line(), c("l_returnflag").alias("IndexName")),
+            "databases": self.table("nation").selectExpr(
+                "'env-' || (n_nationkey % 3) AS monitored_environment", "'db-' || n_nationkey AS DatabaseName",
+                "'123' AS AccountId"),
+            "tables": part.filter("p_partkey % 9 <> 0").selectExpr(
+                *place("p_partkey"), "'t' || p_partkey AS Name", "p_brand AS CatalogId",
+                "CAST(NULL AS TIMESTAMP) AS CreateTime", "CAST(NULL AS TIMESTAMP) AS UpdateTime"),
+            "partitions": line.selectExpr(
+                *place("l_partkey"), "'t' || l_partkey AS TableName", "CAST(l_linenumber AS STRING) AS Partition"),
+            "indexes": line.filter("l_linenumber = 1").selectExpr(
+                *place("l_partkey"), "'t' || l_partkey AS TableName", "l_returnflag AS IndexName"),
         }
 
     # --- function log -----------------------------------------------------------------
 
-    @property
+    @cached_property
     def function_log(self) -> DataFrame:
-        ms = lambda n: F.timestamp_millis(F.unix_millis("ts") + n)
-        rid, k = text("req-", F.floor(c("event_id") / 3)), c("k")
-        line = lambda at, message, request: F.struct(
-            at.alias("ts"), message.alias("message"), request.alias("request_id")
-        )
-        say = lambda *parts: F.concat(*[lit(p) if isinstance(p, str) else p for p in parts])
-        by_id = line(ms(1), say("[ERROR]\t2024Z\t", rid, "\t bad k=", k.cast("string"), " \n"), rid)
-        by_stream = line(ms(1), say("[ERROR] boom k=", k.cast("string")), lit(None).cast("string"))
-        second = line(ms(2), say("[ERROR] again ", F.repeat(lit("z"), k.cast("int"))), lit(None).cast("string"))
-        lines = F.array(
-            line(ms(0), say("START RequestId: ", rid, "\n"), rid),
-            F.when(failed(), F.when(k % 2 == 0, by_stream).otherwise(by_id)),
-            F.when(failed() & (k % 5 == 0), second),
-            line(ms(2), say("INFO ", rid), rid),
-            F.when(c("event_type") != "view", line(ms(2), say("END RequestId: ", rid, "\n"), rid)),
-            F.when(c("event_type") != "view", line(ms(3), say(
-                "REPORT RequestId: ", rid, "\tDuration: ", c("value").cast("string"), " ms\tBilled Duration: ",
-                F.ceil("value").cast("string"), " ms\tMemory Size: ", (k % 4 * 128 + 128).cast("string"),
-                " MB\tMax Memory Used: ", k.cast("string"), " MB\t\n"), rid)),
-        )
-        return self.ev.select(
-            env().alias("monitored_environment"), text("fn-", F.floor(c("event_id") / 3) % 8).alias("function_name"),
-            text("ls-", F.floor(c("event_id") / 3) % 16).alias("log_stream"),
-            F.explode(F.array_compact(lines)).alias("l"),
-        ).select(
-            lit("env-0").alias("monitored_environment"), "function_name", "l.ts", "log_stream", "l.message",
-            "l.request_id",
+        """Every event as the lines one invocation writes; a third of the errors name no
+        request, and a `view` never gets its REPORT."""
+        at = lambda n: f"timestamp_millis(unix_millis(ts) + {n})"
+        rid = "'req-' || (event_id div 3)"
+        line = lambda n, message, request: f"named_struct('ts', {at(n)}, 'message', {message}, 'request_id', {request})"
+        none, tab, nl = "CAST(NULL AS STRING)", "chr(9)", "chr(10)"
+        by_id = line(1, f"'[ERROR]' || {tab} || '2024Z' || {tab} || {rid} || {tab} || ' bad k=' || k || ' ' || {nl}", rid)
+        by_stream = line(1, "'[ERROR] boom k=' || k", none)
+        report = f"""'REPORT RequestId: ' || {rid} || {tab} || 'Duration: ' || value || ' ms' || {tab} || 'Billed Duration: '
+            || ceil(value) || ' ms' || {tab} || 'Memory Size: ' || (k % 4 * 128 + 128) || ' MB' || {tab}
+            || 'Max Memory Used: ' || k || ' MB' || {tab} || {nl}"""
+        lines = ", ".join([
+            line(0, f"'START RequestId: ' || {rid} || {nl}", rid),
+            f"CASE WHEN {FAILED} AND k % 2 = 0 THEN {by_stream} WHEN {FAILED} THEN {by_id} END",
+            f"CASE WHEN {FAILED} AND k % 5 = 0 THEN " + line(2, "'[ERROR] again ' || repeat('z', CAST(k AS INT))", none) + " END",
+            line(2, f"'INFO ' || {rid}", rid),
+            f"CASE WHEN NOT {RUNNING} THEN " + line(2, f"'END RequestId: ' || {rid} || {nl}", rid) + " END",
+            f"CASE WHEN NOT {RUNNING} THEN " + line(3, report, rid) + " END",
+        ])
+        return self.ev.selectExpr(
+            "'fn-' || (event_id div 3 % 8) AS function_name", "'ls-' || (event_id div 3 % 16) AS log_stream",
+            f"explode(array_compact(array({lines}))) AS l",
+        ).selectExpr(
+            "'env-0' AS monitored_environment", "function_name", "l.ts", "log_stream", "l.message", "l.request_id"
         )
 
     # --- metrics tables ---------------------------------------------------------------
 
-    @property
+    @cached_property
     def m_lambda(self) -> DataFrame:
-        k, v = c("k"), c("value")
-        memory = (k % 4 * 128 + 128).cast("double")
-        bad = failed().cast("bigint")
-        return self.ev.select(
-            text("env-", F.floor(c("event_id") / 3) % 3).alias("monitored_environment"),
-            text("fn-", F.floor(c("event_id") / 3) % 8).alias("resource_name"),
-            at_ms().alias("time"), text("req-", F.floor(c("event_id") / 3)).alias("lambda_function_request_id"),
-            text("ls-", F.floor(c("event_id") / 2) % 16).alias("log_stream"), lit(1).cast("bigint").alias("invocation"),
-            (1 - bad).alias("succeeded"), bad.alias("failed"),
-            F.when(failed(), "FAILED").otherwise("SUCCEEDED").alias("status"),
-            v.alias("duration_ms"), F.ceil(v).cast("double").alias("billed_duration_ms"),
-            memory.alias("memory_size_mb"), (memory / 1024 * (F.ceil(v) / 1000)).alias("GB_seconds"),
-            k.cast("double").alias("max_memory_used_mb"), F.when(failed(), long_error()).alias("error_message"),
+        memory = "CAST(k % 4 * 128 + 128 AS DOUBLE)"
+        return self.ev.selectExpr(
+            "'env-' || (event_id div 3 % 3) AS monitored_environment", "'fn-' || (event_id div 3 % 8) AS resource_name",
+            f"{AT_MS} AS time", "'req-' || (event_id div 3) AS lambda_function_request_id",
+            "'ls-' || (event_id div 2 % 16) AS log_stream", "1L AS invocation",
+            f"BIGINT(NOT {FAILED}) AS succeeded", f"BIGINT({FAILED}) AS failed",
+            f"CASE WHEN {FAILED} THEN 'FAILED' ELSE 'SUCCEEDED' END AS status", "value AS duration_ms",
+            "CAST(ceil(value) AS DOUBLE) AS billed_duration_ms", f"{memory} AS memory_size_mb",
+            f"{memory} / 1024 * (ceil(value) / 1000) AS GB_seconds", "CAST(k AS DOUBLE) AS max_memory_used_mb",
+            f"CASE WHEN {FAILED} THEN {LONG_ERROR} END AS error_message",
         )
 
-    @property
+    @cached_property
     def m_catalogs(self) -> DataFrame:
-        return self.ev.select(
-            env().alias("monitored_environment"), name_of("db").alias("resource_name"),
-            at_ms().alias("time"), lit("123").alias("catalog_id"),
-            F.floor("value").cast("bigint").alias("tables_count"), c("k").alias("partitions_count"),
-            (c("event_id") % 7).alias("indexes_count"),
+        return self.ev.selectExpr(
+            f"{ENV} AS monitored_environment", f"{name_of('db')} AS resource_name", f"{AT_MS} AS time",
+            "'123' AS catalog_id", "CAST(floor(value) AS BIGINT) AS tables_count", "k AS partitions_count",
+            "event_id % 7 AS indexes_count",
         )
 
     def metrics(self, kind: str) -> DataFrame:
@@ -295,71 +282,61 @@ class Views:
 
     # --- configuration ----------------------------------------------------------------
 
-    @property
+    @cached_property
     def environments(self) -> DataFrame:
-        return self.table("supplier").select(
-            text("env-", c("s_suppkey")).alias("name"),
-            F.lpad(c("s_suppkey").cast("string"), 12, "0").alias("account_id"),
-            text("region-", c("s_suppkey") % 4).alias("region"),
+        return self.table("supplier").selectExpr(
+            "'env-' || s_suppkey AS name", "lpad(CAST(s_suppkey AS STRING), 12, '0') AS account_id",
+            "'region-' || (s_suppkey % 4) AS region",
         )
 
-    @property
+    @cached_property
     def monitored(self) -> DataFrame:
-        p = c("p_partkey")
-        pick = lambda values: F.element_at(F.array(*[lit(v) for v in values]), (F.floor(p / 5) % 8 + 1).cast("int"))
-        stem, form = pick(STEMS), F.floor(p / 40) % 5
-        name = (
-            F.when(form == 0, F.concat(stem, lit("-"), (F.floor(p / 200) % 12).cast("string")))
-            .when(form == 1, F.concat(stem, lit("-1*")))
-            .when(form == 2, F.concat(stem, lit("-?")))
-            .when(form == 3, F.concat(stem, lit("-[0-4]")))
-            .otherwise(F.concat(stem, lit("-missing"), (p % 3).cast("string")))
-        )
-        return self.table("part").select(
-            text("group-", p % 5).alias("group_name"), pick(C.RESOURCE_TYPES).alias("resource_type"),
-            name.alias("name"), text("env-", p % 3).alias("monitored_environment"),
-            (p % 3 * 20).cast("int").alias("sla_seconds"), (p % 4 * 10).cast("int").alias("minimum_number_of_runs"),
-            p.cast("bigint").alias("entry_order"),
+        pick = lambda values: f"element_at(array({', '.join(repr(x) for x in values)}), INT(p_partkey div 5 % 8 + 1))"
+        return self.table("part").selectExpr(
+            "'group-' || (p_partkey % 5) AS group_name", f"{pick(C.RESOURCE_TYPES)} AS resource_type",
+            f"""{pick(STEMS)} || CASE p_partkey div 40 % 5 WHEN 0 THEN '-' || (p_partkey div 200 % 12) WHEN 1 THEN '-1*'
+                WHEN 2 THEN '-?' WHEN 3 THEN '-[0-4]' ELSE '-missing' || (p_partkey % 3) END AS name""",
+            "'env-' || (p_partkey % 3) AS monitored_environment", "INT(p_partkey % 3 * 20) AS sla_seconds",
+            "INT(p_partkey % 4 * 10) AS minimum_number_of_runs", "BIGINT(p_partkey) AS entry_order",
         )
 
-    @property
+    @cached_property
     def inventory(self) -> DataFrame:
         """Names that exist per type and environment."""
-        kinds = F.array(*[
-            F.struct(lit(t).alias("resource_type"), name_of(s).alias("name")) for t, s in zip(C.RESOURCE_TYPES, STEMS)
-        ])
+        kinds = ", ".join(
+            f"named_struct('resource_type', '{t}', 'name', {name_of(s)})" for t, s in zip(C.RESOURCE_TYPES, STEMS)
+        )
+        users = self.ev.select("user_id").distinct()
         return (
-            self.ev.select(env().alias("monitored_environment"), F.explode(kinds).alias("n"))
-            .select("n.resource_type", "monitored_environment", "n.name")
-            .filter(c("name") != "job-11").distinct()
+            users.selectExpr(f"{ENV} AS monitored_environment", f"inline(array({kinds}))")
+            .filter("name <> 'job-11'").select("resource_type", "monitored_environment", "name").distinct()
         )
 
-    @property
+    @cached_property
     def subscriptions(self) -> DataFrame:
         """Groups a customer's orders subscribe to."""
         return self.table("orders").groupBy(
-            c("o_custkey").alias("c_custkey"), text("group-", c("o_orderkey") % 7).alias("monitoring_group")
+            c("o_custkey").alias("c_custkey"), F.expr("'group-' || (o_orderkey % 7)").alias("monitoring_group")
         ).agg(
-            F.bool_or(c("o_orderstatus") == "F").alias("alerts"), F.bool_or(c("o_orderkey") % 5 == 0).alias("digest")
+            F.expr("bool_or(o_orderstatus = 'F')").alias("alerts"), F.expr("bool_or(o_orderkey % 5 = 0)").alias("digest")
         )
 
-    @property
+    @cached_property
     def recipients(self) -> DataFrame:
         """At most seven subscriptions each."""
         lists = self.subscriptions.groupBy("c_custkey").agg(
-            F.sort_array(F.collect_list(F.struct("monitoring_group", "alerts", "digest"))).alias("subscriptions")
+            F.expr("sort_array(collect_list(struct(monitoring_group, alerts, digest)))").alias("subscriptions")
         )
-        empty = F.array().cast("array<struct<monitoring_group:string,alerts:boolean,digest:boolean>>")
-        return self.table("customer").join(lists, "c_custkey", "left").select(
-            c("c_name").alias("recipient"), c("c_mktsegment").alias("delivery_method"),
-            F.coalesce("subscriptions", empty).alias("subscriptions"),
+        empty = "CAST(array() AS ARRAY<STRUCT<monitoring_group: STRING, alerts: BOOLEAN, digest: BOOLEAN>>)"
+        return self.table("customer").join(lists, "c_custkey", "left").selectExpr(
+            "c_name AS recipient", "c_mktsegment AS delivery_method", f"coalesce(subscriptions, {empty}) AS subscriptions"
         )
 
-    @property
+    @cached_property
     def delivery_methods(self) -> DataFrame:
-        return self.table("customer").select(c("c_mktsegment").alias("name")).distinct().filter(
-            c("name") != "MACHINERY"
-        ).select("name", F.when(c("name") == "BUILDING", "AWS_SNS").otherwise("AWS_SES").alias("delivery_method_type"))
+        return self.table("customer").selectExpr("c_mktsegment AS name").distinct().filter("name <> 'MACHINERY'").selectExpr(
+            "name", "CASE WHEN name = 'BUILDING' THEN 'AWS_SNS' ELSE 'AWS_SES' END AS delivery_method_type"
+        )
 
     def config(self, resolved: bool = True) -> DataFrame:
         """Entries for digests: expanded (or as written), with account and region."""
@@ -374,64 +351,57 @@ class Views:
 
     # --- events -----------------------------------------------------------------------
 
-    @property
+    @cached_property
     def event_json(self) -> DataFrame:
         """One JSON envelope per event; its kind goes by the id's last digit."""
-        k, i, s = c("k"), c("event_id"), c("event_id") % 10
+        s = "(event_id % 10)"
+        pick = lambda values: f"element_at(array({', '.join(repr(x) for x in values)}), INT({s} + 1))"
         state = by_outcome(["FAILED", "ERROR", "TIMEOUT", "STOPPED"], "RUNNING", "SUCCEEDED")
-        plain = F.when(failed(), "FAILED").when(running(), "RUNNING").otherwise("SUCCEEDED")
-        on = lambda n, col: F.when(s == n, col)
-        null_list = lit(None).cast("array<string>")
-        source = F.element_at(F.array(*[lit(x) for x in SOURCES]), (s + 1).cast("int"))
-        detail_type = F.element_at(F.array(*[lit(x) for x in DETAIL_TYPES]), (s + 1).cast("int"))
-        catalog = k % 2 == 0
-        detail = F.struct(
-            on(0, name_of("job")).alias("jobName"),
-            F.when(s == 0, text("jr_", i)).when((s == 8) & (k % 4 != 0), text("er_", i)).alias("jobRunId"),
-            F.when(s == 0, state)
-            .when(s == 1, lit("COMPLETED"))
-            .when(s == 2, F.when(failed(), "Failed").when(running(), "Started").otherwise("Succeeded"))
-            .when(s == 4, F.when(failed(), "FAILURE"))
-            .when(s.isin(5, 7), plain)
-            .when(s == 8, F.when(failed(), "CANCELLED").when(running(), "RUNNING").otherwise("SUCCESS"))
-            .alias("state"),
-            on(6, F.when(failed(), "ABORTED").when(running(), "RUNNING").otherwise("SUCCEEDED")).alias("status"),
-            F.when(s == 0, text("m", k)).when((s == 2) & (k % 3 == 0), text("m", k)).when(s == 7, text("f", k)).alias("message"),
-            F.when((s == 2) & failed() & catalog, text("e", k)).alias("errorMessage"),
-            on(2, name_of("crawler")).alias("crawlerName"), on(1, name_of("wf")).alias("workflowName"),
-            on(1, text("wr_", i)).alias("workflowRunId"),
-            on(1, F.when(failed(), "FAILURE").when(running(), "INFO").otherwise("SUCCESS")).alias("event_result"),
-            F.when(s.isin(1, 7), account()).alias("origin_account"), F.when(s.isin(1, 7), region()).alias("origin_region"),
-            F.when(s.isin(3, 4), name_of("db")).alias("databaseName"),
-            F.when(s == 3, "CreateDatabase").when(s == 4, "UpdateTable").alias("typeOfChange"),
-            F.when(s == 4, F.array(text("tbl-", k))).otherwise(null_list).alias("changedTables"),
-            F.when((s == 5) & (k % 10 != 0), F.array(name_of("rules"))).otherwise(null_list).alias("rulesetNames"),
-            on(5, F.struct(
-                F.when(k % 25 == 1, "OTHER").when(catalog, "GLUE_DATA_CATALOG").otherwise("GLUE_JOB").alias("contextType"),
-                F.when(catalog, lit("123")).alias("catalogId"), F.when(catalog, name_of("db")).alias("databaseName"),
-                F.when(catalog, text("tbl-", k)).alias("tableName"), F.when(~catalog, name_of("job")).alias("jobName"),
-                F.when(~catalog, text("jr_", i)).alias("jobId"), F.when(catalog, text("rr_", i)).alias("runId"),
-            )).alias("context"),
-            on(6, F.concat(lit("arn:aws:states:r:1:stateMachine:"), name_of("sm"))).alias("stateMachineArn"),
-            on(6, text("ex_", i)).alias("name"), on(6, F.unix_millis("ts")).alias("startDate"),
-            F.when((s == 6) & ~running(), F.unix_millis("ts") + 1000).alias("stopDate"),
-            on(7, text("fn-", c("user_id") % 8)).alias("lambdaName"), on(7, text("req-", i)).alias("request_id"),
-            on(7, F.concat(lit("2024/01/[$LATEST]"), k.cast("string"))).alias("log_stream"),
-            F.when((s == 8) & (k % 10 != 0), text("app", c("user_id") % 4)).alias("applicationId"),
-        )
-        envelope = F.struct(
-            lit("0").alias("version"), text("id", i).alias("id"), detail_type.alias("detail-type"), source.alias("source"),
-            account().alias("account"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"),
-            region().alias("region"), detail.alias("detail"),
-        )
-        return self.ev.select("event_id", F.to_json(envelope).alias("value"))
+        three = lambda bad, open_, good: f"CASE WHEN {FAILED} THEN '{bad}' WHEN {RUNNING} THEN '{open_}' ELSE '{good}' END"
+        on = lambda n, e: f"CASE WHEN {s} = {n} THEN {e} END"
+        even, odd = "CASE WHEN k % 2 = 0 THEN {} END", "CASE WHEN k % 2 = 1 THEN {} END"
+        detail = {
+            "jobName": on(0, name_of("job")),
+            "jobRunId": f"CASE WHEN {s} = 0 THEN 'jr_' || event_id WHEN {s} = 8 AND k % 4 <> 0 THEN 'er_' || event_id END",
+            "state": f"""CASE {s} WHEN 0 THEN {state} WHEN 1 THEN 'COMPLETED' WHEN 2 THEN {three('Failed', 'Started', 'Succeeded')}
+                WHEN 4 THEN CASE WHEN {FAILED} THEN 'FAILURE' END WHEN 5 THEN {three('FAILED', 'RUNNING', 'SUCCEEDED')}
+                WHEN 7 THEN {three('FAILED', 'RUNNING', 'SUCCEEDED')} WHEN 8 THEN {three('CANCELLED', 'RUNNING', 'SUCCESS')} END""",
+            "status": on(6, three("ABORTED", "RUNNING", "SUCCEEDED")),
+            "message": f"CASE WHEN {s} = 0 OR ({s} = 2 AND k % 3 = 0) THEN 'm' || k WHEN {s} = 7 THEN 'f' || k END",
+            "errorMessage": f"CASE WHEN {s} = 2 AND {FAILED} AND k % 2 = 0 THEN 'e' || k END",
+            "crawlerName": on(2, name_of("crawler")), "workflowName": on(1, name_of("wf")),
+            "workflowRunId": on(1, "'wr_' || event_id"), "event_result": on(1, three("FAILURE", "INFO", "SUCCESS")),
+            "origin_account": f"CASE WHEN {s} IN (1, 7) THEN {ACCOUNT} END",
+            "origin_region": f"CASE WHEN {s} IN (1, 7) THEN {REGION} END",
+            "databaseName": f"CASE WHEN {s} IN (3, 4) THEN {name_of('db')} END",
+            "typeOfChange": f"CASE {s} WHEN 3 THEN 'CreateDatabase' WHEN 4 THEN 'UpdateTable' END",
+            "changedTables": on(4, "array('tbl-' || k)"),
+            "rulesetNames": f"CASE WHEN {s} = 5 AND k % 10 <> 0 THEN array({name_of('rules')}) END",
+            "context": on(5, f"""named_struct(
+                'contextType', CASE WHEN k % 25 = 1 THEN 'OTHER' WHEN k % 2 = 0 THEN 'GLUE_DATA_CATALOG' ELSE 'GLUE_JOB' END,
+                'catalogId', {even.format("'123'")}, 'databaseName', {even.format(name_of('db'))},
+                'tableName', {even.format("'tbl-' || k")}, 'jobName', {odd.format(name_of('job'))},
+                'jobId', {odd.format("'jr_' || event_id")}, 'runId', {even.format("'rr_' || event_id")})"""),
+            "stateMachineArn": on(6, f"'arn:aws:states:r:1:stateMachine:' || {name_of('sm')}"),
+            "name": on(6, "'ex_' || event_id"), "startDate": on(6, "unix_millis(ts)"),
+            "stopDate": f"CASE WHEN {s} = 6 AND NOT {RUNNING} THEN unix_millis(ts) + 1000 END",
+            "lambdaName": on(7, "'fn-' || (user_id % 8)"), "request_id": on(7, "'req-' || event_id"),
+            "log_stream": on(7, "'2024/01/[$LATEST]' || k"),
+            "applicationId": f"CASE WHEN {s} = 8 AND k % 10 <> 0 THEN 'app' || (user_id % 4) END",
+        }
+        envelope = {
+            "version": "'0'", "id": "'id' || event_id", "detail-type": pick(DETAIL_TYPES), "source": pick(SOURCES),
+            "account": ACCOUNT, "time": """date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")""", "region": REGION,
+            "detail": struct_of(detail),
+        }
+        return self.ev.selectExpr("event_id", f"to_json({struct_of(envelope)}) AS value")
 
     def events(self) -> DataFrame:
         from fleetgauge.sources.events import known_sources, parse_envelope
 
         return known_sources(parse_envelope(self.event_json))
 
-    @property
+    @cached_property
     def alert_config(self):
         from fleetgauge.plans.alerting import AlertConfig
 
@@ -439,15 +409,16 @@ class Views:
             self.environments, self.monitored, self.recipients, self.delivery_methods, apps=self.apps
         )
 
-    @property
+    @cached_property
     def alert_rows(self) -> DataFrame:
         """An alert log, one row per event."""
-        return self.ev.select(
-            c("ts").alias("event_time"), env().alias("monitored_environment"), name_of("job").alias("resource_name"),
-            F.element_at(F.array(*[lit(t) for t in C.RESOURCE_TYPES]), (c("event_id") % 8 + 1).cast("int")).alias("resource_type"),
-            by_outcome(["FAILED", "ERROR", "TIMEOUT", "STOPPED"], "RUNNING", "SUCCEEDED").alias("event_status"),
-            F.when(failed(), "FAILURE").when(running(), "INFO").otherwise("SUCCESS").alias("event_result"),
-            text("u", c("event_id")).alias("execution_info_url"), text("e", c("event_id")).alias("event"),
+        kinds = ", ".join(repr(t) for t in C.RESOURCE_TYPES)
+        return self.ev.selectExpr(
+            "ts AS event_time", f"{ENV} AS monitored_environment", f"{name_of('job')} AS resource_name",
+            f"element_at(array({kinds}), INT(event_id % 8 + 1)) AS resource_type",
+            by_outcome(["FAILED", "ERROR", "TIMEOUT", "STOPPED"], "RUNNING", "SUCCEEDED") + " AS event_status",
+            f"CASE WHEN {FAILED} THEN 'FAILURE' WHEN {RUNNING} THEN 'INFO' ELSE 'SUCCESS' END AS event_result",
+            "'u' || event_id AS execution_info_url", "'e' || event_id AS event",
         )
 
 
@@ -461,54 +432,3 @@ DETAIL_TYPES = [
     "Data Quality Evaluation Results Available", "Step Functions Execution Status Change",
     "Lambda Function Execution State Change", "EMR Serverless Job Run State Change", "Something Else",
 ]
-
-
-# --- columns of `ev` ------------------------------------------------------------------
-
-
-def text(prefix: str, col: Column) -> Column:
-    return F.concat(lit(prefix), col.cast("string"))
-
-
-def env() -> Column:
-    return text("env-", c("user_id") % 3)
-
-
-def name_of(stem: str) -> Column:
-    return text(f"{stem}-", c("user_id") % SPREAD[STEMS.index(stem)])
-
-
-def failed() -> Column:
-    return c("event_type") == "error"
-
-
-def running() -> Column:
-    return c("event_type") == "view"
-
-
-def by_outcome(bad: list[str], open_: str, good: str) -> Column:
-    """One of the bad states by k, the open state or the good one."""
-    pick = F.element_at(F.array(*[lit(b) for b in bad]), (c("k") % len(bad) + 1).cast("int"))
-    return F.when(failed(), pick).when(running(), open_).otherwise(good)
-
-
-def long_error() -> Column:
-    return F.concat(lit("k="), c("k").cast("string"), lit(" "), F.repeat(lit("x"), (c("k") + 20).cast("int")))
-
-
-def later() -> Column:
-    """The time `value` seconds after `ts`."""
-    return F.timestamp_micros(F.unix_micros("ts") + F.round(c("value") * 1000000).cast("bigint"))
-
-
-def at_ms() -> Column:
-    return F.timestamp_millis(F.unix_millis("ts"))
-
-
-def account() -> Column:
-    known = F.lpad((c("user_id") % 3).cast("string"), 12, "0")
-    return F.when(c("user_id") % 5 == 4, "999999999999").otherwise(known)
-
-
-def region() -> Column:
-    return text("region-", c("user_id") % 3)
