@@ -99,44 +99,44 @@ def parse_report(report: Column) -> dict[str, Column]:
     }
 
 
-def parse_crawl_summary(summary: Column) -> dict[str, Column]:
-    """Counts of tables and partitions added, updated, deleted.
+_CRAWL_COUNTS = {
+    f"{plural}_{done}": (entity, operation)
+    for plural, entity in (("tables", "TABLE"), ("partitions", "PARTITION"))
+    for done, operation in (("added", "ADD"), ("updated", "UPDATE"), ("deleted", "DELETE"))
+}
+
+
+def parse_crawl_summary(summary: Column) -> Column:
+    """Counts of tables and partitions added, updated, deleted, as one struct.
 
     The summary is JSON whose leaves are JSON texts again. Keys compare without case, and
-    equal keys add up. Anything unreadable counts 0.
+    equal keys add up. Anything unreadable counts 0. Select the struct before its fields, so
+    that the text is parsed once.
     """
     outer = F.from_json(summary, "map<string,map<string,string>>")
-    entries = F.coalesce(
-        F.flatten(
-            F.transform(
-                F.map_entries(outer),
-                lambda e: F.transform(
-                    F.map_entries(F.coalesce(e["value"], F.create_map().cast("map<string,string>"))),
-                    lambda op: F.struct(
-                        F.upper(e["key"]).alias("entity"),
-                        F.upper(op["key"]).alias("operation"),
-                        F.coalesce(
-                            F.get_json_object(op["value"], "$.Count").try_cast("bigint"), F.lit(0)
-                        ).alias("n"),
-                    ),
-                ),
-            )
-        ),
-        F.array().cast("array<struct<entity:string,operation:string,n:bigint>>"),
-    )
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in _CRAWL_COUNTS])
 
-    def total(entity: str, operation: str) -> Column:
+    def add_operation(entity: Column, counts: Column, operation: Column) -> Column:
+        n = F.coalesce(
+            F.get_json_object(operation["value"], "$.Count").try_cast("bigint"), F.lit(0)
+        )
+        done = F.upper(operation["key"])
+        return F.struct(
+            *[
+                F.when((entity == e) & (done == o), counts[name] + n).otherwise(counts[name]).alias(name)
+                for name, (e, o) in _CRAWL_COUNTS.items()
+            ]
+        )
+
+    def add_entity(counts: Column, entry: Column) -> Column:
         return F.aggregate(
-            F.filter(entries, lambda e: (e["entity"] == entity) & (e["operation"] == operation)),
-            F.lit(0).cast("bigint"),
-            lambda acc, e: acc + e["n"],
+            F.map_entries(entry["value"]),
+            counts,
+            lambda acc, operation: add_operation(F.upper(entry["key"]), acc, operation),
         )
 
-    return {
-        f"{plural}_{done}": total(entity, operation)
-        for plural, entity in (("tables", "TABLE"), ("partitions", "PARTITION"))
-        for done, operation in (("added", "ADD"), ("updated", "UPDATE"), ("deleted", "DELETE"))
-    }
+    entries = F.filter(F.map_entries(outer), lambda e: e["value"].isNotNull())
+    return F.coalesce(F.aggregate(entries, zero, add_entity), zero)
 
 
 # --- error texts ----------------------------------------------------------------------

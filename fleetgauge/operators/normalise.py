@@ -95,7 +95,10 @@ def normalise_glue_workflows(runs: DataFrame) -> DataFrame:
 
 def normalise_glue_crawlers(runs: DataFrame) -> DataFrame:
     c = F.col
-    return _fact(only_final(runs, C.GLUE_CRAWLERS), C.GLUE_CRAWLERS, {
+    final = only_final(runs, C.GLUE_CRAWLERS).withColumn(
+        "summary_counts", O.parse_crawl_summary(c("Summary"))
+    )
+    return _fact(final, C.GLUE_CRAWLERS, {
         "resource_name": c("CrawlerName"),
         "time": to_ms(c("StartTime")),
         "crawl_id": c("CrawlId"),
@@ -103,7 +106,11 @@ def normalise_glue_crawlers(runs: DataFrame) -> DataFrame:
         "duration_sec": duration_sec(c("StartTime"), c("EndTime")),
         "dpu_seconds": O.crawl_dpu_seconds(c("DPUHour")),
         "error_message": c("ErrorMessage"),
-        **O.parse_crawl_summary(c("Summary")),
+        **{
+            f"{what}_{done}": c(f"summary_counts.{what}_{done}")
+            for what in ("tables", "partitions")
+            for done in ("added", "updated", "deleted")
+        },
     })
 
 

@@ -40,10 +40,10 @@ def classified(events: DataFrame, config: AlertConfig) -> DataFrame:
     return with_environment(known, config.environments, account, region)
 
 
-def alert_events(events: DataFrame, config: AlertConfig, matches: DataFrame) -> DataFrame:
-    """Events of monitored resources that failed or succeeded."""
-    good = mapped(classified(events, config))
-    return with_flags(in_scope(good, matches)).filter(F.col("is_monitorable"))
+def alert_events(known: DataFrame, matches: DataFrame) -> DataFrame:
+    """Classified events of monitored resources that failed or succeeded."""
+    told = with_flags(mapped(known)).filter(F.col("is_monitorable"))
+    return in_scope(told, matches)
 
 
 def alert_log(alerts: DataFrame) -> DataFrame:
@@ -71,16 +71,16 @@ def notifications(alerts: DataFrame, matches: DataFrame, config: AlertConfig) ->
     )
 
 
-def matches_for(events: DataFrame, config: AlertConfig) -> DataFrame:
-    """Groups of the resources that events name."""
-    good = mapped(classified(events, config)).select(
+def matches_for(known: DataFrame, config: AlertConfig) -> DataFrame:
+    """Groups of the resources that classified events name."""
+    named = known.filter(F.col("resource_name").isNotNull()).select(
         "resource_type", "resource_name", "monitored_environment"
     )
-    return match_groups(good, config.monitored, config.match_env)
+    return match_groups(named, config.monitored, config.match_env)
 
 
-def alert_results(events: DataFrame, config: AlertConfig, matches: DataFrame) -> DataFrame:
-    """Per event: type, link, whether it alerts and is logged, and to how many methods.
+def alert_results(known: DataFrame, config: AlertConfig, matches: DataFrame) -> DataFrame:
+    """Per classified event: type, link, whether it alerts and is logged, and to how many methods.
 
     Events of resources outside every group come out with both flags false and no link.
     """
@@ -89,7 +89,7 @@ def alert_results(events: DataFrame, config: AlertConfig, matches: DataFrame) ->
     told = options.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_options"))
     scope = matches.select(*keys).distinct().withColumn("in_scope", F.lit(True))
     found = (
-        with_flags(mapped(classified(events, config)))
+        with_flags(mapped(known))
         .join(bounded_broadcast(scope), keys, "left")
         .join(bounded_broadcast(told), keys, "left")
         .withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))

@@ -54,7 +54,8 @@ def _summary_order() -> Column:
     return F.concat_ws("\u0000", "group_name", X.type_ordinal(F.col("resource_type")).cast("string"))
 
 
-_FIRST = F.lit(0).cast("bigint")
+def _first() -> Column:
+    return F.lit(0).cast("bigint")
 
 
 def generic_tables(summary: DataFrame, health: DataFrame, comments: DataFrame) -> DataFrame:
@@ -67,10 +68,10 @@ def generic_tables(summary: DataFrame, health: DataFrame, comments: DataFrame) -
         summary, SUMMARY,
         _texts("group_name", "service_name", "total_executions", "total_success",
                "total_failures", "total_warnings"),
-        _summary_order(), _FIRST,
+        _summary_order(), _first(),
     )
     noted = health.join(comments, H.ENTRY, "left").withColumns(
-        {"part": F.coalesce("part", _FIRST), "comments": F.coalesce("comments", F.lit(""))}
+        {"part": F.coalesce("part", _first()), "comments": F.coalesce("comments", F.lit(""))}
     )
     first = F.col("part") == 0
     shown = [F.when(first, F.col(c)).otherwise(None) for c in ("success", "errors", "warnings")]
@@ -89,11 +90,11 @@ def catalog_tables(summary: DataFrame, health: DataFrame) -> DataFrame:
     summary_rows = _rows(
         summary, CATALOG_SUMMARY,
         _texts("group_name", "service_name", *[f"total_{c}" for c in added + counts]),
-        _summary_order(), _FIRST,
+        _summary_order(), _first(),
     )
     resource_rows = _rows(
         health, DETAIL, _texts("resource_name", *added, *counts, "comments"),
-        F.concat_ws("\u0000", "resource_name", "monitored_environment"), _FIRST,
+        F.concat_ws("\u0000", "resource_name", "monitored_environment"), _first(),
     )
     return summary_rows.unionByName(resource_rows)
 
@@ -112,8 +113,16 @@ def _text_block(text: Column, style: str) -> Column:
     )
 
 
+def _table_rows() -> Column:
+    """The group's rows as one ordered list."""
+    ordered = F.sort_array(F.collect_list(F.struct("row_order", "values", "style")))
+    return F.transform(
+        ordered, lambda r: F.struct(r["values"].alias("values"), r["style"].alias("style"))
+    ).alias("rows")
+
+
 def _header() -> Column:
-    catalogs = F.col("resource_type") == C.GLUE_CATALOGS
+    catalogs = F.col("block_type") == C.GLUE_CATALOGS
     lists = lambda names: F.array(*[F.lit(n) for n in names])
     return (
         F.when(F.col("section") == SUMMARY, lists(C.SUMMARY_HEADER))
@@ -130,29 +139,29 @@ def report_body(rows: DataFrame, audiences: DataFrame, start: datetime, end: dat
     a table per group and type. A part's size follows from the configuration (its resources
     times one bounded comment text each), never from how many runs there were.
     """
+    detail = F.col("section") == DETAIL
     pairs = audiences.select(
         "audience", F.explode(F.array_distinct("monitoring_groups")).alias("group_name")
     )
-    mine = rows.join(pairs, "group_name")
-    detail = F.col("section") == DETAIL
-    tables = (
-        mine.withColumns(
-            {
-                "header": _header(),
-                "block_group": F.when(detail, F.col("group_name")).otherwise(""),
-                "block_type": F.when(detail, F.col("resource_type")).otherwise(""),
-                "block_order": F.when(detail, X.type_ordinal(F.col("resource_type"))).otherwise(0),
-            }
-        )
-        .groupBy("audience", "part", "section", "block_group", "block_order", "block_type")
-        .agg(
-            F.first("header").alias("header"),
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("row_order", "values", "style"))),
-                lambda r: F.struct(r["values"].alias("values"), r["style"].alias("style")),
-            ).alias("rows"),
+    # A group's own tables are the same for every audience and are put together once; summary
+    # tables mix the groups an audience has.
+    groups = rows.filter(detail).groupBy("group_name", "resource_type", "part").agg(_table_rows())
+    details = groups.join(pairs, "group_name").select(
+        "audience", "part", F.lit(DETAIL).alias("section"), F.col("group_name").alias("block_group"),
+        X.type_ordinal(F.col("resource_type")).alias("block_order"),
+        F.col("resource_type").alias("block_type"), "rows",
+    )
+    summaries = (
+        rows.filter(~detail)
+        .join(pairs, "group_name")
+        .groupBy("audience", "part", "section")
+        .agg(_table_rows())
+        .select(
+            "audience", "part", "section", F.lit("").alias("block_group"),
+            F.lit(0).cast("bigint").alias("block_order"), F.lit("").alias("block_type"), "rows",
         )
     )
+    tables = details.unionByName(summaries).withColumn("header", _header())
     table = F.struct(
         F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("style"),
         "header", "rows",

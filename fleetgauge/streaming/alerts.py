@@ -32,16 +32,16 @@ def run_alerts(
     """Follow event files and write alert log, outbox and unmapped events."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        known = classified(batch, config).persist()
+        matches = matches_for(known, config).persist()
         try:
-            matches = matches_for(batch, config).persist()
-            alerts = alert_events(batch, config, matches)
+            alerts = alert_events(known, matches)
             write_alert_log(alert_log(alerts), out, batch_id)
             write_notifications(notifications(alerts, matches, config), out, batch_id)
-            write_event_errors(event_errors(classified(batch, config)), out, batch_id)
-            matches.unpersist()
+            write_event_errors(event_errors(known), out, batch_id)
         finally:
-            batch.unpersist()
+            matches.unpersist()
+            known.unpersist()
 
     events = read_events(spark, source, streaming=True, prefix=config.prefix, max_files=max_files)
     return run_once(

@@ -103,8 +103,8 @@ _BODY = f"""'AWS Account=' || account || chr(10) || 'AWS Region=' || c.region ||
   WHEN 'glue_catalogs' THEN 'Database Name=' || resource_name || chr(10) || 'Type of Change='
      || CASE s WHEN 3 THEN 'CreateDatabase' ELSE 'UpdateTable' END || chr(10) || 'Execution Info=' || {_A} 'Link to AWS Console</a>'
   WHEN 'glue_data_quality' THEN 'Glue DQ Ruleset Name=' || resource_name || chr(10) || 'State=' || state || {_ERR} || chr(10)
-     || CASE WHEN k % 2 = 0 THEN 'Glue Table Name=tbl-' || k || chr(10) || 'Glue Database Name=db-' || (user_id % 10)
-        ELSE 'Glue Job Name=job-' || (user_id % 12) END || chr(10) || 'Glue DQ Run ID=' || {_A}
+     || CASE WHEN k % 2 = 0 THEN 'Glue Table Name=tbl-' || k || chr(10) || 'Glue Database Name=db-' || (user_id // 2)
+        ELSE 'Glue Job Name=job-' || (user_id // 2) END || chr(10) || 'Glue DQ Run ID=' || {_A}
         CASE WHEN k % 2 = 0 THEN 'rr_' ELSE 'jr_' END || event_id || '</a>'
   WHEN 'lambda_functions' THEN 'Function Name=' || resource_name || chr(10) || 'State=' || state || {_ERR} || chr(10) || 'Log Events='
      || {_A} 'Link to AWS CloudWatch Log Group</a>' || chr(10) || 'Log Stream=2024/01/[$LATEST]' || k || chr(10)
@@ -156,11 +156,11 @@ add(
 
 
 def _matches(v: Views) -> DataFrame:
-    return settle(A.matches_for(v.events(), v.alert_config), "matches")
+    return settle(A.matches_for(_classified(v), v.alert_config), "matches")
 
 
 def _alerts(v: Views, matches: DataFrame) -> DataFrame:
-    return A.alert_events(v.events(), v.alert_config, matches)
+    return A.alert_events(_classified(v), matches)
 
 
 add(
@@ -199,7 +199,7 @@ def _notes(v: Views) -> DataFrame:
 add("snk3_stf7_notifications", lambda v: _note_counts(sinks.ordered_outbox(_notes(v))), _NOTE_SQL)
 add(
     "evt12_alert_results",
-    lambda v: A.alert_results(v.events(), v.alert_config, _matches(v)).select(_id(), "*").drop("event"),
+    lambda v: A.alert_results(_classified(v), v.alert_config, _matches(v)).select(_id(), "*").drop("event"),
     """SELECT event_id, c.resource_type, c.resource_name, in_scope AND result = 'FAILURE' AS event_is_alertable,
         in_scope AND result IN ('SUCCESS', 'FAILURE') AS event_is_monitorable,
         CASE WHEN in_scope THEN url ELSE '' END AS execution_info_url,

@@ -248,7 +248,7 @@ add(
 add(
     "prj17_crawl_summary",
     lambda v: v.raw_crawlers.select(
-        F.col("CrawlId").alias("id"), *[col.alias(n) for n, col in O.parse_crawl_summary(F.col("Summary")).items()]),
+        F.col("CrawlId").alias("id"), O.parse_crawl_summary(F.col("Summary")).alias("s")).select("id", "s.*"),
     """SELECT 'cr_' || event_id AS id, CASE WHEN k % 4 = 2 THEN k ELSE 0 END AS tables_added,
         CASE WHEN k % 4 = 3 THEN k ELSE 0 END AS tables_updated, CASE WHEN k % 4 = 2 THEN 2 ELSE 0 END AS tables_deleted,
         CASE WHEN k % 4 = 3 THEN 5 ELSE 0 END AS partitions_added, 0 AS partitions_updated, 0 AS partitions_deleted
@@ -352,16 +352,16 @@ def _fresh(v: Views, strict: bool) -> DataFrame:
 add(
     "flt1_started_after",
     lambda v: _fresh(v, True),
-    f"""SELECT 'jr_' || event_id AS id, 'job-' || (user_id % 12) AS name FROM ev JOIN (SELECT DISTINCT i.name,
+    f"""SELECT 'jr_' || event_id AS id, 'job-' || (user_id // 2) AS name FROM ev JOIN (SELECT DISTINCT i.name,
         greatest({S}, greatest(coalesce(l.last_update_time, {_MIDDLE}), {_MIDDLE}) - INTERVAL 10 DAYS) AS since_time
         FROM inventory i LEFT JOIN ({_LAST}) l ON i.resource_type = l.resource_type AND i.name = l.resource_name
-        WHERE i.resource_type = 'glue_jobs') s ON s.name = 'job-' || (user_id % 12) WHERE ts > s.since_time""",
+        WHERE i.resource_type = 'glue_jobs') s ON s.name = 'job-' || (user_id // 2) WHERE ts > s.since_time""",
 )
 add(
     "flt1_look_back",
     lambda v: _fresh(v, False),
-    f"""SELECT 'jr_' || event_id AS id, 'job-' || (user_id % 12) AS name FROM ev
-        WHERE user_id % 12 <> 11 AND ts > {_MIDDLE}""",
+    f"""SELECT 'jr_' || event_id AS id, 'job-' || (user_id // 2) AS name FROM ev
+        WHERE user_id // 2 <> 11 AND ts > {_MIDDLE}""",
 )
 add(
     "flt2_log_started_after",
@@ -392,17 +392,17 @@ add(
     "jn12_dq_results_for",
     lambda v: P.dq_results_for(v.raw_dq, v.raw_dq.filter(F.col("StartedOn") > F.lit(START)), "rules-2").select(
         F.col("ResultId").alias("id")),
-    f"SELECT 'dq_' || event_id AS id FROM ev WHERE user_id % 6 = 2 AND ts > {S}",
+    f"SELECT 'dq_' || event_id AS id FROM ev WHERE user_id // 2 = 2 AND ts > {S}",
 )
 add(
     "jn13_app_name", lambda v: M.with_app_name(v.raw_emr, v.apps).groupBy("applicationId", "resource_name").agg(
         F.count(F.lit(1)).alias("n")).withColumnRenamed("applicationId", "app_id"),
-    "SELECT 'app' || (user_id % 4) AS app_id, 'app-' || (user_id % 4) AS resource_name, count(*)::BIGINT AS n FROM ev GROUP BY ALL",
+    "SELECT 'app' || (user_id // 2) AS app_id, 'app-' || (user_id // 2) AS resource_name, count(*)::BIGINT AS n FROM ev GROUP BY ALL",
 )
 add(
     "jn14_machine_arn", lambda v: M.with_machine_arn(v.raw_sfn, v.machines).groupBy("resource_name").agg(
         F.count(F.lit(1)).alias("n")),
-    "SELECT 'sm-' || (user_id % 5) AS resource_name, count(*)::BIGINT AS n FROM ev GROUP BY ALL",
+    "SELECT 'sm-' || (user_id // 2) AS resource_name, count(*)::BIGINT AS n FROM ev GROUP BY ALL",
 )
 
 

@@ -203,7 +203,7 @@ add(
     "str3_name_from_arn", lambda v: v.raw_sfn.select(
         F.col("name").alias("id"), text.name_from_arn(F.col("stateMachineArn")).alias("machine"),
         text.name_from_arn(F.col("executionArn")).alias("missing")),
-    "SELECT 'ex_' || event_id AS id, 'sm-' || (user_id % 5) AS machine, NULL::VARCHAR AS missing FROM ev",
+    "SELECT 'ex_' || event_id AS id, 'sm-' || (user_id // 2) AS machine, NULL::VARCHAR AS missing FROM ev",
 )
 add(
     "str12_display_names",

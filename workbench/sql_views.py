@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 
-from workbench.views import SPREAD, STEMS
+from workbench.views import STEMS
 
-_SPREAD = dict(zip(STEMS, SPREAD))
 TYPES = [
     "glue_jobs", "glue_workflows", "glue_crawlers", "glue_catalogs", "glue_data_quality",
     "lambda_functions", "step_functions", "emr_serverless",
@@ -21,7 +20,7 @@ LONG = "'k=' || k || ' ' || repeat('x', (k + 20)::INT)"
 
 
 def name(stem: str) -> str:
-    return f"'{stem}-' || (user_id % {_SPREAD[stem]})"
+    return f"'{stem}-' || (user_id // 2)"
 
 
 def pick(bad: list[str], open_: str, good: str) -> str:
@@ -80,14 +79,14 @@ VIEWS = {
         CASE WHEN k % 2 = 0 THEN 'rr_' || event_id END AS ruleset_run_id,
         CASE WHEN k % 2 = 0 THEN 'tbl-' || k END AS glue_table_name,
         CASE WHEN k % 2 = 0 THEN {name('db')} END AS glue_db_name,
-        CASE WHEN k % 2 = 1 THEN 'job-' || (user_id % 12) END AS glue_job_name,
+        CASE WHEN k % 2 = 1 THEN {name('job')} END AS glue_job_name,
         CASE WHEN k % 2 = 1 THEN 'jr_' || event_id END AS glue_job_run_id FROM dq_text""",
     "m_step_functions": f"""SELECT {BASE}, {name('sm')} AS resource_name, 'ex_' || event_id AS step_function_run_id,
         1::BIGINT AS execution, {GOOD} AS succeeded, {FLAG} AS failed, {SECONDS} AS duration_sec,
         CASE WHEN {BAD} THEN CASE WHEN k % 2 = 0 THEN 'Err' ELSE '' END || ' {{"k":' || k || '}}' END
             AS error_message FROM ev WHERE NOT ({OPEN})""",
     "m_emr_serverless": f"""SELECT {BASE}, {name('app')} AS resource_name, 'er_' || event_id AS job_run_id,
-        'n' || k AS job_run_name, 'app' || (user_id % 4) AS app_id, 1::BIGINT AS execution,
+        'n' || k AS job_run_name, 'app' || (user_id // 2) AS app_id, 1::BIGINT AS execution,
         {GOOD} AS succeeded, {FLAG} AS failed, floor(value)::DOUBLE AS execution_time_sec,
         CASE WHEN {BAD} THEN {cut("repeat('ab', (2 * k)::INT)", 200)} END AS error_message,
         value AS "total_vCPU_hour", value * 4 AS "total_memory_GB_hour", k::DOUBLE AS "total_storage_GB_hour",
@@ -110,10 +109,10 @@ VIEWS = {
         FROM ev WHERE NOT ({OPEN})""",
     "environments": """SELECT 'env-' || s_suppkey AS name, lpad(s_suppkey::VARCHAR, 12, '0') AS account_id,
         'region-' || (s_suppkey % 4) AS region FROM supplier""",
-    "monitored_raw": "SELECT p_partkey AS p, p_partkey // 5 % 8 AS t, p_partkey // 40 % 5 AS form FROM part",
-    "monitored": f"""SELECT 'group-' || (p % 5) AS group_name, [{', '.join(f"'{t}'" for t in TYPES)}][t + 1] AS resource_type,
-        [{', '.join(f"'{s}'" for s in STEMS)}][t + 1] || CASE form WHEN 0 THEN '-' || (p // 200 % 12) WHEN 1 THEN '-1*'
-          WHEN 2 THEN '-?' WHEN 3 THEN '-[0-4]' ELSE '-missing' || (p % 3) END AS name,
+    "monitored_raw": """SELECT p_partkey AS p, p_partkey // 5 % 8 AS t, p_partkey * 3 // 80 AS near FROM part""",
+    "monitored": f"""SELECT 'group-' || (p // 40) AS group_name, [{', '.join(f"'{t}'" for t in TYPES)}][t + 1] AS resource_type,
+        [{', '.join(f"'{s}'" for s in STEMS)}][t + 1] || '-' || CASE p % 5 WHEN 0 THEN near || '' WHEN 1 THEN near || '*'
+          WHEN 2 THEN near || '?' WHEN 3 THEN near || '[0-4]' ELSE 'missing' || (p % 3) END AS name,
         'env-' || (p % 3) AS monitored_environment, (p % 3 * 20)::INT AS sla_seconds,
         (p % 4 * 10)::INT AS minimum_number_of_runs, p::BIGINT AS entry_order FROM monitored_raw""",
     "inventory": "SELECT * FROM ("
@@ -135,8 +134,8 @@ VIEWS = {
         QUALIFY row_number() OVER (PARTITION BY group_name, resource_type, monitored_environment, name ORDER BY entry_order DESC) = 1""",
     "config": """SELECT e.*, v.account_id, v.region AS region_name FROM expanded e JOIN environments v
         ON e.monitored_environment = v.name""",
-    "subs": """SELECT c_name AS recipient, c_mktsegment AS delivery_method, 'group-' || (o_orderkey % 7) AS monitoring_group,
-        bool_or(o_orderstatus = 'F') AS alerts, bool_or(o_orderkey % 5 = 0) AS digest
+    "subs": """SELECT c_name AS recipient, c_mktsegment AS delivery_method, 'group-' || (o_orderkey // 290) AS monitoring_group,
+        bool_or(o_orderstatus = 'F') AS alerts, bool_or(o_orderkey % 100 = 0) AS digest
         FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL""",
     "methods": """SELECT DISTINCT c_mktsegment AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'AWS_SNS' ELSE 'AWS_SES' END
         AS delivery_method_type FROM customer WHERE c_mktsegment <> 'MACHINERY'""",

@@ -21,8 +21,6 @@ NOW = datetime(2024, 1, 22, 12)
 
 # What names of each type begin with, in the order of types.
 STEMS = ["job", "wf", "crawler", "db", "rules", "fn", "sm", "app"]
-# How many names each type has.
-SPREAD = [12, 9, 7, 10, 6, 8, 5, 4]
 
 c = F.col
 
@@ -41,7 +39,7 @@ REGION = "'region-' || (user_id % 3)"
 
 
 def name_of(stem: str) -> str:
-    return f"('{stem}-' || (user_id % {SPREAD[STEMS.index(stem)]}))"
+    return f"('{stem}-' || (user_id div 2))"
 
 
 def by_outcome(bad: list[str], open_: str, good: str) -> str:
@@ -50,6 +48,15 @@ def by_outcome(bad: list[str], open_: str, good: str) -> str:
     return f"CASE {cases} WHEN {RUNNING} THEN '{open_}' ELSE '{good}' END"
 
 
+def over_all_cores(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, spread evenly; a larger one as it is.
+
+    The test tables are single small files, which one core would read and then work on alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def struct_of(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
 
@@ -71,7 +78,7 @@ class Views:
 
     @cached_property
     def ev(self) -> DataFrame:
-        return self.table("events").selectExpr(
+        return over_all_cores(self.table("events")).selectExpr(
             "event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value",
             "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
         )
@@ -142,10 +149,10 @@ class Views:
         return self._raw(
             ResultId="'dq_' || event_id", Score="k / 100D", RulesetName=name_of("rules"), EvaluationContext="'ctx'",
             RulesetEvaluationRunId="'rr_' || event_id", StartedOn="ts", CompletedOn=LATER,
-            JobName="'job-' || (user_id % 12)", JobRunId="'jr_' || event_id",
+            JobName=name_of("job"), JobRunId="'jr_' || event_id",
             RuleResults=f"slice(array({rule(1, first)}, {rule(2, second)}, {rule(3, repr('PASS'))}), 1, CAST(k % 4 AS INT))",
             DataSource="""named_struct('GlueTable', CASE WHEN k % 2 = 0 THEN
-                named_struct('DatabaseName', 'db-' || (user_id % 10), 'TableName', 'tbl-' || k) END)""",
+                named_struct('DatabaseName', 'db-' || (user_id div 2), 'TableName', 'tbl-' || k) END)""",
         )
 
     @cached_property
@@ -169,7 +176,7 @@ class Views:
         use = lambda f: f"""named_struct('vCPUHour', CASE WHEN k % 10 <> 0 THEN value * {f} END,
             'memoryGBHour', value * 4 * {f}, 'storageGBHour', CAST(k AS DOUBLE))"""
         return self._raw(
-            applicationId="'app' || (user_id % 4)", jobRunId="'er_' || event_id", name="'n' || k", createdAt="ts",
+            applicationId="'app' || (user_id div 2)", jobRunId="'er_' || event_id", name="'n' || k", createdAt="ts",
             updatedAt="ts", state=by_outcome(["FAILED", "CANCELLED"], "RUNNING", "SUCCESS"),
             stateDetails=f"""CASE WHEN {FAILED} THEN '{C.BATCH_STOCK_SENTENCE}' || '  '
                 || repeat('ab', CAST(k * 2 AS INT)) || ' ' END""",
@@ -292,10 +299,11 @@ class Views:
     @cached_property
     def monitored(self) -> DataFrame:
         pick = lambda values: f"element_at(array({', '.join(repr(x) for x in values)}), INT(p_partkey div 5 % 8 + 1))"
+        near = "(p_partkey * 3 div 80)"
         return self.table("part").selectExpr(
-            "'group-' || (p_partkey % 5) AS group_name", f"{pick(C.RESOURCE_TYPES)} AS resource_type",
-            f"""{pick(STEMS)} || CASE p_partkey div 40 % 5 WHEN 0 THEN '-' || (p_partkey div 200 % 12) WHEN 1 THEN '-1*'
-                WHEN 2 THEN '-?' WHEN 3 THEN '-[0-4]' ELSE '-missing' || (p_partkey % 3) END AS name""",
+            "'group-' || (p_partkey div 40) AS group_name", f"{pick(C.RESOURCE_TYPES)} AS resource_type",
+            f"""{pick(STEMS)} || '-' || CASE p_partkey % 5 WHEN 0 THEN {near} || '' WHEN 1 THEN {near} || '*'
+                WHEN 2 THEN {near} || '?' WHEN 3 THEN {near} || '[0-4]' ELSE 'missing' || (p_partkey % 3) END AS name""",
             "'env-' || (p_partkey % 3) AS monitored_environment", "INT(p_partkey % 3 * 20) AS sla_seconds",
             "INT(p_partkey % 4 * 10) AS minimum_number_of_runs", "BIGINT(p_partkey) AS entry_order",
         )
@@ -316,14 +324,14 @@ class Views:
     def subscriptions(self) -> DataFrame:
         """Groups a customer's orders subscribe to."""
         return self.table("orders").groupBy(
-            c("o_custkey").alias("c_custkey"), F.expr("'group-' || (o_orderkey % 7)").alias("monitoring_group")
+            c("o_custkey").alias("c_custkey"), F.expr("'group-' || (o_orderkey div 290)").alias("monitoring_group")
         ).agg(
-            F.expr("bool_or(o_orderstatus = 'F')").alias("alerts"), F.expr("bool_or(o_orderkey % 5 = 0)").alias("digest")
+            F.expr("bool_or(o_orderstatus = 'F')").alias("alerts"), F.expr("bool_or(o_orderkey % 100 = 0)").alias("digest")
         )
 
     @cached_property
     def recipients(self) -> DataFrame:
-        """At most seven subscriptions each."""
+        """A customer's subscriptions, at most one per order."""
         lists = self.subscriptions.groupBy("c_custkey").agg(
             F.expr("sort_array(collect_list(struct(monitoring_group, alerts, digest)))").alias("subscriptions")
         )
@@ -387,7 +395,7 @@ class Views:
             "stopDate": f"CASE WHEN {s} = 6 AND NOT {RUNNING} THEN unix_millis(ts) + 1000 END",
             "lambdaName": on(7, "'fn-' || (user_id % 8)"), "request_id": on(7, "'req-' || event_id"),
             "log_stream": on(7, "'2024/01/[$LATEST]' || k"),
-            "applicationId": f"CASE WHEN {s} = 8 AND k % 10 <> 0 THEN 'app' || (user_id % 4) END",
+            "applicationId": f"CASE WHEN {s} = 8 AND k % 10 <> 0 THEN 'app' || (user_id div 2) END",
         }
         envelope = {
             "version": "'0'", "id": "'id' || event_id", "detail-type": pick(DETAIL_TYPES), "source": pick(SOURCES),
