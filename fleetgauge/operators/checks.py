@@ -66,9 +66,10 @@ def _missing_fields(raw: DataFrame, file: str) -> DataFrame:
     """Names of required lists and fields a parsed file lacks."""
     parts = []
     for name, fields in REQUIRED[file]:
-        parts.append(raw.select(F.when(F.col(name).isNull(), name).alias("missing")))
+        there = F.coalesce(F.max(F.col(name).isNotNull()), F.lit(False))
+        parts.append(raw.agg(F.when(~there, name).alias("missing")))
         as_list = F.array(name) if name == "tooling_environment" else F.col(name)
-        one = raw.select(F.explode(as_list).alias("r"))
+        one = raw.filter(F.col(name).isNotNull()).select(F.explode(as_list).alias("r"))
         for field in fields:
             parts.append(one.select(F.when(F.col(f"r.{field}").isNull(), f"{name}.{field}").alias("missing")))
     if file == "recipients":

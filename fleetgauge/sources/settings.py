@@ -60,16 +60,16 @@ def with_defaults(monitored: DataFrame) -> DataFrame:
     )
 
 
-def _read(spark: SparkSession, path: str, name: str, ddl: str) -> DataFrame:
-    file = f"{path.rstrip('/')}/{name}.json"
-    # FAILFAST turns broken JSON into an error; a wrong type is caught by the checks.
-    text = spark.read.text(file, wholetext=True)
-    if text.isEmpty():
-        raise ValueError(f"{file} is empty")
-    return text.select(F.from_json("value", ddl, {"mode": "PERMISSIVE"}).alias("j"), "value").select(
-        F.when(F.try_parse_json("value").isNull(), F.raise_error(F.lit(f"Error parsing JSON data in {name}.json")))
-        .otherwise(F.col("j"))
-        .alias("j")
+def _read(spark: SparkSession, path: str, name: str, ddl: str, lines: bool) -> DataFrame:
+    """The documents of one file, parsed; a document that is not JSON is an error.
+
+    A value of the wrong type reads as missing, which the checks then find.
+    """
+    texts = spark.read.text(f"{path.rstrip('/')}/{name}.json", wholetext=not lines)
+    broken = F.raise_error(F.lit(f"Error parsing JSON data in {name}.json"))
+    parsed = F.from_json("value", ddl, {"mode": "PERMISSIVE"})
+    return texts.select(
+        F.when(F.try_parse_json("value").isNull(), broken).otherwise(parsed).alias("j")
     ).select("j.*")
 
 
@@ -106,17 +106,22 @@ def _entries(groups: DataFrame) -> DataFrame:
     )
 
 
-def load_settings(spark: SparkSession, path: str) -> Settings:
-    """Read general, monitoring_groups and recipients (needed) and replacements (optional)."""
+def load_settings(spark: SparkSession, path: str, lines: bool = False) -> Settings:
+    """Read general, monitoring_groups and recipients (needed) and replacements (optional).
+
+    Each is one JSON document. A generated configuration too large for that can come as
+    folders of lines instead (`lines`): every line is a document with some of the records, a
+    monitoring group always whole.
+    """
     mapping = _replacements(spark, path)
     files = {
         "general": schemas.GENERAL_DDL,
         "monitoring_groups": schemas.GROUPS_DDL,
         "recipients": schemas.RECIPIENTS_DDL,
     }
-    raw = {n: apply_replacements(_read(spark, path, n, ddl), mapping) for n, ddl in files.items()}
+    raw = {n: apply_replacements(_read(spark, path, n, ddl, lines), mapping) for n, ddl in files.items()}
     general, groups = raw["general"], raw["monitoring_groups"]
-    tooling = general.select("tooling_environment.*").withColumns(
+    tooling = general.filter(F.col("tooling_environment").isNotNull()).select("tooling_environment.*").withColumns(
         {
             "digest_report_period_hours": F.coalesce(
                 "digest_report_period_hours", F.lit(C.DIGEST_PERIOD_HOURS)

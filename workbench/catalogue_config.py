@@ -21,27 +21,26 @@ _ENTRY = "group_name, resource_type, name, monitored_environment, sla_seconds, m
 
 
 def _files(v: Views) -> str:
-    """Write the derived configuration as the three files (and replacements) would hold it.
+    """Write the derived configuration as folders of documents, one per record.
 
     Environment names carry a placeholder, and every third entry leaves its figures out.
     """
     path = scratch_path(v.spark, "settings")
-    one = lambda df, name: df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1)
     holed = lambda col: F.replace(col, F.lit("env-"), F.lit("<<stage>>-"))
-    envs = v.environments.select(holed(F.col("name")).alias("name"), "account_id", "region")
-    general = v.environments.limit(1).select(
-        F.struct(
-            F.lit("tool").alias("name"), F.lit("1").alias("account_id"), F.lit("<<where>>").alias("region"),
-            F.lit("cron").alias("metrics_collection_cron_expression"),
-        ).alias("tooling_environment")
-    ).crossJoin(envs.agg(F.sort_array(F.collect_list(F.struct("name", "account_id", "region"))).alias("monitored_environments"))
-    ).crossJoin(v.delivery_methods.agg(F.sort_array(F.collect_list(F.struct("name", "delivery_method_type"))).alias("delivery_methods")))
+    doc = lambda df, name, *fields: df.select(F.to_json(F.struct(F.array(F.struct(*fields)).alias(name))).alias("value"))
+    tool = v.spark.range(1).select(F.to_json(F.struct(F.struct(
+        F.lit("tool").alias("name"), F.lit("1").alias("account_id"), F.lit("<<where>>").alias("region"),
+        F.lit("cron").alias("metrics_collection_cron_expression")).alias("tooling_environment"))).alias("value"))
+    general = tool.unionAll(
+        doc(v.environments, "monitored_environments", holed(F.col("name")).alias("name"), "account_id", "region")
+    ).unionAll(doc(v.delivery_methods, "delivery_methods", "name", "delivery_method_type"))
     plain = F.col("entry_order") % 3 == 0
     entry = F.struct(
         "entry_order", "name", holed(F.col("monitored_environment")).alias("monitored_environment_name"),
         F.when(~plain, F.col("sla_seconds")).alias("sla_seconds"),
         F.when(~plain, F.col("minimum_number_of_runs")).alias("minimum_number_of_runs"),
     )
+    # A group of the derived configuration has 40 entries.
     sections = v.monitored.groupBy("group_name").agg(
         *[
             F.transform(
@@ -52,35 +51,39 @@ def _files(v: Views) -> str:
             for t in C.RESOURCE_TYPES
         ]
     )
-    groups = sections.agg(F.sort_array(F.collect_list(F.struct("group_name", *C.RESOURCE_TYPES))).alias("monitoring_groups"))
-    recipients = v.recipients.agg(F.sort_array(F.collect_list(
-        F.struct("recipient", "delivery_method", "subscriptions"))).alias("recipients"))
-    for name, df in (("general", general), ("monitoring_groups", groups), ("recipients", recipients)):
-        one(df, name).write.text(f"{path}/{name}.json")
-    v.spark.range(1).select(
-        F.lit(json.dumps({"<<stage>>": "<<short>>v", "<<short>>": "en", "<<where>>": "eu"})).alias("value")
-    ).write.text(f"{path}/replacements.json")
+    files = {
+        "general": general, "monitoring_groups": doc(sections, "monitoring_groups", "group_name", *C.RESOURCE_TYPES),
+        "recipients": doc(v.recipients, "recipients", "recipient", "delivery_method", "subscriptions"),
+        "replacements": v.spark.range(1).select(
+            F.lit(json.dumps({"<<stage>>": "<<short>>v", "<<short>>": "en", "<<where>>": "eu"})).alias("value")),
+    }
+    for name, df in files.items():
+        df.write.text(f"{path}/{name}.json")
     return path
 
 
+def _loaded(v: Views) -> ST.Settings:
+    return ST.load_settings(v.spark, _files(v), lines=True)
+
+
 _DEFAULTED = """SELECT group_name, resource_type, name, monitored_environment,
     CASE WHEN entry_order % 3 = 0 THEN 0 ELSE sla_seconds END AS sla_seconds,
     CASE WHEN entry_order % 3 = 0 THEN 0 ELSE minimum_number_of_runs END AS minimum_number_of_runs FROM monitored"""
 add(
     "src1_src3_src4_monitored_resources",
-    lambda v: ST.monitored_resources(ST.load_settings(v.spark, _files(v))).drop("entry_order"),
+    lambda v: ST.monitored_resources(_loaded(v)).drop("entry_order"),
     _DEFAULTED,
 )
-add("src1_environments", lambda v: ST.load_settings(v.spark, _files(v)).environments.select("name", "account_id", "region"),
+add("src1_environments", lambda v: _loaded(v).environments.select("name", "account_id", "region"),
     "SELECT * FROM environments")
 add(
     "src1_recipients",
-    lambda v: M.subscriptions(ST.load_settings(v.spark, _files(v)).recipients),
+    lambda v: M.subscriptions(_loaded(v).recipients),
     "SELECT * FROM subs",
 )
 add(
     "src3_tooling_defaults",
-    lambda v: ST.load_settings(v.spark, _files(v)).tooling.select(
+    lambda v: _loaded(v).tooling.select(
         "region", "digest_report_period_hours", "digest_cron_expression"),
     "SELECT 'eu' AS region, 24 AS digest_report_period_hours, 'cron(0 8 * * ? *)' AS digest_cron_expression FROM (SELECT count(*) FROM supplier)",
 )
@@ -226,7 +229,7 @@ def _check_sql(rule: str, what: str, values: str) -> str:
 
 
 add("val1_check_schema",
-    lambda v: _flat(K.check_schema(ST.load_settings(v.spark, _files(v)).raw["monitoring_groups"], "monitoring_groups")),
+    lambda v: _flat(K.check_schema(_loaded(v).raw["monitoring_groups"], "monitoring_groups")),
     _check_sql("schema of monitoring_groups", "x", "SELECT 'x' AS v FROM monitored WHERE name IS NULL"))
 add("val2_unique_environment_names", lambda v: _flat(K.check_unique(v.environments, "name", "r", "w")),
     _check_sql("r", "w", "SELECT name AS v FROM environments GROUP BY name HAVING count(*) > 1"))
@@ -250,7 +253,7 @@ add("val7_methods_exist",
     lambda v: _flat(K.check_refs(v.recipients, "delivery_method", v.delivery_methods, "name", "r", "w")),
     _check_sql("r", "w", "SELECT c_mktsegment AS v FROM customer WHERE c_mktsegment = 'MACHINERY'"))
 add("val_all_rules",
-    lambda v: K.check_settings(ST.load_settings(v.spark, _files(v))).select("rule", "ok"),
+    lambda v: K.check_settings(_loaded(v)).select("rule", "ok"),
     """SELECT * FROM (VALUES ('schema of general', true), ('schema of monitoring_groups', true), ('schema of recipients', true),
         ('environment names', true), ('environment accounts', true), ('group names', true), ('monitored environments', true),
         ('subscribed groups', (SELECT count(*) = 0 FROM subs WHERE monitoring_group NOT IN (SELECT group_name FROM monitored))),
