@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def in_utc(value: datetime) -> datetime:
+    """The moment with its zone; one without a zone is meant in UTC."""
+    return value.astimezone(timezone.utc) if value.tzinfo else value.replace(tzinfo=timezone.utc)
+
+
+def moment(value: datetime) -> Column:
+    """A fixed time as a column. Without this a naive value would mean local time."""
+    return F.lit(in_utc(value))
+
+
 def to_ms(ts: Column) -> Column:
     """A timestamp cut to milliseconds, the grain metrics are stored at."""
     return F.timestamp_millis(F.unix_millis(ts))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
 from fleetgauge.functions.text import signed
+from fleetgauge.functions.timefn import moment
 from fleetgauge.operators.digest_runs import COUNTS, count_changes, latest
 from fleetgauge.sources.tables import in_period
 
@@ -166,7 +167,7 @@ def series(metrics: DataFrame, resource_type: str, measures: list[str], **filter
 
 def totals_since(metrics: DataFrame, since: datetime, measures: list[str]) -> DataFrame:
     """Sums of measures over records strictly after a time."""
-    return metrics.filter(F.col("time") > F.lit(since)).agg(*[F.sum(m).alias(m) for m in measures])
+    return metrics.filter(F.col("time") > moment(since)).agg(*[F.sum(m).alias(m) for m in measures])
 
 
 # --- alert log ------------------------------------------------------------------------

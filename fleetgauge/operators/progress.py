@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
+from fleetgauge.functions.timefn import moment
 from fleetgauge.session import bounded_broadcast
 
 RESOURCE = ["resource_type", "resource_name"]
@@ -54,7 +55,7 @@ def since_times(
 
     The given last update, else the stored maximum, else the floor; never before the floor.
     """
-    floor = F.lit(writable_floor(now, hours))
+    floor = moment(writable_floor(now, hours))
     out = resources.join(last_update.select(*RESOURCE, "last_update_time"), RESOURCE, "left")
     known = [F.col("last_update_time")]
     if stored is not None:
@@ -74,7 +75,7 @@ def earliest_since(names: DataFrame, last_update: DataFrame, floor: datetime) ->
     )
     missing = F.count_if(F.col("last_update_time").isNull())
     return joined.agg(
-        F.when((missing > 0) | (F.count(F.lit(1)) == 0), F.lit(floor))
+        F.when((missing > 0) | (F.count(F.lit(1)) == 0), moment(floor))
         .otherwise(F.min("last_update_time"))
         .alias("since_time")
     )
@@ -89,9 +90,9 @@ def started_after(
     smallest time is also applied as a plain filter, so the scan can skip old files.
     """
     keys = keys or ["resource_name"]
-    lowest = since.agg(F.min("since_time")).first()[0]
+    lowest = since.agg(F.min(F.unix_micros("since_time"))).first()[0]
     small = bounded_broadcast(since.select(*keys, "since_time"))
-    recent = df.filter(F.col(start) > F.lit(lowest)) if lowest is not None else df
+    recent = df.filter(F.col(start) > F.timestamp_micros(F.lit(lowest))) if lowest is not None else df
     return recent.join(small, keys).filter(F.col(start) > F.col("since_time")).drop("since_time")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
+from fleetgauge.functions.timefn import moment
 from fleetgauge.operators.logs import sessionise
 from fleetgauge.operators.matching import with_account
 from fleetgauge.operators.normalise import NORMALISERS, normalise
@@ -41,7 +42,7 @@ def to_collect(
     name, start = RAW_KEYS[resource_type]
     bounds = since.filter(F.col("resource_type") == resource_type)
     if not strict:
-        bounds = bounds.withColumn("since_time", F.lit(writable_floor(now)))
+        bounds = bounds.withColumn("since_time", moment(writable_floor(now)))
     bounds = bounds.select("resource_name", "since_time").distinct()
     if resource_type == C.LAMBDA_FUNCTIONS:
         return log_started_after(runs, bounds, name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
 from fleetgauge.functions import text as X
-from fleetgauge.functions.timefn import digest_window
+from fleetgauge.functions.timefn import digest_window, moment
 from fleetgauge.operators import health as H
 from fleetgauge.operators.digest_runs import digest_runs
 from fleetgauge.operators.matching import (
@@ -179,7 +179,7 @@ def report_body(rows: DataFrame, audiences: DataFrame, start: datetime, end: dat
     )
     opening = F.array(
         _text_block(F.lit("Digest Summary"), "header"),
-        _text_block(X.period_text(F.lit(start), F.lit(end)), "h11"),
+        _text_block(X.period_text(moment(start), moment(end)), "h11"),
     )
     body = F.flatten(F.transform("all", lambda b: b["blocks"]))
     return ordered.select(
@@ -200,7 +200,7 @@ def reports(bodies: DataFrame, audiences: DataFrame, end: datetime) -> DataFrame
     who = audiences.select("audience", "delivery_method", "delivery_method_type", "recipients")
     return bodies.join(who, "audience").select(
         F.col("audience").alias("message_group_id"), "part", "delivery_method",
-        "delivery_method_type", "recipients", X.digest_subject(F.lit(end)).alias("message_subject"),
+        "delivery_method_type", "recipients", X.digest_subject(moment(end)).alias("message_subject"),
         "message_body",
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql.utils import AnalysisException
 
 from fleetgauge import constants as C
 from fleetgauge import schemas
+from fleetgauge.functions.timefn import in_utc, moment
+
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def table_path(base: str, resource_type: str) -> str:
@@ -32,9 +35,9 @@ def metrics(spark: SparkSession, base: str, resource_type: str) -> DataFrame:
 
 def in_period(df: DataFrame, start: datetime, end: datetime, time: str = "time") -> DataFrame:
     """Rows between two times, both included. Prunes date partitions when there are any."""
-    kept = df.filter(F.col(time).between(F.lit(start), F.lit(end)))
+    kept = df.filter(F.col(time).between(moment(start), moment(end)))
     if "date" in df.columns:
-        kept = kept.filter(F.col("date").between(F.lit(start.date()), F.lit(end.date())))
+        kept = kept.filter(F.col("date").between(F.lit(in_utc(start).date()), F.lit(in_utc(end).date())))
     return kept
 
 
@@ -69,10 +72,12 @@ def write_metrics(
     if dedupe:
         spark = df.sparkSession
         stored = metrics(spark, base, resource_type)
-        span = new.agg(F.min("time"), F.max("time")).first()
+        micros = F.unix_micros("time")
+        span = new.agg(F.min(micros), F.max(micros)).first()
         if span[0] is None:
             return
-        new = unseen(new, in_period(stored, span[0], span[1]), resource_type)
+        first, last = (EPOCH + timedelta(microseconds=m) for m in span)
+        new = unseen(new, in_period(stored, first, last), resource_type)
     dated = new.withColumn("date", F.to_date("time"))
     dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(
         table_path(base, resource_type)
@@ -82,13 +87,13 @@ def write_metrics(
 def prune(df: DataFrame, now: datetime, days: int = C.RETENTION_DAYS) -> DataFrame:
     """Rows still inside the retention time."""
     floor = now - timedelta(days=days)
-    kept = df.filter(F.col("time") >= F.lit(floor))
-    return kept.filter(F.col("date") >= F.lit(floor.date())) if "date" in df.columns else kept
+    kept = df.filter(F.col("time") >= moment(floor))
+    return kept.filter(F.col("date") >= F.lit(in_utc(floor).date())) if "date" in df.columns else kept
 
 
 def accept_writes(df: DataFrame, now: datetime, hours: int = C.WRITABLE_HOURS) -> DataFrame:
     """Rows recent enough to be written."""
-    return df.filter(F.col("time") >= F.lit(now - timedelta(hours=hours)))
+    return df.filter(F.col("time") >= moment(now - timedelta(hours=hours)))
 
 
 def is_empty(df: DataFrame) -> bool:

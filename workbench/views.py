@@ -6,7 +6,7 @@ configuration comes from `supplier`, `part`, `customer` and `orders`, so it grow
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +16,8 @@ from fleetgauge import constants as C
 from fleetgauge.operators import normalise as N
 from fleetgauge.session import settle
 
-START, END = datetime(2024, 1, 8), datetime(2024, 1, 22)
-NOW = datetime(2024, 1, 22, 12)
+START, END = datetime(2024, 1, 8, tzinfo=timezone.utc), datetime(2024, 1, 22, tzinfo=timezone.utc)
+NOW = datetime(2024, 1, 22, 12, tzinfo=timezone.utc)
 
 # What names of each type begin with, in the order of types.
 STEMS = ["job", "wf", "crawler", "db", "rules", "fn", "sm", "app"]
