@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry_points
 from fleetgauge import constants as C
 from fleetgauge.operators import explore
+from workbench import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
@@ -26,7 +27,8 @@ def plain(x):
 
 def test_every_query_has_its_sql():
     queries, sql = entry_points.queries(), entry_points.oracle_sql()
-    assert set(queries) == set(sql) and len(queries) > 150
+    assert set(catalogue.SPARK) == set(catalogue.SQL) and len(catalogue.SPARK) > 150
+    assert set(catalogue.SPARK) <= set(queries) and set(sql) <= set(queries)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
