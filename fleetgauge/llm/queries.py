@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bpe, host_quality, mixing, simhash, topk, urls
+from fleetgauge.llm import bpe, host_quality, html_text, mixing, secret_scan, simhash, topk, toxicity, urls
 
 #: Where the vocabulary of the encoder lies on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -186,3 +186,22 @@ SELECT doc_id, size, source_size, target,
   ((certain + CASE WHEN need > 0 AND ahead + size / 2 <= need THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM ranked
 """
+
+
+@query
+def op3_secret_scan(spark, sf_dir):
+    """Secrets of all documents."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.learn(docs, labels))
+
+
+@query
+def op9_html_text(spark, sf_dir):
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
