@@ -6,8 +6,9 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -16,17 +17,22 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Work a table out once and keep it in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    The cluster names that folder in spark.checkpoint.dir. Only a single-machine session
-    without that setting gets a temporary one.
+    Only a single-machine session without that setting gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetgauge-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Work a table out once and keep it, as a checkpoint, where all executors see it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -49,3 +55,19 @@ def map_rows(df: DataFrame, one: Callable[..., tuple], schema: T.StructType) ->
                 )
 
     return df.mapInArrow(run, schema)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
+    """Logistic regression by Newton's method; the bias is not shrunk."""
+    w = np.zeros(x.shape[1])
+    shrink = np.full(x.shape[1], ridge)
+    shrink[0] = 1e-3
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (y - p) - shrink * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
+        step = np.linalg.solve(curve, slope)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w

@@ -12,8 +12,8 @@ ends, and only the documents of that one bucket are put in order. The random num
 digest of the id, so reruns agree.
 
 Edge cases: a null text has size 0; a null source is a source, the last one; a source without
-words gets target 0; equal rows rank by id and size and may be taken separately; preferences
-that are null or not positive count as 1; null ids share one random number; an empty table
+words gets target 0; equal rows are taken or left together; preferences that are null or not
+positive count as 1; documents without an id draw their number from their text; an empty table
 gives an empty table; other columns are kept by `mix` and ignored by `plan_mix`.
 """
 
@@ -31,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 #: Most copies of a source, and so of a document.
 CAP = 2
+#: Rows of the table of sources up to which it is sent to every task.
+MAX_SENT = 20_000
 #: Buckets of ranks in a source.
 BUCKETS = 4096
 
@@ -41,12 +43,12 @@ def n_words(text: Column) -> Column:
 
 def uniform(key: Column) -> Column:
     """A number in (0, 1) from the digest of a key."""
-    digest = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 12)
+    digest = F.substring(F.md5(F.coalesce(key, F.lit(""))), 1, 12)
     return (F.conv(digest, 16, 10).cast("long") + 0.5) / F.lit(float(2**48))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """(source, source_size, target) from one row (source, source_size) per source.
+    """(source, source_size, wanted_size, target) from one row per source.
 
     Sources in order of their cap per weight: those before the first that stays below its
     share are capped, the others share what is left. One row per source stands here, so the
@@ -67,73 +69,131 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float =
     # The level rises while sources are capped and falls after the last capped one.
     highest = F.max("level").over(everything)
     return levelled.select(
-        "source", "source_size",
+        "source", "source_size", "wanted_size",
         F.least(F.col("most").cast("double"), highest * F.col("weight")).alias("target"),
     )
 
 
-def plan_mix(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, cap: float = CAP,
-    buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    preference_col: str | None = None,
-) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every document."""
+def _measured(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, preference_col: str | None
+) -> dict[str, Column]:
+    """What a decision needs of a document, under names of its own."""
     wanted = F.col(preference_col).cast("double") if preference_col else F.lit(1.0)
-    sized = cut(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-            F.when(wanted > 0, wanted).otherwise(1.0).alias("wanted"),
+    return {
+        "_mix_source": F.col(source_col),
+        "_mix_size": n_words(F.col(text_col)),
+        "_mix_wanted": F.when(wanted > 0, wanted).otherwise(1.0),
+        "_mix_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))),
+        "_mix_u": uniform(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))),
+    }
+
+
+def _with_source(rows: DataFrame, per_source: DataFrame, small: bool) -> DataFrame:
+    """Attach a source's row; the small table is sent to every task, a large one is joined by shuffle."""
+    side = F.broadcast(per_source) if small else per_source
+    return rows.join(side, F.col("_mix_source").eqNullSafe(F.col("s")))
+
+
+def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
+    """Pareto rank (odds of the random number over inclusion odds, as a share) and its bucket."""
+    chance = F.least(
+        F.lit(1 - 1e-9),
+        F.col("fraction") * F.col("_mix_wanted") * F.greatest(F.col("source_size"), F.lit(1)) / F.greatest(F.col("wanted_size"), F.lit(1e-9)),
+    )
+    u, c = F.col("_mix_u"), F.col("_mix_chance")
+    odds = (u / (1 - u)) / (c / (1 - c))
+    rank = F.when(c > 0, odds / (1 + odds)).otherwise(1.0)
+    return (
+        rows.withColumn("_mix_chance", chance).withColumn("_mix_rank", rank)
+        .withColumn("_mix_bucket", F.least(F.floor(F.col("_mix_rank") * buckets), F.lit(buckets - 1)))
+    )
+
+
+def _key() -> Column:
+    """Order of a source's documents."""
+    return F.struct("_mix_rank", "_mix_id", "_mix_size")
+
+
+def thresholds(
+    sized: DataFrame, weights: Sequence[float], total: float, cap: float, buckets: int
+) -> tuple[DataFrame, bool]:
+    """One row per source with its target, certain copies and the last rank that gets one more.
+
+    Also whether the table is small enough to be sent to every task.
+    """
+    by_source = cut(
+        sized.groupBy(F.col("_mix_source").alias("source")).agg(
+            F.sum("_mix_size").alias("source_size"), F.sum(F.col("_mix_size") * F.col("_mix_wanted")).alias("wanted_size")
         )
     )
-    by_source = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("wanted")).alias("wanted_size")
-    )
+    small = by_source.limit(MAX_SENT + 1).count() <= MAX_SENT
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per_source = (
-        targets(by_source.select("source", "source_size"), weights, total, cap)
-        .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("certain", F.floor("ratio"))
+        targets(by_source, weights, total, cap)
+        .withColumn("certain", F.floor(ratio))
+        .withColumn("fraction", ratio - F.col("certain"))
         .withColumn("need", F.col("target") - F.col("certain") * F.col("source_size"))
         .withColumnRenamed("source", "s")
-        .join(by_source.select(F.col("source").alias("b"), "wanted_size"), F.col("s").eqNullSafe(F.col("b")))
-        .drop("b")
     )
-    chance = F.least(
-        F.lit(1 - 1e-9),
-        (F.col("ratio") - F.col("certain")) * F.col("wanted") * F.greatest(F.col("source_size"), F.lit(1)) / F.greatest(F.col("wanted_size"), F.lit(1e-9)),
-    )
-    u = uniform(F.col("doc_id"))
-    odds = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
-    ranked = (
-        sized.join(per_source, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("chance", chance)
-        .withColumn("rank", F.when(F.col("chance") > 0, odds / (1 + odds)).otherwise(1.0))
-        .withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)))
-        .select("doc_id", "source", "size", "source_size", "target", "certain", "need", "rank", "bucket")
-    )
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    ahead = F.coalesce(
-        F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
+    ranked = _ranked(_with_source(sized, per_source, small), buckets)
+    sums = ranked.groupBy("_mix_source", "_mix_bucket").agg(
+        F.sum("_mix_size").alias("words"), F.first("need").alias("need")
     )
+    before = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = (
-        sums.withColumn("ahead", ahead)
+        sums.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0)))
         .where("need > 0 AND ahead < need AND ahead + words >= need")
-        .groupBy(F.col("source").alias("s"))
-        .agg(F.min("bucket").alias("last_bucket"), F.min("ahead").alias("ahead"))
+        .groupBy(F.col("_mix_source").alias("e"))
+        .agg(F.min("_mix_bucket").alias("last_bucket"), F.min("ahead").alias("ahead"))
     )
     # Without such a bucket nothing is needed, or (by rounding) everything is.
-    placed = ranked.join(last, F.col("source").eqNullSafe(F.col("s")), "left").withColumn(
+    per_source = per_source.join(last, F.col("s").eqNullSafe(F.col("e")), "left").drop("e").withColumn(
         "last_bucket", F.coalesce("last_bucket", F.when(F.col("need") > 0, F.lit(buckets)).otherwise(F.lit(-1)))
     )
-    whole = placed.where("bucket <> last_bucket").withColumn("extra", (F.col("bucket") < F.col("last_bucket")).cast("long"))
-    within = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where("bucket = last_bucket").withColumn(
-        "extra",
-        (F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2 <= F.col("need")).cast("long"),
+    per_source = cut(per_source)
+    edge = _ranked(_with_source(sized, per_source, small), buckets).where("_mix_bucket = last_bucket")
+    within = Window.partitionBy("_mix_source").orderBy(_key()).rowsBetween(Window.unboundedPreceding, -1)
+    taken = edge.withColumn("sum", F.col("ahead") + F.coalesce(F.sum("_mix_size").over(within), F.lit(0))).where(
+        F.col("sum") + F.col("_mix_size") / 2 <= F.col("need")
     )
-    copies = F.col("certain") + F.col("extra")
-    return whole.unionByName(edge).select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    ends = taken.groupBy(F.col("_mix_source").alias("e")).agg(F.max(_key()).alias("last_key"))
+    return cut(per_source.join(ends, F.col("s").eqNullSafe(F.col("e")), "left").drop("e", "ahead", "need")), small
+
+
+def _decided(rows: DataFrame, per_source: DataFrame, small: bool, buckets: int) -> DataFrame:
+    """Adds the number of copies, which depends on the document and its source's row alone."""
+    extra = (F.col("_mix_bucket") < F.col("last_bucket")) | (
+        (F.col("_mix_bucket") == F.col("last_bucket")) & F.coalesce(_key() <= F.col("last_key"), F.lit(False))
     )
+    ranked = _ranked(_with_source(rows, per_source, small), buckets)
+    return ranked.withColumn("_mix_copies", F.col("certain") + extra.cast("long"))
+
+
+def plan_mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, cap: float = CAP,
+    buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    preference_col: str | None = None,
+) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) of every document."""
+    columns = _measured(docs, id_col, text_col, source_col, preference_col)
+    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(n) for n, c in columns.items()]))
+    decided = _decided(sized, *thresholds(sized, weights, total, cap, buckets), buckets)
+    return decided.select(
+        "doc_id", F.col("_mix_size").alias("size"), "source_size", "target", F.col("_mix_copies").alias("copies"),
+        (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"),
+    )
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, cap: float = CAP,
+    buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    preference_col: str | None = None,
+) -> DataFrame:
+    """The mixed documents, all columns, each as often as the mix takes it."""
+    columns = _measured(docs, id_col, text_col, source_col, preference_col)
+    sized = cut(docs.select([c.alias(n) for n, c in columns.items()]))
+    per_source, small = thresholds(sized, weights, total, cap, buckets)
+    whole = docs.select(F.struct(*docs.columns).alias("_mix_row"), *[c.alias(n) for n, c in columns.items()])
+    decided = _decided(whole, per_source, small, buckets).where("_mix_copies > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies"))
+    return decided.select("_mix_row", copies.alias("_mix_copy")).select("_mix_row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bpe, host_quality, html_text, mixing, secret_scan, simhash, topk, toxicity, urls
+from fleetgauge.llm import bpe, host_quality, html_text, mixing, pii, secret_scan, simhash, topk, toxicity, urls
 
 #: Where the vocabulary of the encoder lies on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -160,7 +160,7 @@ SQL["op10_mix"] = f"""
 WITH sized AS (
   SELECT doc_id, source,
     len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / pow(2, 48) AS u
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / pow(2, 48) AS u
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -205,3 +205,9 @@ def op7_toxicity(spark, sf_dir):
 def op9_html_text(spark, sf_dir):
     """Main text of all pages."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_pii(spark, sf_dir):
+    """Personal data of all documents."""
+    return pii.redactions(table(spark, sf_dir, "documents"))

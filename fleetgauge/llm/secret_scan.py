@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from math import log10
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,7 +199,9 @@ def redact(docs: DataFrame, least_cost: float = LEAST_COST, text_col: str = "tex
     """All rows and columns, secrets in the text replaced."""
     at = docs.columns.index(text_col)
 
-    def one(*row):
-        return *row[:at], redacted(row[at], least_cost), *row[at + 1 :]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([redacted(t, least_cost) for t in batch.column(at).to_pylist()], batch.schema.types[at])
+            yield batch.set_column(at, batch.schema.field(at), texts)
 
-    return map_rows(docs, one, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

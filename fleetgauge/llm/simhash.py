@@ -247,3 +247,17 @@ def near_groups(
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(named, "root").select("fp", "component_id")
     return marks.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents, all columns, one of each group: the one with the smallest id.
+
+    Documents without an id cannot be told apart by it and stay. Rows that repeat a kept id stay
+    once where they are equal in all columns.
+    """
+    groups = near_groups(docs, id_col=id_col, **options)
+    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows"))
+    joined = docs.join(kept, docs[id_col].cast("long") == kept["_kept_id"])
+    single = joined.where("_kept_rows = 1").select(docs.columns)
+    repeated = joined.where("_kept_rows > 1").select(docs.columns).distinct()
+    return single.unionByName(repeated).unionByName(docs.where(docs[id_col].isNull()))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import cut
+from fleetgauge.llm.common import cut, fit_logistic
 
 #: Labelled rows the model is fitted on, at most.
 MAX_TRAINING_ROWS = 20_000
@@ -254,22 +254,6 @@ def learn_lexicon(train: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     return covering([(r["term"], r["toxic"]) for r in chosen])
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton's method; the bias is not shrunk."""
-    w = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
-    shrink[0] = 1e-3
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - shrink * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
-        step = np.linalg.solve(curve, slope)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
-
-
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[str], list[float]]:
     """Lexicon and weights."""
     train = training_texts(docs, labels, max_rows)
@@ -285,7 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
     x = np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES)
     y = np.array([r["y"] for r in rows], float)
     order = np.lexsort(np.column_stack([x, y]).T)  # the same sums in whatever order rows come
-    return terms, fit(x[order], y[order]).tolist()
+    return terms, fit_logistic(x[order], y[order]).tolist()
 
 
 def _scores(texts: list[str | None], lexicon: FuzzyLexicon, weights: np.ndarray) -> np.ndarray:
