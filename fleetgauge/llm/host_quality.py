@@ -102,14 +102,10 @@ def host_verdicts(measured: DataFrame, most_failing: float = MOST_FAILING) -> Da
             F.when(spread > 1e-12, F.col("mean") * (1 - F.col("mean")) / spread - 1).otherwise(STRENGTH[1]),
         ),
     )
-    prior = moments.select("mean", strength.alias("strength"))
-    # The prior is one row by construction.
-    rate = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    return (
-        hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior.withColumn("one", F.lit(1))), "one")
-        .select("host", "n_docs", "n_failed", rate.alias("rate"))
-        .withColumn("rejected", F.col("rate") > most_failing)
-    )
+    prior = moments.select("mean", strength.alias("strength")).first()
+    mean, weight = prior["mean"] or 0.0, prior["strength"] or STRENGTH[0]
+    rate = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > most_failing).alias("rejected"))
 
 
 def judge(
