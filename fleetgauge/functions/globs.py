@@ -44,14 +44,14 @@ def glob_to_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.array_join(parts, ""), F.lit(r"\z"))
 
 
-def literal_prefix(pattern: Column, n: int) -> Column:
-    """The characters before the first pattern character, at most n of them."""
-    return F.substring(F.regexp_extract(pattern, r"^([^*?\[]*)", 1), 1, n)
+def literal_prefix(pattern: Column) -> Column:
+    """The characters before the first pattern character."""
+    return F.regexp_extract(pattern, r"^([^*?\[]*)", 1)
 
 
-def name_prefixes(name: Column, n: int) -> Column:
-    """Every prefix of the name from the empty one to n characters."""
+def name_prefixes(name: Column) -> Column:
+    """Every prefix of the name from the empty one to the whole."""
     return F.transform(
-        F.sequence(F.lit(0), F.least(F.length(name), F.lit(n))),
+        F.sequence(F.lit(0), F.length(name)),
         lambda i: F.substring(name, F.lit(1), i),
     )

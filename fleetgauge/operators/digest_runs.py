@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
-from fleetgauge.operators.lists import with_parts
 from fleetgauge.sources.tables import in_period
 
 COMMON = {
@@ -69,28 +68,16 @@ def _data_quality(metrics: DataFrame, start: datetime, end: datetime) -> DataFra
 _REQUEST = "lambda_function_request_id"
 
 
-def request_errors(
-    metrics: DataFrame, start: datetime, end: datetime, per_part: int = 1000
-) -> DataFrame:
-    """Error texts of each request seen in the period, joined in time order by `", "`.
+def request_errors(metrics: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """All error texts of each request seen in the period, joined in time order by `", "`.
 
-    Requests have a handful of attempts, so nearly always there is only part 0. A request
-    with more texts than fit a part has them spread over several, none left out.
+    The text is one value by definition; a request has as many as it was attempted.
     """
     seen = in_period(metrics, start, end).filter(F.col(_REQUEST).isNotNull())
-    texts = seen.filter(F.col("error_message").isNotNull()).select(
-        _REQUEST, "time", "error_message",
-        F.concat_ws("|", F.col("time").cast("string"), "log_stream", "error_message").alias("_v"),
-    )
-    joined = with_parts(texts, [_REQUEST], "_v", per_part).groupBy(_REQUEST, "part").agg(
-        F.array_join(
-            F.sort_array(F.collect_list(F.struct("time", "error_message")))["error_message"], ", "
-        ).alias("error_message")
-    )
-    quiet = seen.groupBy(_REQUEST).agg(F.count("error_message").alias("n")).filter("n = 0").select(
-        _REQUEST, F.lit(0).cast("bigint").alias("part"), F.lit("").alias("error_message")
+    texts = F.collect_list(F.when(F.col("error_message").isNotNull(), F.struct("time", "error_message")))
+    return seen.groupBy(_REQUEST).agg(
+        F.array_join(F.sort_array(texts)["error_message"], ", ").alias("error_message")
     )
-    return joined.unionByName(quiet)
 
 
 def lambda_attempts(metrics: DataFrame, start: datetime, end: datetime) -> DataFrame:
@@ -98,9 +85,8 @@ def lambda_attempts(metrics: DataFrame, start: datetime, end: datetime) -> DataF
 
     Only requests seen in the period matter, so the table is first cut to those with a semi
     join (which prunes its scan at run time) and then aggregated on the way to the shuffle.
-    The error text shown is that of part 0 of `request_errors`.
     """
-    errors = request_errors(metrics, start, end).filter(F.col("part") == 0).drop("part")
+    errors = request_errors(metrics, start, end)
     ids = in_period(metrics, start, end).select(_REQUEST).filter(F.col(_REQUEST).isNotNull()).distinct()
     rolled = (
         metrics.join(ids, _REQUEST, "left_semi")

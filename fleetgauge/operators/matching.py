@@ -10,26 +10,29 @@ from fleetgauge.functions.globs import glob_to_regex, has_glob, literal_prefix,
 from fleetgauge.operators.lists import with_parts
 from fleetgauge.session import bounded_broadcast
 
-_PREFIX = 6
-
 
 def glob_join(names: DataFrame, patterns: DataFrame, name: str, pattern: str, on: list[str]) -> DataFrame:
     """Pairs of a name and a pattern that matches it, within equal `on` columns.
 
-    A pattern can only match names that begin with its literal part, so both sides meet on
-    that part: patterns have one such key, names one per prefix length. Each pair meets at
-    most once, and the expression test runs on those pairs alone. It is an ordinary equality
-    join, so neither side has to fit anywhere.
+    Exact entries meet the whole name. A pattern can only match names that begin with its
+    literal part, so it meets the names that have this part, whole, among their prefixes. Each
+    pair meets at most once, and the expression test runs on those pairs alone. It is an
+    ordinary equality join, so neither side has to fit anywhere.
     """
-    keyed_names = names.withColumn("_key", F.explode(name_prefixes(F.col(name), _PREFIX)))
+    key = lambda globbed, text: F.struct(F.lit(globbed).alias("globbed"), text.alias("text"))
+    keys = F.array_append(F.transform(name_prefixes(F.col(name)), lambda p: key(True, p)), key(False, F.col(name)))
+    keyed_names = names.withColumn("_key", F.explode(keys))
     keyed_patterns = patterns.withColumns(
         {
-            "_key": literal_prefix(F.col(pattern), _PREFIX),
+            "_key": F.when(has_glob(F.col(pattern)), key(True, literal_prefix(F.col(pattern)))).otherwise(
+                key(False, F.col(pattern))
+            ),
             "_regex": glob_to_regex(F.col(pattern)),
         }
     )
     pairs = keyed_names.join(keyed_patterns, [*on, "_key"])
-    return pairs.filter(F.rlike(F.col(name), F.col("_regex"))).drop("_key", "_regex")
+    matching = ~F.col("_key.globbed") | F.rlike(F.col(name), F.col("_regex"))
+    return pairs.filter(matching).drop("_key", "_regex")
 
 
 def match_groups(resources: DataFrame, monitored: DataFrame, match_env: bool = False) -> DataFrame:

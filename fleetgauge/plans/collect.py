@@ -11,7 +11,7 @@ from fleetgauge import constants as C
 from fleetgauge.functions.timefn import moment
 from fleetgauge.operators.logs import sessionise
 from fleetgauge.operators.matching import with_account
-from fleetgauge.operators.normalise import NORMALISERS, normalise
+from fleetgauge.operators.normalise import NORMALISERS, normalise, snapshot_catalogs
 from fleetgauge.operators.progress import (
     last_update_times, log_started_after, since_times, started_after, writable_floor,
 )
@@ -52,7 +52,7 @@ def to_collect(
 
 def collect(
     spark: SparkSession,
-    raw: dict[str, DataFrame],
+    raw: dict[str, DataFrame | tuple[DataFrame, ...]],
     base: str,
     config: DataFrame,
     environments: DataFrame,
@@ -62,13 +62,20 @@ def collect(
 ) -> None:
     """Bring every type's table up to date, all groups and environments in one pass each.
 
-    `raw` holds flat records per type (function logs under `lambda_functions`); `config` the
-    resources to collect. Finished workflow and function runs are published as events.
+    `raw` holds flat records per type (function logs under `lambda_functions`; for catalogs the
+    four listings that `snapshot_catalogs` counts, of which a pass takes a snapshot at `now`);
+    `config` the resources to collect. Finished workflow and function runs are published as events.
     """
     stored = last_update_times({k: metrics(spark, base, k) for k in C.RESOURCE_TYPES})
     wanted = config.select("resource_type", F.col("name").alias("resource_name")).distinct()
     since = since_times(wanted, stored, now)
     for kind, runs in raw.items():
+        if kind == C.GLUE_CATALOGS:
+            databases, *parts = runs
+            named = wanted.filter(F.col("resource_type") == kind).select(F.col("resource_name").alias("DatabaseName"))
+            listed = databases.join(named, "DatabaseName", "left_semi")
+            write_metrics(snapshot_catalogs(listed, *parts, moment(now)), base, kind)
+            continue
         if kind not in NORMALISERS:
             raise ValueError(f"no normaliser registered for resource type {kind}")
         fresh = to_collect(runs, kind, since, now, strict)
@@ -84,8 +91,16 @@ def _not_stored(spark: SparkSession, fresh: DataFrame, kind: str, base: str) ->
     """Runs without a stored record yet, so that no run is published twice."""
     run_id = {C.GLUE_WORKFLOWS: "WorkflowRunId", C.LAMBDA_FUNCTIONS: "request_id"}[kind]
     start = {C.GLUE_WORKFLOWS: "StartedOn", C.LAMBDA_FUNCTIONS: "started_on"}[kind]
+    name = RAW_KEYS[kind][0]
     known = metrics(spark, base, kind).select(
-        F.col(C.RUN_ID[kind]).alias(run_id), F.col("time").alias("_time"), "monitored_environment"
+        F.col(C.RUN_ID[kind]).alias("_id"), F.col("time").alias("_at"),
+        F.col("monitored_environment").alias("_env"), F.col("resource_name").alias("_name"),
     )
-    keyed = fresh.withColumn("_time", F.timestamp_millis(F.unix_millis(start)))
-    return keyed.join(known, [run_id, "_time", "monitored_environment"], "left_anti").drop("_time")
+    # Compared null-safe and on the whole key: a run without an id is known as well.
+    same = (
+        F.col(run_id).eqNullSafe(F.col("_id"))
+        & F.timestamp_millis(F.unix_millis(start)).eqNullSafe(F.col("_at"))
+        & F.col("monitored_environment").eqNullSafe(F.col("_env"))
+        & F.col(name).eqNullSafe(F.col("_name"))
+    )
+    return fresh.join(known, same, "left_anti")

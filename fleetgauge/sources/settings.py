@@ -101,7 +101,7 @@ def _entries(groups: DataFrame) -> DataFrame:
             F.col("e.monitored_environment_name").alias("monitored_environment"),
             F.col("e.sla_seconds").alias("sla_seconds"),
             F.col("e.minimum_number_of_runs").alias("minimum_number_of_runs"),
-            (F.col("g_pos") * 10**9 + F.col("s_pos") * 10**8 + F.col("e_pos")).cast("bigint").alias("entry_order"),
+            (F.col("g_pos").cast("bigint") * 10**9 + F.col("s_pos") * 10**8 + F.col("e_pos")).alias("entry_order"),
         )
     )
 

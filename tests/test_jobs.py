@@ -112,3 +112,15 @@ def test_unseen_compares_missing_keys_as_equal(spark):
     rows = spark.createDataFrame([("e", "x", None, NOW), ("e", "x", None, NOW), ("e", "y", None, NOW)], ddl)
     left = unseen(rows, rows.filter("resource_name = 'x'"), C.GLUE_CATALOGS)
     assert [r["resource_name"] for r in left.collect()] == ["y"]
+
+
+def test_collect_takes_catalog_snapshots(spark, tmp_path):
+    make = spark.createDataFrame
+    databases = make([("e", "d1", "1"), ("e", "other", "1")], "monitored_environment string, DatabaseName string, AccountId string")
+    tables = make([("e", "d1", "t1", "1"), ("e", "d1", "t2", "1")], "monitored_environment string, DatabaseName string, Name string, CatalogId string")
+    parts = make([("e", "d1", "t1")] * 3, "monitored_environment string, DatabaseName string, TableName string")
+    config = make([(C.GLUE_CATALOGS, "d1")], "resource_type string, name string")
+    envs = make([("e", "1", "r")], "name string, account_id string, region string")
+    collect(spark, {C.GLUE_CATALOGS: (databases, tables, parts, parts.limit(1))}, str(tmp_path), config, envs, None, NOW)
+    got = metrics(spark, str(tmp_path), C.GLUE_CATALOGS).collect()
+    assert [(r["resource_name"], r["tables_count"], r["partitions_count"], r["indexes_count"]) for r in got] == [("d1", 2, 3, 1)]

@@ -61,7 +61,7 @@ def test_all_broken_rules_are_reported_together(spark, tmp_path):
     with pytest.raises(K.SettingsError) as caught:
         K.validate(s)
     said = str(caught.value)
-    for part in ("names are not unique", "combinations are not unique", "gone", "post", "recipients.recipient"):
+    for part in ("name is used twice", "two environments", "gone", "post", "recipients.recipient"):
         assert part in said
 
 
