@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from fleetgauge import constants as C
 from fleetgauge.functions import text as X
 from fleetgauge.functions.links import run_url
-from fleetgauge.operators.lists import PER_PART, with_parts
 from fleetgauge.operators.matching import last_entry_wins
 from fleetgauge.session import bounded_broadcast
 
@@ -140,17 +139,10 @@ def standing_comments(health: DataFrame) -> DataFrame:
     )
 
 
-def comments(
-    health: DataFrame, noted: DataFrame, per_part: int = PER_PART
-) -> DataFrame:
-    """Comment text per resource, lines joined by `<br/>`, in parts of bounded length.
-
-    Nearly every resource has part 0 only, holding all its lines in order. A resource with
-    very many failed runs has further parts with the rest of those lines.
-    """
-    placed = with_parts(noted, ENTRY, "line", per_part).select(*ENTRY, "part", "section", "line")
-    first = standing_comments(health).withColumn("part", F.lit(0).cast("bigint"))
-    everything = placed.unionByName(first)
+def comments(health: DataFrame, noted: DataFrame) -> DataFrame:
+    """Comment text per resource: all its lines in order, joined by `<br/>`, as `part` 0."""
+    everything = noted.select(*ENTRY, "section", "line").unionByName(standing_comments(health))
+    everything = everything.withColumn("part", F.lit(0).cast("bigint"))
     return everything.groupBy(*ENTRY, "part").agg(
         F.array_join(
             F.sort_array(F.collect_list(F.struct("section", "line")))["line"], "<br/>"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
 from fleetgauge.functions.globs import glob_to_regex, has_glob, literal_prefix, name_prefixes
-from fleetgauge.operators.lists import with_parts
 from fleetgauge.session import bounded_broadcast
 
 
@@ -153,13 +152,13 @@ def with_delivery_method(df: DataFrame, methods: DataFrame) -> DataFrame:
 def delivery_options(matches: DataFrame, recipients: DataFrame, methods: DataFrame) -> DataFrame:
     """Recipients per resource and delivery method, for alerts.
 
-    Worked out once per resource, however many events there are. A very long list comes in
-    parts, each a delivery of its own.
+    Worked out once per resource, however many events there are. A delivery names all its
+    recipients, as the configuration does; `part` numbers the deliveries and is always 0.
     """
     keys = [c for c in matches.columns if c != "group_name"]
     chosen = recipients_for(matches, recipients, "alert")
     group = [*keys, "delivery_method"]
-    lists = with_parts(chosen, group, "recipient").groupBy(*group, "part").agg(
+    lists = chosen.groupBy(*group, F.lit(0).cast("bigint").alias("part")).agg(
         F.sort_array(F.collect_list("recipient")).alias("recipients")
     )
     return with_delivery_method(lists, methods)
@@ -178,13 +177,13 @@ def recipient_groups(recipients: DataFrame, kind: str) -> DataFrame:
 def group_recipients(recipients: DataFrame, methods: DataFrame) -> DataFrame:
     """Recipients who share delivery method and group set, as one digest audience.
 
-    A very long list of recipients comes in parts, each an audience of its own.
+    `part` numbers the deliveries to an audience and is always 0.
     """
     wanted = recipient_groups(recipients, "digest").withColumn(
         "monitoring_groups", F.sort_array("monitoring_groups")
     )
     group = ["delivery_method", "monitoring_groups"]
-    shared = with_parts(wanted, group, "recipient").groupBy(*group, "part").agg(
+    shared = wanted.groupBy(*group, F.lit(0).cast("bigint").alias("part")).agg(
         F.sort_array(F.collect_list("recipient")).alias("recipients")
     )
     return with_delivery_method(shared, methods)

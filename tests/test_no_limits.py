@@ -44,3 +44,14 @@ def test_runs_without_an_id_are_known_once_stored(spark, monkeypatch):
     monkeypatch.setattr(plan, "metrics", lambda *_: stored)
     fresh = spark.createDataFrame([(None, NOW, "e", "f"), (None, NOW, "e", "g")], "request_id string, started_on timestamp, monitored_environment string, function_name string")
     assert [r["function_name"] for r in _not_stored(spark, fresh, C.LAMBDA_FUNCTIONS, "").collect()] == ["g"]
+
+
+def test_one_delivery_names_all_recipients(spark):
+    from fleetgauge.operators.matching import delivery_options
+
+    subs = "array<struct<monitoring_group: string, alerts: boolean, digest: boolean>>"
+    people = spark.createDataFrame([(f"p{i:03}", "mail", [("g", True, True)]) for i in range(500)], f"recipient string, delivery_method string, subscriptions {subs}")
+    methods = spark.createDataFrame([("mail", "SES")], "name string, delivery_method_type string")
+    matches = spark.createDataFrame([("t", "r", "g")], "resource_type string, resource_name string, group_name string")
+    (row,) = delivery_options(matches, people, methods).collect()
+    assert row["recipients"] == [f"p{i:03}" for i in range(500)]

@@ -177,8 +177,7 @@ _NOTE_SQL = """SELECT a.resource_name AS message_group_id, epoch_ms(date_trunc('
     coalesce(a.monitored_environment, 'None') || ': ' || state || ' - ' || a.resource_type || ' : ' || a.resource_name
     AS message_subject, count(*)::BIGINT AS n FROM alerts a JOIN (
       SELECT resource_type, resource_name, delivery_method, part, string_agg(recipient, ',' ORDER BY recipient) AS recipients FROM (
-        SELECT *, ('0x' || substr(md5(recipient), 1, 8))::BIGINT
-          % ((count(*) OVER (PARTITION BY resource_type, resource_name, delivery_method) + 199) // 200) AS part FROM (
+        SELECT *, 0::BIGINT AS part FROM (
           SELECT DISTINCT s.resource_type, s.resource_name, delivery_method, recipient FROM scope s
             JOIN subs ON s.group_name = subs.monitoring_group WHERE subs.alerts)) GROUP BY ALL) o
     ON a.resource_type = o.resource_type AND a.resource_name = o.resource_name
@@ -206,7 +205,7 @@ add(
         CASE WHEN in_scope AND result = 'FAILURE' THEN coalesce(n, 0) ELSE 0 END::BIGINT AS messages
         FROM (SELECT *, EXISTS (SELECT 1 FROM scope s WHERE s.resource_type = cls.resource_type
             AND s.resource_name = cls.resource_name) AS in_scope FROM cls WHERE error IS NULL) c
-        LEFT JOIN (SELECT resource_type, resource_name, sum((len(recipients) + 199) // 200)::BIGINT AS n FROM options GROUP BY 1, 2) o
+        LEFT JOIN (SELECT resource_type, resource_name, count(*)::BIGINT AS n FROM options GROUP BY 1, 2) o
         ON c.resource_type = o.resource_type AND c.resource_name = o.resource_name""",
 )
 

@@ -216,26 +216,26 @@ _STANDING = f"""SELECT group_name, resource_type, monitored_environment, resourc
     ]) AS l FROM ({_health_sql()})) WHERE l IS NOT NULL"""
 
 
-def _comments_sql(per_part: int) -> str:
-    return f"""SELECT group_name, resource_type, monitored_environment, resource_name, part,
-        string_agg(line, '<br/>' ORDER BY section, line) AS comments FROM (
-          SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % ((count(*) OVER (PARTITION BY group_name, resource_type,
-            monitored_environment, resource_name) + {per_part - 1}) // {per_part}) AS part FROM ({_NOTED})
-          UNION ALL SELECT *, 0 AS part FROM ({_STANDING})) GROUP BY 1, 2, 3, 4, 5"""
+_COMMENTS = f"""SELECT group_name, resource_type, monitored_environment, resource_name, 0::BIGINT AS part,
+    string_agg(line, '<br/>' ORDER BY section, line) AS comments FROM (
+      SELECT * FROM ({_NOTED}) UNION ALL SELECT * FROM ({_STANDING})) GROUP BY 1, 2, 3, 4"""
 
 
 def _noted(v: Views) -> DataFrame:
     return H.run_comments(_all_runs(v), _config(v))
 
 
-def _texts(v: Views, per_part: int) -> DataFrame:
+def _texts(v: Views) -> DataFrame:
     health = H.resource_health(_all_runs(v), _config(v))
-    return H.comments(health, _noted(v), per_part)
+    return H.comments(health, _noted(v))
 
 
 add("agg5_str5_run_comments", _noted, _NOTED)
-add("str11_comments", lambda v: _texts(v, 200), _comments_sql(200))
-add("str11_comments_in_parts", lambda v: _texts(v, 5), _comments_sql(5))
+add("str11_comments", _texts, _COMMENTS)
+add(  # resources with very many lines: none is lost
+    "str11_comments_in_parts", lambda v: _texts(v).withColumn("lines", F.size(F.split("comments", "<br/>"))),
+    f"SELECT *, len(string_split(comments, '<br/>')) AS lines FROM ({_COMMENTS})",
+)
 add(
     "str6_encode_fragment",
     lambda v: v.ev.select("event_id", links.encode_fragment(
@@ -284,7 +284,7 @@ _ROWS = f"""SELECT 1 AS section, group_name, resource_type, 0::BIGINT AS part, c
         FROM ({_health_sql()}) GROUP BY 1, 2))
     UNION ALL SELECT 3, group_name, resource_type, coalesce(part, 0), resource_name || '|' || CASE WHEN coalesce(part, 0) = 0
       THEN success || '|' || errors || '|' || warnings ELSE '||' END || '|' || coalesce(comments, ''), status
-    FROM ({_health_sql()}) h LEFT JOIN ({_comments_sql(200)}) t USING (group_name, resource_type, monitored_environment, resource_name)"""
+    FROM ({_health_sql()}) h LEFT JOIN ({_COMMENTS}) t USING (group_name, resource_type, monitored_environment, resource_name)"""
 _CAT_ROWS = f"""SELECT 2 AS section, group_name, resource_type, 0::BIGINT AS part, concat_ws('|', group_name, service_name,
       {', '.join('total_' + m for m in H.CATALOG_MEASURES[3:] + H.CATALOG_MEASURES[:3])}) AS values, status AS style FROM ({_CAT_SUMMARY})
     UNION ALL SELECT 3, group_name, resource_type, 0, concat_ws('|', resource_name,
@@ -317,8 +317,7 @@ _SUMMARY_HEAD, _RESOURCE_HEAD = "|".join(C.SUMMARY_HEADER), "|".join(C.RESOURCE_
 _CSUMMARY_HEAD, _CRESOURCE_HEAD = "|".join(C.CATALOG_SUMMARY_HEADER), "|".join(C.CATALOG_RESOURCE_HEADER)
 _BODY_SQL = f"""WITH table_rows AS ({_ROWS} UNION ALL {_CAT_ROWS}),
     aud AS (SELECT delivery_method, monitoring_groups, p, string_agg(recipient, ',' ORDER BY recipient) AS recipients FROM (
-        SELECT *, ('0x' || substr(md5(recipient), 1, 8))::BIGINT %
-          ((count(*) OVER (PARTITION BY delivery_method, monitoring_groups) + 199) // 200) AS p FROM recipient_groups)
+        SELECT *, 0::BIGINT AS p FROM recipient_groups)
       GROUP BY ALL),
     mine AS (SELECT DISTINCT delivery_method, monitoring_groups, p, recipients, unnest(monitoring_groups) AS group_name FROM aud),
     t AS (SELECT *, list_position([{', '.join(f"'{t}'" for t in C.RESOURCE_TYPES)}], resource_type) AS ord,
