@@ -1,7 +1,8 @@
 """Checks of the configuration.
 
-Each returns rows (rule, ok, message, values); all rules run and the failures are reported
-together.
+Each returns rows (rule, message, value), one per offending value and none where the rule
+holds, so a rule that very many entries break stays distributed. All rules run and the
+failures are reported together.
 """
 
 from __future__ import annotations
@@ -34,13 +35,9 @@ REQUIRED = {
 
 
 def _result(df: DataFrame, rule: str, values, what: str) -> DataFrame:
-    """One row: fine when no value is left over."""
-    return df.agg(F.sort_array(F.collect_set(values)).alias("values")).select(
-        F.lit(rule).alias("rule"),
-        (F.size("values") == 0).alias("ok"),
-        F.when(F.size("values") > 0, F.lit(what)).otherwise("").alias("message"),
-        "values",
-    )
+    """One row per value left over."""
+    found = df.select(F.lit(rule).alias("rule"), F.lit(what).alias("message"), values.alias("value"))
+    return found.filter(F.col("value").isNotNull()).distinct()
 
 
 def duplicates(df: DataFrame, columns: str | list[str]) -> DataFrame:
@@ -98,7 +95,7 @@ def check_schema(raw: DataFrame, file: str) -> DataFrame:
 
 
 def check_settings(settings) -> DataFrame:
-    """All rules over loaded settings, one row per rule."""
+    """All rules over loaded settings, one row per rule and offending value."""
     envs, monitored = settings.environments, settings.monitored
     subs = subscriptions(settings.recipients)
     return union_types(
@@ -132,10 +129,23 @@ def check_settings(settings) -> DataFrame:
     )
 
 
+def summary(violations: DataFrame) -> DataFrame:
+    """One row per broken rule: how many values break it, and the first of them."""
+    return violations.groupBy("rule", "message").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value")
+    )
+
+
 def validate(settings) -> None:
-    """Raise one error naming every broken rule. Reads one row per rule."""
-    broken = check_settings(settings).filter(~F.col("ok")).orderBy("rule").collect()
+    """Raise one error naming every broken rule.
+
+    The driver reads one row per broken rule; `check_settings` has all the values.
+    """
+    broken = summary(check_settings(settings)).orderBy("rule").collect()
     if broken:
-        raise SettingsError(
-            SEPARATOR.join(f"{r['message']}: {', '.join(r['values'])}" for r in broken)
-        )
+        raise SettingsError(SEPARATOR.join(_told(r) for r in broken))
+
+
+def _told(row) -> str:
+    more = f" and {row['n'] - 1} more" if row["n"] > 1 else ""
+    return f"{row['message']}: {row['first_value']}{more}"

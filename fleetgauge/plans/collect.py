@@ -15,6 +15,7 @@ from fleetgauge.operators.normalise import NORMALISERS, normalise, snapshot_cata
 from fleetgauge.operators.progress import (
     last_update_times, log_started_after, since_times, started_after, writable_floor,
 )
+from fleetgauge.session import settle
 from fleetgauge.sources.events import publish_events, to_events
 from fleetgauge.sources.tables import metrics, write_metrics
 
@@ -68,7 +69,8 @@ def collect(
     """
     stored = last_update_times({k: metrics(spark, base, k) for k in C.RESOURCE_TYPES})
     wanted = config.select("resource_type", F.col("name").alias("resource_name")).distinct()
-    since = since_times(wanted, stored, now)
+    # Bounds and new records are read several times: each is worked out once.
+    since = settle(since_times(wanted, stored, now), "since")
     for kind, runs in raw.items():
         if kind == C.GLUE_CATALOGS:
             databases, *parts = runs
@@ -81,6 +83,7 @@ def collect(
         fresh = to_collect(runs, kind, since, now, strict)
         if kind == C.LAMBDA_FUNCTIONS:
             fresh = sessionise(fresh)
+        fresh = settle(fresh, f"fresh-{kind}")
         if events_path is not None and kind in (C.GLUE_WORKFLOWS, C.LAMBDA_FUNCTIONS):
             new = fresh if strict else _not_stored(spark, fresh, kind, base)
             publish_events(to_events(with_account(new, environments), kind), events_path)

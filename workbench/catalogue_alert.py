@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from fleetgauge.sources import events as EV
 from fleetgauge.sources import sinks
 from fleetgauge.streaming import alerts as SA
 from fleetgauge.streaming import logs as SL
-from workbench.registry import add, joined, ms
+from workbench.registry import add, in_emitted_order, joined, ms
 from workbench.views import Views
 
 
@@ -169,6 +171,15 @@ add(
     """SELECT event_id FROM cls c WHERE error IS NULL AND EXISTS (SELECT 1 FROM scope s
         WHERE s.resource_type = c.resource_type AND s.resource_name = c.resource_name)""",
 )
+add(
+    "flt6_in_scope_by_environment",
+    lambda v: M.in_scope(
+        K.mapped(_classified(v)),
+        settle(A.matches_for(_classified(v), dataclasses.replace(v.alert_config, match_env=True)), "matches")).select(_id()),
+    """SELECT event_id FROM cls c WHERE error IS NULL AND EXISTS (SELECT 1 FROM monitored m
+        WHERE m.resource_type = c.resource_type AND m.monitored_environment = c.monitored_environment
+          AND c.resource_name GLOB m.name)""",
+)
 _LOG_SQL = """SELECT event_id, epoch_ms(date_trunc('second', ts)) AS event_time, monitored_environment, resource_name, resource_type,
     state AS event_status, result AS event_result, url AS execution_info_url FROM alerts"""
 add("snk2_alert_log", lambda v: ms(A.alert_log(_alerts(v, _matches(v)))).select(_id(), "*").drop("event"), _LOG_SQL)
@@ -184,10 +195,10 @@ _NOTE_SQL = """SELECT a.resource_name AS message_group_id, epoch_ms(date_trunc('
     LEFT JOIN methods m ON o.delivery_method = m.name WHERE result = 'FAILURE' GROUP BY ALL"""
 
 
-def _note_counts(notes: DataFrame) -> DataFrame:
+def _note_counts(notes: DataFrame, *more: Column) -> DataFrame:
     return ms(joined(notes, "recipients")).groupBy(
         "message_group_id", "event_time", "resource_type", "resource_name", "delivery_method", "delivery_method_type",
-        "part", "recipients", "message_subject").agg(F.count(F.lit(1)).alias("n"))
+        "part", "recipients", "message_subject").agg(F.count(F.lit(1)).alias("n"), *more)
 
 
 def _notes(v: Views) -> DataFrame:
@@ -195,7 +206,13 @@ def _notes(v: Views) -> DataFrame:
     return A.notifications(_alerts(v, matches), matches, v.alert_config)
 
 
-add("snk3_stf7_notifications", lambda v: _note_counts(sinks.ordered_outbox(_notes(v))), _NOTE_SQL)
+add(
+    "snk3_stf7_notifications",
+    lambda v: _note_counts(
+        in_emitted_order(sinks.ordered_outbox(_notes(v)), [], ["message_group_id", "event_time", "message_key"]),
+        F.bool_and("in_order").alias("in_order")),
+    f"SELECT *, true AS in_order FROM ({_NOTE_SQL})",
+)
 add(
     "evt12_alert_results",
     lambda v: A.alert_results(_classified(v), v.alert_config, _matches(v)).select(_id(), "*").drop("event"),

@@ -13,11 +13,12 @@ from fleetgauge.operators import logs as L
 from fleetgauge.operators import matching as M
 from fleetgauge.operators import normalise as N
 from fleetgauge.operators import progress as P
-from fleetgauge.plans.collect import to_collect
+from fleetgauge.plans.collect import collect, to_collect
 from fleetgauge.session import scratch_path
+from fleetgauge.sources import events as EV
 from fleetgauge.sources import runs as R
 from fleetgauge.sources import tables as TB
-from workbench.registry import add, joined, ms
+from workbench.registry import add, in_emitted_order, joined, ms
 from workbench.views import END, NOW, START, Views
 
 FACT = "SELECT * EXCLUDE (event_id) REPLACE (epoch_ms(time) AS time) FROM m_{}"
@@ -110,15 +111,15 @@ add(
 )
 add(
     "srt2_order_log",
-    lambda v: L.order_log(v.function_log.filter(F.col("log_stream") == "ls-3")).select(
-        "log_stream", F.unix_millis("ts").alias("ts"), L.line_kind(F.col("message")).alias("kind")
-    ),
-    """SELECT log_stream, ts, kind FROM (SELECT 'ls-' || (event_id // 3 % 16) AS log_stream, unnest(
+    lambda v: in_emitted_order(
+        L.order_log(v.function_log).select(*L.OWNER, F.unix_millis("ts").alias("ts"), L.line_kind(F.col("message")).alias("kind")),
+        [], [*L.OWNER, "ts", "kind"],
+    ).select("log_stream", "ts", "kind", "in_order"),
+    """SELECT log_stream, ts, kind, true AS in_order FROM (SELECT 'ls-' || (event_id // 3 % 16) AS log_stream, unnest(
           CASE WHEN event_type = 'view' THEN [0, 2] WHEN event_type = 'error' AND k % 5 = 0 THEN [0, 1, 2, 2, 2, 3]
           WHEN event_type = 'error' THEN [0, 1, 2, 2, 3] ELSE [0, 2, 2, 3] END) + epoch_us(ts) // 1000 AS ts, unnest(
           CASE WHEN event_type = 'view' THEN [1, NULL] WHEN event_type = 'error' AND k % 5 = 0 THEN [1, 2, 2, NULL, 3, 4]
-          WHEN event_type = 'error' THEN [1, 2, NULL, 3, 4] ELSE [1, NULL, 3, 4] END) AS kind FROM ev)
-       WHERE log_stream = 'ls-3'""",
+          WHEN event_type = 'error' THEN [1, 2, NULL, 3, 4] ELSE [1, NULL, 3, 4] END) AS kind FROM ev)""",
 )
 add(
     "prj16_report_fields",
@@ -462,3 +463,43 @@ add(
         F.count(F.lit(1)).alias("n")),
     f"SELECT count(*)::BIGINT AS n FROM m_step_functions WHERE time BETWEEN {S} AND {E_}",
 )
+
+
+# --- the whole job ------------------------------------------------------------------------
+
+
+def _collected(v: Views) -> DataFrame:
+    """Collect every type twice over the same records: what is stored and published, per resource.
+
+    The writable time reaches back over the whole inputs, and the second pass finds nothing new.
+    """
+    base = scratch_path(v.spark, "collect")
+    raw = {k: v.flat(k) for k in C.RESOURCE_TYPES if k not in (C.GLUE_CATALOGS, C.LAMBDA_FUNCTIONS)}
+    raw |= {C.LAMBDA_FUNCTIONS: v.function_log, C.GLUE_CATALOGS: tuple(v.listing.values())}
+    now = v.ev.agg(F.min("ts")).first()[0].replace(hour=0, minute=0, second=0, microsecond=0)
+    functions = v.function_log.select(F.lit(C.LAMBDA_FUNCTIONS).alias("resource_type"), F.col("function_name").alias("name"))
+    databases = v.listing["databases"].select(F.lit(C.GLUE_CATALOGS).alias("resource_type"), F.col("DatabaseName").alias("name"))
+    others = v.inventory.filter(~F.col("resource_type").isin(C.LAMBDA_FUNCTIONS, C.GLUE_CATALOGS)).select("resource_type", "name")
+    config = P.union_types([others, functions, databases]).distinct()
+    for _ in range(2):
+        collect(v.spark, raw, f"{base}/metrics", config, v.environments, f"{base}/events", now)
+    stored = P.union_types([
+        TB.metrics(v.spark, f"{base}/metrics", k).select(F.lit(k).alias("part"), "resource_name") for k in C.RESOURCE_TYPES])
+    events = EV.read_events(v.spark, f"{base}/events", streaming=False).select(
+        F.col("source").alias("part"), F.coalesce("detail.workflowName", "detail.lambdaName").alias("resource_name"))
+    return stored.unionByName(events).groupBy("part", "resource_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KNOWN = "SELECT DISTINCT name FROM inventory WHERE resource_type"
+add(
+    "j1_j2_collect", _collected,
+    f"""SELECT part, resource_name, count(*)::BIGINT AS n FROM (
+        {' UNION ALL '.join(
+            f"SELECT '{k}' AS part, resource_name FROM m_{k} WHERE resource_name IN ({_KNOWN} = '{k}')"
+            for k in C.RESOURCE_TYPES if k not in (C.GLUE_CATALOGS, C.LAMBDA_FUNCTIONS))}
+        UNION ALL SELECT 'lambda_functions', function_name FROM log_runs
+        UNION ALL SELECT 'glue_catalogs', resource_name FROM ({_CATALOG_SQL})
+        UNION ALL SELECT 'fleetgauge.glue_workflow', resource_name FROM m_glue_workflows
+          WHERE resource_name IN ({_KNOWN} = 'glue_workflows')
+        UNION ALL SELECT 'fleetgauge.lambda', function_name FROM log_runs) GROUP BY ALL""",
+)

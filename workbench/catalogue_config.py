@@ -12,9 +12,10 @@ from fleetgauge import schemas
 from fleetgauge.functions import globs, text
 from fleetgauge.operators import checks as K
 from fleetgauge.operators import matching as M
+from fleetgauge.operators.progress import union_types
 from fleetgauge.session import scratch_path
 from fleetgauge.sources import settings as ST
-from workbench.registry import add, joined
+from workbench.registry import add, in_emitted_order, joined
 from workbench.views import Views
 
 _ENTRY = "group_name, resource_type, name, monitored_environment, sla_seconds, minimum_number_of_runs"
@@ -28,8 +29,10 @@ def _files(v: Views) -> str:
     path = scratch_path(v.spark, "settings")
     holed = lambda col: F.replace(col, F.lit("env-"), F.lit("<<stage>>-"))
     doc = lambda df, name, *fields: df.select(F.to_json(F.struct(F.array(F.struct(*fields)).alias(name))).alias("value"))
-    tool = v.spark.range(1).select(F.to_json(F.struct(F.struct(
-        F.lit("tool").alias("name"), F.lit("1").alias("account_id"), F.lit("<<where>>").alias("region"),
+    # The tooling environment lies in the region of the last supplier's account.
+    tool = v.table("supplier").agg(F.max("s_suppkey").alias("n")).select(F.to_json(F.struct(F.struct(
+        F.lit("tool").alias("name"), F.col("n").cast("string").alias("account_id"),
+        F.concat(F.lit("<<where>>-"), F.col("n") % 4).alias("region"),
         F.lit("cron").alias("metrics_collection_cron_expression")).alias("tooling_environment"))).alias("value"))
     general = tool.unionAll(
         doc(v.environments, "monitored_environments", holed(F.col("name")).alias("name"), "account_id", "region")
@@ -85,7 +88,7 @@ add(
     "src3_tooling_defaults",
     lambda v: _loaded(v).tooling.select(
         "region", "digest_report_period_hours", "digest_cron_expression"),
-    "SELECT 'eu' AS region, 24 AS digest_report_period_hours, 'cron(0 8 * * ? *)' AS digest_cron_expression FROM (SELECT count(*) FROM supplier)",
+    "SELECT 'eu-' || (max(s_suppkey) % 4) AS region, 24 AS digest_report_period_hours, 'cron(0 8 * * ? *)' AS digest_cron_expression FROM supplier",
 )
 add(
     "src2_apply_replacements",
@@ -193,7 +196,9 @@ add("set3_accounts", lambda v: M.accounts(v.environments), "SELECT DISTINCT acco
 add("set3_account_regions", lambda v: M.account_regions(v.environments), "SELECT DISTINCT account_id, region FROM environments")
 add("set4_groups_with_type", lambda v: M.groups_with_type(v.monitored, C.GLUE_CRAWLERS),
     "SELECT DISTINCT group_name FROM monitored WHERE resource_type = 'glue_crawlers'")
-add("srt3_by_environment", lambda v: M.by_environment(v.monitored), "SELECT * FROM monitored")
+add("srt3_by_environment",
+    lambda v: in_emitted_order(M.by_environment(v.monitored), [], ["monitored_environment", "name"]),
+    "SELECT *, true AS in_order FROM monitored")
 add("jn15_missing_refs", lambda v: M.missing_refs(v.recipients, "delivery_method", v.delivery_methods, "name"),
     "SELECT DISTINCT c_mktsegment AS delivery_method FROM customer WHERE c_mktsegment = 'MACHINERY'")
 add(
@@ -217,42 +222,57 @@ add(
 # --- checks -------------------------------------------------------------------------------
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    return joined(df, "values", sep="|")
+def _check_sql(rule: str, what: str, values: str) -> str:
+    return f"SELECT DISTINCT '{rule}' AS rule, '{what}' AS message, v AS value FROM ({values})"
 
 
-def _check_sql(rule: str, what: str, values: str) -> str:
-    return f"""SELECT '{rule}' AS rule, count(*) = 0 AS ok, CASE WHEN count(*) > 0 THEN '{what}' ELSE '' END AS message,
-        coalesce(string_agg(v, '|' ORDER BY v), '') AS values FROM (SELECT DISTINCT v FROM ({values}))"""
+def _holed(v: Views, file: str) -> DataFrame:
+    """A parsed file in which every third group, environment or recipient lacks fields."""
+    raw = _loaded(v).raw[file]
+    lacks = lambda name, r: F.try_element_at(F.regexp_extract_all(r[name], F.lit("[0-9]+"), 0), F.lit(-1)).cast("int") % 3 == 0
+    hole = lambda r, test, field: r.withField(field, F.when(~F.coalesce(test, F.lit(False)), r[field]))
+    if file == "general":
+        return raw.withColumn("monitored_environments", F.transform(
+            "monitored_environments", lambda r: hole(r, lacks("name", r), "region")))
+    if file == "recipients":
+        return raw.withColumn("recipients", F.transform(
+            "recipients", lambda r: hole(r, lacks("recipient", r), "delivery_method")))
+    return raw.withColumn("monitoring_groups", F.transform(
+        "monitoring_groups", lambda g: g.withField(C.GLUE_JOBS, F.when(lacks("group_name", g), F.transform(
+            g[C.GLUE_JOBS], lambda e: e.withField("name", F.lit(None).cast("string")))).otherwise(g[C.GLUE_JOBS]))))
 
 
 add("val1_check_schema",
-    lambda v: _flat(K.check_schema(_loaded(v).raw["monitoring_groups"], "monitoring_groups")),
-    _check_sql("schema of monitoring_groups", "x", "SELECT 'x' AS v FROM monitored WHERE name IS NULL"))
-add("val2_unique_environment_names", lambda v: _flat(K.check_unique(v.environments, "name", "r", "w")),
+    lambda v: union_types([K.check_schema(_holed(v, f), f) for f in K.REQUIRED]),
+    """SELECT 'schema of ' || f AS rule, f || ': required fields are missing' AS message, v AS value FROM (
+        SELECT DISTINCT 'general' AS f, 'monitored_environments.region' AS v FROM supplier WHERE s_suppkey % 3 = 0
+        UNION ALL SELECT DISTINCT 'recipients', 'recipients.delivery_method' FROM customer WHERE c_custkey % 3 = 0
+        UNION ALL SELECT DISTINCT 'monitoring_groups', 'glue_jobs.name' FROM monitored
+          WHERE resource_type = 'glue_jobs' AND replace(group_name, 'group-', '')::INT % 3 = 0)""")
+add("val2_unique_environment_names", lambda v: (K.check_unique(v.environments, "name", "r", "w")),
     _check_sql("r", "w", "SELECT name AS v FROM environments GROUP BY name HAVING count(*) > 1"))
 add("val3_unique_account_regions",
-    lambda v: _flat(K.check_unique(
+    lambda v: (K.check_unique(
         v.table("supplier").select((F.col("s_suppkey") % 50).cast("string").alias("account_id"),
                                    F.col("s_nationkey").cast("string").alias("region")), ["account_id", "region"], "r", "w")),
     _check_sql("r", "w", """SELECT (s_suppkey % 50) || ', ' || s_nationkey AS v FROM supplier GROUP BY s_suppkey % 50, s_nationkey
         HAVING count(*) > 1"""))
-add("val4_unique_groups", lambda v: _flat(K.check_unique(v.monitored, "group_name", "r", "w")),
+add("val4_unique_groups", lambda v: (K.check_unique(v.monitored, "group_name", "r", "w")),
     _check_sql("r", "w", "SELECT group_name AS v FROM monitored GROUP BY 1 HAVING count(*) > 1"))
 add("val5_environments_exist",
-    lambda v: _flat(K.check_refs(v.monitored.withColumn("monitored_environment", F.concat(F.lit("env-"), F.col("entry_order") % 150)),
+    lambda v: (K.check_refs(v.monitored.withColumn("monitored_environment", F.concat(F.lit("env-"), F.col("entry_order") % 150)),
                                  "monitored_environment", v.environments, "name", "r", "w")),
     _check_sql("r", "w", """SELECT 'env-' || (entry_order % 150) AS v FROM monitored
         WHERE 'env-' || (entry_order % 150) NOT IN (SELECT name FROM environments)"""))
 add("val6_groups_exist",
-    lambda v: _flat(K.check_refs(M.subscriptions(v.recipients), "monitoring_group", v.monitored, "group_name", "r", "w")),
+    lambda v: (K.check_refs(M.subscriptions(v.recipients), "monitoring_group", v.monitored, "group_name", "r", "w")),
     _check_sql("r", "w", "SELECT monitoring_group AS v FROM subs WHERE monitoring_group NOT IN (SELECT group_name FROM monitored)"))
 add("val7_methods_exist",
-    lambda v: _flat(K.check_refs(v.recipients, "delivery_method", v.delivery_methods, "name", "r", "w")),
+    lambda v: (K.check_refs(v.recipients, "delivery_method", v.delivery_methods, "name", "r", "w")),
     _check_sql("r", "w", "SELECT c_mktsegment AS v FROM customer WHERE c_mktsegment = 'MACHINERY'"))
 add("val_all_rules",
-    lambda v: K.check_settings(_loaded(v)).select("rule", "ok"),
-    """SELECT * FROM (VALUES ('schema of general', true), ('schema of monitoring_groups', true), ('schema of recipients', true),
-        ('environment names', true), ('environment accounts', true), ('group names', true), ('monitored environments', true),
-        ('subscribed groups', (SELECT count(*) = 0 FROM subs WHERE monitoring_group NOT IN (SELECT group_name FROM monitored))),
-        ('delivery methods', (SELECT count(*) = 0 FROM customer WHERE c_mktsegment = 'MACHINERY'))) t(rule, ok)""")
+    lambda v: K.check_settings(_loaded(v)),
+    """SELECT DISTINCT 'subscribed groups' AS rule, 'recipients: a subscription names an unknown group' AS message,
+        monitoring_group AS value FROM subs WHERE monitoring_group NOT IN (SELECT group_name FROM monitored)
+       UNION ALL SELECT DISTINCT 'delivery methods', 'recipients: an unknown delivery method', c_mktsegment FROM customer
+        WHERE c_mktsegment = 'MACHINERY'""")

@@ -12,7 +12,10 @@ from fleetgauge.operators import health as H
 from fleetgauge.operators import matching as M
 from fleetgauge.plans import digest as P
 from fleetgauge.operators.progress import union_types
-from workbench.registry import add, joined
+from fleetgauge.session import scratch_path
+from fleetgauge.sources import settings as ST
+from fleetgauge.sources import tables as TB
+from workbench.registry import add, in_emitted_order, joined
 from workbench.views import END, START, Views
 
 RANGE = "time BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-22'"
@@ -276,27 +279,29 @@ def _flat_rows(df: DataFrame) -> DataFrame:
 
 
 _ROWS = f"""SELECT 1 AS section, group_name, resource_type, 0::BIGINT AS part, concat_ws('|', group_name, service_name,
-      total_executions, total_success, total_failures, total_warnings) AS values, status AS style FROM (
+      total_executions, total_success, total_failures, total_warnings) AS values, status AS style, group_name AS k1, NULL AS k2 FROM (
       SELECT *, CASE WHEN total_failures > 0 THEN 'error' WHEN total_warnings > 0 THEN 'warning' ELSE 'ok' END AS status,
         map {{{', '.join(f"'{t}': '{n}'" for t, n in C.DISPLAY_NAMES.items())}}}[resource_type] AS service_name FROM (
         SELECT group_name, resource_type, sum(executions)::BIGINT AS total_executions, sum(success)::BIGINT AS total_success,
           sum(errors + insufficient_runs::INT)::BIGINT AS total_failures, sum(warnings)::BIGINT AS total_warnings
         FROM ({_health_sql()}) GROUP BY 1, 2))
     UNION ALL SELECT 3, group_name, resource_type, coalesce(part, 0), resource_name || '|' || CASE WHEN coalesce(part, 0) = 0
-      THEN success || '|' || errors || '|' || warnings ELSE '||' END || '|' || coalesce(comments, ''), status
+      THEN success || '|' || errors || '|' || warnings ELSE '||' END || '|' || coalesce(comments, ''), status, resource_name, monitored_environment
     FROM ({_health_sql()}) h LEFT JOIN ({_COMMENTS}) t USING (group_name, resource_type, monitored_environment, resource_name)"""
 _CAT_ROWS = f"""SELECT 2 AS section, group_name, resource_type, 0::BIGINT AS part, concat_ws('|', group_name, service_name,
-      {', '.join('total_' + m for m in H.CATALOG_MEASURES[3:] + H.CATALOG_MEASURES[:3])}) AS values, status AS style FROM ({_CAT_SUMMARY})
+      {', '.join('total_' + m for m in H.CATALOG_MEASURES[3:] + H.CATALOG_MEASURES[:3])}) AS values, status AS style, group_name AS k1, NULL AS k2 FROM ({_CAT_SUMMARY})
     UNION ALL SELECT 3, group_name, resource_type, 0, concat_ws('|', resource_name,
-      {', '.join(H.CATALOG_MEASURES[3:] + H.CATALOG_MEASURES[:3])}, comments), status FROM ({_CAT_HEALTH})"""
-add("rep1_generic_tables", lambda v: _flat_rows(_parts(v)[0]), _ROWS)
-add("rep2_catalog_tables", lambda v: _flat_rows(_parts(v)[1]), _CAT_ROWS)
+      {', '.join(H.CATALOG_MEASURES[3:] + H.CATALOG_MEASURES[:3])}, comments), status, resource_name, monitored_environment FROM ({_CAT_HEALTH})"""
+add("rep1_generic_tables", lambda v: _flat_rows(_parts(v)[0]), f"SELECT * EXCLUDE (k1, k2) FROM ({_ROWS})")
+add("rep2_catalog_tables", lambda v: _flat_rows(_parts(v)[1]), f"SELECT * EXCLUDE (k1, k2) FROM ({_CAT_ROWS})")
 add(
     "srt1_order_digest",
-    lambda v: P.order_digest(H.group_summary(H.aggregate_health(C.GLUE_JOBS, _runs(v, C.GLUE_JOBS), v.config()))).select(
-        "group_name", "resource_type", "total_executions"),
-    f"""SELECT group_name, resource_type, sum(executions)::BIGINT AS total_executions FROM ({_health_sql()})
-        WHERE resource_type = 'glue_jobs' GROUP BY 1, 2""",
+    lambda v: in_emitted_order(
+        P.order_digest(H.group_summary(H.resource_health(_all_runs(v), _config(v)))).select(
+            "group_name", text.type_ordinal(F.col("resource_type")).alias("type_order"), "resource_type", "total_executions"),
+        [], ["group_name", "type_order"]).drop("type_order"),
+    f"""SELECT group_name, resource_type, sum(executions)::BIGINT AS total_executions, true AS in_order
+        FROM ({_health_sql()}) GROUP BY 1, 2""",
 )
 
 
@@ -329,27 +334,34 @@ _BODY_SQL = f"""WITH table_rows AS ({_ROWS} UNION ALL {_CAT_ROWS}),
           || any_value(map {{{', '.join(f"'{t}': '{n}'" for t, n in C.DISPLAY_NAMES.items())}}}[resource_type]) || chr(10)
           || CASE WHEN any_value(resource_type) = 'glue_catalogs' THEN '{_CRESOURCE_HEAD}' ELSE '{_RESOURCE_HEAD}' END END
           || chr(10) || string_agg(style || '|' || values, chr(10) ORDER BY
-             CASE WHEN section < 3 THEN t.group_name || ' ' || ord ELSE '' END, values) AS lines
+             k1, CASE WHEN section < 3 THEN ord::VARCHAR ELSE coalesce(k2, '') END) AS lines
       FROM t JOIN mine m ON t.group_name = m.group_name
       GROUP BY m.delivery_method, m.monitoring_groups, m.p, m.recipients, t.part, t.section, t.g, t.o)
     SELECT delivery_method, array_to_string(monitoring_groups, ',') AS monitoring_groups, recipients, part,
       CASE WHEN part = 0 THEN 'header|Digest Summary' || chr(10) || 'h11|This report has been generated for the period from January '
         || '08, 2024 12:00 AM to January 22, 2024 12:00 AM.' || chr(10) ELSE '' END
       || string_agg(lines, chr(10) ORDER BY section, g, o) AS body FROM blocks GROUP BY 1, 2, p, 3, 4"""
-_BODY_OUT = ["delivery_method", "recipients", "part", "lines", "digest"]
 
 
-def _sorted_lines(col):
-    """Rows of equal names tie in the report, so bodies compare as sorted lines."""
-    return F.array_join(F.sort_array(F.split(col, "\n")), "\n")
+def _body_digests(reports: DataFrame) -> DataFrame:
+    """Bodies as digests of their lines, in their order."""
+    return _body_lines(joined(reports, "recipients")).select(
+        "delivery_method", "recipients", "part", F.size(F.split("body", "\n")).alias("lines"),
+        F.md5("body").alias("digest"), "message_subject")
 
 
-add(
-    "rep3_rep4_reports",
-    lambda v: _body_lines(joined(_reports(v), "recipients")).select(
-        "delivery_method", "recipients", "part", F.size(F.split("body", "\n")).alias("lines"),
-        F.md5(_sorted_lines(F.col("body"))).alias("digest"), "message_subject"),
-    f"""SELECT delivery_method, recipients, part, len(string_split(body, chr(10))) AS lines,
-        md5(array_to_string(list_sort(string_split(body, chr(10))), chr(10))) AS digest,
-        'Digest Report 2024-01-22' AS message_subject FROM ({_BODY_SQL})""",
-)
+def _stored_digest(v: Views) -> DataFrame:
+    """The whole job: stored tables, settings, and the period from the tooling's hours."""
+    base = scratch_path(v.spark, "digest")
+    for kind, facts in v.all_metrics().items():
+        TB.write_metrics(facts, base, kind)
+    tooling = v.table("region").agg(F.lit(14 * 24).alias("digest_report_period_hours"))
+    settings = ST.Settings(
+        v.environments, v.delivery_methods, v.monitored.select("group_name").distinct(), v.monitored, v.recipients, tooling)
+    return P.run_digest(v.spark, base, settings, v.inventory, END)
+
+
+_DIGESTS = f"""SELECT delivery_method, recipients, part, len(string_split(body, chr(10))) AS lines, md5(body) AS digest,
+    'Digest Report 2024-01-22' AS message_subject FROM ({_BODY_SQL})"""
+add("rep3_rep4_reports", lambda v: _body_digests(_reports(v)), _DIGESTS)
+add("j4_run_digest", lambda v: _body_digests(_stored_digest(v)), _DIGESTS)

@@ -8,7 +8,7 @@ from fleetgauge import constants as C
 from fleetgauge.functions import text as X
 from fleetgauge.operators import explore as E
 from fleetgauge.operators.digest_runs import first_last, latest
-from workbench.registry import add, ms
+from workbench.registry import add, in_emitted_order, ms
 from workbench.views import END, START
 
 RANGE = "time BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-22'"
@@ -147,8 +147,8 @@ _WHERE = """resource_type IN ('glue_jobs', 'glue_crawlers', 'step_functions')
     AND regexp_matches(event_status, 'ed$|stop', 'i') AND regexp_matches(resource_name, 'job-1', 'i')"""
 add("agg22_alert_count", lambda v: E.alert_count(v.alert_rows, **_FILTER),
     f"SELECT count(*)::BIGINT AS alerts FROM alert_rows WHERE {_WHERE}")
-add("agg23_alerts_by_result", lambda v: E.alerts_by_result(v.alert_rows, **_FILTER),
-    f"SELECT event_result, count(*)::BIGINT AS cnt FROM alert_rows WHERE {_WHERE} GROUP BY 1")
+add("agg23_alerts_by_result", lambda v: in_emitted_order(E.alerts_by_result(v.alert_rows, **_FILTER), [], ["event_result"]),
+    f"SELECT event_result, count(*)::BIGINT AS cnt, true AS in_order FROM alert_rows WHERE {_WHERE} GROUP BY 1")
 add(
     "agg24_stf6_alerts_timeline", lambda v: ms(E.alerts_timeline(v.alert_rows, 5, results=["FAILURE", "SUCCESS"])),
     """SELECT epoch_ms(time_bucket(INTERVAL 5 MINUTES, event_time)) AS bin_start, count(*)::BIGINT AS events_cnt

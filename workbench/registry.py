@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgauge.session import settle
 from workbench.sql_views import with_views
 from workbench.views import Views
 
@@ -33,3 +34,26 @@ def ms(df: DataFrame, *columns: str) -> DataFrame:
 def joined(df: DataFrame, *columns: str, sep: str = ",") -> DataFrame:
     """Show lists of texts as one text."""
     return df.withColumns({n: F.array_join(n, sep) for n in columns})
+
+
+def in_emitted_order(df: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
+    """Mark rows that come no earlier than the row emitted before them in their group.
+
+    Numbers follow the order in which the rows were given out. Without a group the row before is
+    looked for inside the partition, and the first row of each partition against the partition
+    before it.
+    """
+    now = F.struct(*keys)
+    given = settle(df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "given")
+    if group:
+        last = F.lag(now).over(Window.partitionBy(*group).orderBy("_at"))
+        return given.withColumn("in_order", F.coalesce(now >= last, F.lit(True))).drop("_at", "_part")
+    last = F.lag(now).over(Window.partitionBy("_part").orderBy("_at"))
+    # One row per partition: the highest key of all partitions before it.
+    ends = given.groupBy("_part").agg(F.max(now).alias("_end")).select(
+        "_part", F.max("_end").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_end"))
+    return (
+        given.withColumn("_last", last).join(F.broadcast(ends), "_part")
+        .withColumn("in_order", F.coalesce(now >= F.coalesce("_last", "_end"), F.lit(True)))
+        .drop("_at", "_part", "_last", "_end")
+    )
