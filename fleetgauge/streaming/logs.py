@@ -2,9 +2,11 @@
 
 A batch of new lines is put together with the lines of invocations that were still open
 and sessionised like any log; what stays open is written for the next batch. The open lines
-live in a table below the shared folder, one version per batch, so a repeated batch finds
-what it needs. State is plain rows: a stream with a large share of the lines is split over
-slices exactly as in a batch run.
+live in a table below the shared folder, in two versions that batches write in turn, so a
+repeated batch finds what it needs and no older version stays. Lines expire once they lie
+further behind the newest line than the store takes records, so the table holds a bounded time.
+State is plain rows: a stream with a large share of the lines is split over slices exactly as
+in a batch run.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetgauge import constants as C
 from fleetgauge import schemas
 from fleetgauge.operators.logs import SLICE_MINUTES, _attempts, _invocations, still_open, with_active_request
 from fleetgauge.streaming.alerts import run_once
@@ -23,26 +26,45 @@ def _open_lines(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
     schema = schemas.ddl(schemas.LOG_DDL).add("revives", "boolean")
     if batch_id == 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id - 1}")
+    return spark.read.schema(schema).parquet(_version(state, batch_id - 1))
+
+
+def _version(state: str, batch_id: int) -> str:
+    """Where a batch leaves its open lines: the place of the batch before the last one."""
+    return f"{state}/version={batch_id % 2}"
+
+
+def _unexpired(opened: DataFrame, seen: DataFrame, keep_hours: int) -> DataFrame:
+    """Open lines at most so many hours older than the newest line seen."""
+    newest = seen.agg(F.max(F.unix_micros("ts"))).first()[0]
+    if newest is None:
+        return opened
+    return opened.filter(F.unix_micros("ts") >= newest - keep_hours * 3_600_000_000)
 
 
 def sessionise_step(
-    lines: DataFrame, state: str, batch_id: int, slice_minutes: int = SLICE_MINUTES
+    lines: DataFrame, state: str, batch_id: int, slice_minutes: int = SLICE_MINUTES,
+    keep_hours: int = C.WRITABLE_HOURS,
 ) -> DataFrame:
-    """Invocations closed by a batch of lines; leaves the open ones for the next batch."""
+    """Invocations closed by a batch of lines; leaves the open ones for the next batch.
+
+    A START that is still open `keep_hours` after it is given up: its record would be too old
+    to be stored.
+    """
     spark = lines.sparkSession
     fresh = lines.select(
         *[f.name for f in schemas.ddl(schemas.LOG_DDL)], F.lit(True).alias("revives")
     )
     both = fresh.unionByName(_open_lines(spark, state, batch_id))
     owned = with_active_request(both, slice_minutes)
-    still_open(owned).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+    opened = _unexpired(still_open(owned), both, keep_hours)
+    opened.write.mode("overwrite").parquet(_version(state, batch_id))
     return _invocations(_attempts(owned))
 
 
 def sessionise_stream(
     log: DataFrame, out: str, checkpoint: str, state: str | None = None,
-    slice_minutes: int = SLICE_MINUTES,
+    slice_minutes: int = SLICE_MINUTES, keep_hours: int = C.WRITABLE_HOURS,
 ) -> StreamingQuery:
     """Follow a log (columns of `schemas.LOG_DDL`) and write closed invocations.
 
@@ -53,7 +75,7 @@ def sessionise_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            closed = sessionise_step(batch, folder, batch_id, slice_minutes)
+            closed = sessionise_step(batch, folder, batch_id, slice_minutes, keep_hours)
             closed.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
         finally:
             batch.unpersist()

@@ -138,3 +138,22 @@ def test_text_of_very_many_errors_is_exact(spark):
     (got,) = run(spark, lines)
     want = "<br/>".join(chr(97 + i % 3) if i % 4 else "" for i in range(300))
     assert got["error_count"] == 300 and got["error_message"] == want[:100] + "..."
+
+
+def test_open_lines_expire_and_old_versions_go(spark, tmp_path):
+    hour = 3_600_000
+    pieces = [
+        [line(0, "START RequestId: lost", "lost"), line(23 * hour, "START RequestId: late", "late", "s2")],
+        [line(25 * hour, "START RequestId: c", "c", "s3")],  # `lost` is 25 hours behind, `late` two
+        [line(26 * hour, report("late"), "late", "s2"), line(26 * hour, report("lost"), "lost")],
+        [line(27 * hour, report("c"), "c", "s3")],
+    ]
+    state, got = tmp_path / "state", []
+    for n, piece in enumerate(pieces):
+        out = sessionise_step(spark.createDataFrame(piece, schemas.LOG_DDL), str(state), n)
+        got += [r["request_id"] for r in out.collect()]
+        if n == 1:
+            kept = spark.read.parquet(f"{state}/version=1").collect()
+            assert sorted(r["request_id"] for r in kept) == ["c", "late"]
+    assert got == ["late", "c"]
+    assert sorted(p.name for p in state.iterdir()) == ["version=0", "version=1"]
