@@ -70,7 +70,7 @@ def test_simhash_components(spark):
     assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in got} == {i: (f, sets.root(i)) for i, f in texts.items()}
 
 
-@pytest.mark.parametrize("n_words, radius, coarse", [(1, 4, None), (4, 46, 20)])
+@pytest.mark.parametrize("n_words, radius, coarse", [(1, 4, None), (4, 46, 20), (8, 90, 20)])
 def test_tiles_find_every_link(spark, n_words, radius, coarse):
     rng = random.Random(n_words)
     bits = 64 * n_words
@@ -245,11 +245,12 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     lexicon, w = toxicity.FuzzyLexicon(model[0]), np.array(model[1])
     rows = [r for r in docs.collect() if toxicity._scores([r["text"]], lexicon, w)[0] < 0.5]
     near = corpus_pipeline.NEAR
-    marks = {r["doc_id"]: int.from_bytes(simhash.fingerprint(r["text"], 5, 4, True), "big") for r in rows}
+    marks = {r["doc_id"]: int.from_bytes(simhash.fingerprint(r["text"], near["width"], near["n_words"], True), "big") for r in rows}
+    rest = 64 * (near["n_words"] - 1)  # bits below the first word
     sets = Sets(marks)
     for a in marks:
         for b in marks:
-            if a < b and (marks[a] ^ marks[b]).bit_count() <= near["radius"] and (marks[a] >> 192 ^ marks[b] >> 192).bit_count() <= near["coarse"]:
+            if a < b and (marks[a] ^ marks[b]).bit_count() <= near["radius"] and (marks[a] >> rest ^ marks[b] >> rest).bit_count() <= near["coarse"]:
                 sets.join(a, b)
     rows = {r["doc_id"]: secret_scan.redacted(r["text"]) for r in rows if sets.root(r["doc_id"]) == r["doc_id"]}
     kept = docs.where(docs["doc_id"].isin(list(rows)))
