@@ -60,6 +60,7 @@ def collect(
     events_path: str | None,
     now: datetime,
     strict: bool = False,
+    storage: str = "parquet",
 ) -> None:
     """Bring every type's table up to date, all groups and environments in one pass each.
 
@@ -67,7 +68,7 @@ def collect(
     four listings that `snapshot_catalogs` counts, of which a pass takes a snapshot at `now`);
     `config` the resources to collect. Finished workflow and function runs are published as events.
     """
-    stored = last_update_times({k: metrics(spark, base, k) for k in C.RESOURCE_TYPES})
+    stored = last_update_times({k: metrics(spark, base, k, storage) for k in C.RESOURCE_TYPES})
     wanted = config.select("resource_type", F.col("name").alias("resource_name")).distinct()
     # Bounds and new records are read several times: each is worked out once.
     since = settle(since_times(wanted, stored, now), "since")
@@ -76,7 +77,7 @@ def collect(
             databases, *parts = runs
             named = wanted.filter(F.col("resource_type") == kind).select(F.col("resource_name").alias("DatabaseName"))
             listed = databases.join(named, "DatabaseName", "left_semi")
-            write_metrics(snapshot_catalogs(listed, *parts, moment(now)), base, kind)
+            write_metrics(snapshot_catalogs(listed, *parts, moment(now)), base, kind, storage=storage)
             continue
         if kind not in NORMALISERS:
             raise ValueError(f"no normaliser registered for resource type {kind}")
@@ -85,17 +86,17 @@ def collect(
             fresh = sessionise(fresh)
         fresh = settle(fresh, f"fresh-{kind}")
         if events_path is not None and kind in (C.GLUE_WORKFLOWS, C.LAMBDA_FUNCTIONS):
-            new = fresh if strict else _not_stored(spark, fresh, kind, base)
+            new = fresh if strict else _not_stored(spark, fresh, kind, base, storage)
             publish_events(to_events(with_account(new, environments), kind), events_path)
-        write_metrics(normalise(kind, fresh), base, kind)
+        write_metrics(normalise(kind, fresh), base, kind, storage=storage)
 
 
-def _not_stored(spark: SparkSession, fresh: DataFrame, kind: str, base: str) -> DataFrame:
+def _not_stored(spark: SparkSession, fresh: DataFrame, kind: str, base: str, storage: str = "parquet") -> DataFrame:
     """Runs without a stored record yet, so that no run is published twice."""
     run_id = {C.GLUE_WORKFLOWS: "WorkflowRunId", C.LAMBDA_FUNCTIONS: "request_id"}[kind]
     start = {C.GLUE_WORKFLOWS: "StartedOn", C.LAMBDA_FUNCTIONS: "started_on"}[kind]
     name = RAW_KEYS[kind][0]
-    known = metrics(spark, base, kind).select(
+    known = metrics(spark, base, kind, storage).select(
         F.col(C.RUN_ID[kind]).alias("_id"), F.col("time").alias("_at"),
         F.col("monitored_environment").alias("_env"), F.col("resource_name").alias("_name"),
     )

@@ -233,7 +233,8 @@ def digest(
 
 
 def run_digest(
-    spark: SparkSession, base: str, settings: Settings, inventory: DataFrame, now: datetime
+    spark: SparkSession, base: str, settings: Settings, inventory: DataFrame, now: datetime,
+    storage: str = "parquet",
 ) -> DataFrame:
     """The whole job over stored tables and loaded settings."""
     from fleetgauge.sources.tables import metrics
@@ -242,5 +243,5 @@ def run_digest(
     start, end = digest_window(now, hours)
     entries = expand_wildcards(settings.monitored, inventory)
     config = settle(with_account(entries, settings.environments), "config")
-    tables = {kind: metrics(spark, base, kind) for kind in C.RESOURCE_TYPES}
+    tables = {kind: metrics(spark, base, kind, storage) for kind in C.RESOURCE_TYPES}
     return digest(tables, config, settings.recipients, settings.delivery_methods, start, end)

@@ -12,6 +12,9 @@ from fleetgauge import constants as C
 from fleetgauge import schemas
 from fleetgauge.functions.timefn import in_utc, moment
 
+#: Kinds of storage a metrics table can be kept in: file formats Spark reads and writes with pruning.
+STORAGE_KINDS = ("parquet", "orc")
+
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -19,14 +22,21 @@ def table_path(base: str, resource_type: str) -> str:
     return f"{base.rstrip('/')}/{resource_type}_metrics"
 
 
-def metrics(spark: SparkSession, base: str, resource_type: str) -> DataFrame:
+def storage_format(kind: str) -> str:
+    """The format behind a storage kind; an unknown kind is an error."""
+    if kind not in STORAGE_KINDS:
+        raise ValueError(f"no storage kind {kind!r}; known kinds are {', '.join(STORAGE_KINDS)}")
+    return kind
+
+
+def metrics(spark: SparkSession, base: str, resource_type: str, storage: str = "parquet") -> DataFrame:
     """One metrics table. A table nobody has written yet reads as empty.
 
     The files are partitioned by `date`; filter with `in_period`, which prunes on it.
     """
     schema = schemas.metrics_schema(resource_type).add("date", "date")
     try:
-        return spark.read.schema(schema).parquet(table_path(base, resource_type))
+        return spark.read.schema(schema).format(storage_format(storage)).load(table_path(base, resource_type))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -59,7 +69,7 @@ def unseen(new: DataFrame, stored: DataFrame, resource_type: str) -> DataFrame:
 
 
 def write_metrics(
-    df: DataFrame, base: str, resource_type: str, dedupe: bool = True
+    df: DataFrame, base: str, resource_type: str, dedupe: bool = True, storage: str = "parquet"
 ) -> None:
     """Append records to the type's table, leaving out those already there.
 
@@ -71,7 +81,7 @@ def write_metrics(
     new = df.select(*schema.fieldNames())
     if dedupe:
         spark = df.sparkSession
-        stored = metrics(spark, base, resource_type)
+        stored = metrics(spark, base, resource_type, storage)
         micros = F.unix_micros("time")
         span = new.agg(F.min(micros), F.max(micros)).first()
         if span[0] is None:
@@ -79,9 +89,8 @@ def write_metrics(
         first, last = (EPOCH + timedelta(microseconds=m) for m in span)
         new = unseen(new, in_period(stored, first, last), resource_type)
     dated = new.withColumn("date", F.to_date("time"))
-    dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(
-        table_path(base, resource_type)
-    )
+    writer = dated.hint("rebalance", "date").write.mode("append").partitionBy("date")
+    writer.format(storage_format(storage)).save(table_path(base, resource_type))
 
 
 def prune(df: DataFrame, now: datetime, days: int = C.RETENTION_DAYS) -> DataFrame:

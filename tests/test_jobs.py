@@ -3,6 +3,7 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
@@ -12,7 +13,7 @@ from fleetgauge.operators.progress import last_update_times
 from fleetgauge.plans import alerting as A
 from fleetgauge.plans.collect import collect
 from fleetgauge.sources.events import parse_envelope, publish_events
-from fleetgauge.sources.tables import metrics, unseen
+from fleetgauge.sources.tables import STORAGE_KINDS, metrics, unseen
 from fleetgauge.streaming.alerts import run_alerts
 
 NOW = datetime(2024, 1, 22, 12)
@@ -114,13 +115,19 @@ def test_unseen_compares_missing_keys_as_equal(spark):
     assert [r["resource_name"] for r in left.collect()] == ["y"]
 
 
-def test_collect_takes_catalog_snapshots(spark, tmp_path):
+@pytest.mark.parametrize("storage", STORAGE_KINDS)
+def test_collect_takes_catalog_snapshots(spark, tmp_path, storage):
     make = spark.createDataFrame
     databases = make([("e", "d1", "1"), ("e", "other", "1")], "monitored_environment string, DatabaseName string, AccountId string")
     tables = make([("e", "d1", "t1", "1"), ("e", "d1", "t2", "1")], "monitored_environment string, DatabaseName string, Name string, CatalogId string")
     parts = make([("e", "d1", "t1")] * 3, "monitored_environment string, DatabaseName string, TableName string")
     config = make([(C.GLUE_CATALOGS, "d1")], "resource_type string, name string")
     envs = make([("e", "1", "r")], "name string, account_id string, region string")
-    collect(spark, {C.GLUE_CATALOGS: (databases, tables, parts, parts.limit(1))}, str(tmp_path), config, envs, None, NOW)
-    got = metrics(spark, str(tmp_path), C.GLUE_CATALOGS).collect()
+    collect(spark, {C.GLUE_CATALOGS: (databases, tables, parts, parts.limit(1))}, str(tmp_path), config, envs, None, NOW, storage=storage)
+    got = metrics(spark, str(tmp_path), C.GLUE_CATALOGS, storage).collect()
     assert [(r["resource_name"], r["tables_count"], r["partitions_count"], r["indexes_count"]) for r in got] == [("d1", 2, 3, 1)]
+
+
+def test_unknown_storage_kinds_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="no storage kind"):
+        metrics(spark, str(tmp_path), C.GLUE_JOBS, "tape")

@@ -16,6 +16,7 @@ SAMPLE = [
     "prj1_glue_jobs", "prj2_glue_workflows", "prj7_lambda_functions", "agg9_set1_last_update_times", "jn2_expand_wildcards",
     "dig4_win3_catalog_deltas", "dig7_jn9_agg12_lambda_functions", "agg1_resource_health", "agg5_str5_run_comments",
     "agg15_flt10_run_totals_glue_jobs", "win4_str7_catalog_diff", "agg24_stf6_alerts_timeline", "snk2_alert_log",
+    "stf1_sessionise_stream",
 ]
 
 
