@@ -15,9 +15,9 @@ from fleetgauge.llm import bpe, mixing, secret_scan, simhash, toxicity
 from fleetgauge.llm.common import shared_folder
 from fleetgauge.llm.queries import VOCABULARY
 
-#: Near copies: five-word shingles, as sets, in 512-bit fingerprints. A similarity of 0.8 is 77.4
-#: differing bits on average (deviation 8.1), 0.6 is 117.8 (9.5), unrelated texts are 256 (11.3).
-NEAR = {"width": 5, "n_words": 8, "radius": 90, "coarse": 20, "as_set": True}
+#: Near copies: a Jaccard similarity of 0.8 of five-word shingle sets. Candidates are texts of at most 32 shingles by
+#: shared shingles, others by 512-bit fingerprints: 0.8 is about 80 differing bits there (deviation 8), unrelated texts 256 (11).
+NEAR = {"width": 5, "n_words": 8, "radius": 128, "coarse": 24, "similarity": 0.8, "short": 32}
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

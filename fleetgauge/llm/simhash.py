@@ -7,6 +7,11 @@ meeting is one exclusive-or matrix with bit counts in numpy. A meeting returns a
 forest of the links it saw, never the links themselves, so that a group of thousands of near
 copies stays linear. Components of the forests are found by alternating star contraction.
 
+`similar_groups` takes fingerprints as a search only: texts of few shingles meet where they share
+one of their least shingles, longer ones within a wide radius, and what met is confirmed by the
+exact Jaccard similarity of the shingle sets. Groups of candidates are cut into chunks that meet
+each other, so that a large group is many tasks; a meeting again returns a spanning forest.
+
 Edge cases: a null or blank text has no shingle and fingerprint zero, linked like any other;
 fewer words than a shingle are one shingle; equal rows share a fingerprint and a component;
 null ids take part but are no component's name (a component of null ids only is null); an
@@ -15,8 +20,10 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +38,10 @@ from fleetgauge.llm.common import cut, map_rows
 SEED = 42
 #: Fingerprints in a tile.
 TILE = 16_384
+#: Candidate texts in a chunk.
+CHUNK = 256
+#: Room for the rounding of a similarity.
+TINY = 1e-9
 #: Odd multipliers that derive further hash words from the first (64-bit finaliser steps).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -63,15 +74,33 @@ def _set_in_most(hashes: np.ndarray) -> int:
 def fingerprint(text: str | None, width: int, n_words: int = 1, as_set: bool = False) -> bytes:
     """The fingerprint of a text: n_words 64-bit words, most significant byte first."""
     found = shingles(text, width)
-    if as_set:
-        found = set(found)
-    hashes = np.fromiter(
-        map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype=np.uint64, count=len(found)
-    )
+    return _folded(_hashed(set(found) if as_set else found), n_words)
+
+
+def _hashed(found: list[bytes] | set[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype=np.uint64, count=len(found))
+
+
+def _folded(hashes: np.ndarray, n_words: int) -> bytes:
     words = [_set_in_most(_spread(hashes, i) if i else hashes) for i in range(n_words)]
     return b"".join(w.to_bytes(8, "big") for w in words)
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    return np.unique(_hashed(set(shingles(text, width))))
+
+
+def set_key(hashes: np.ndarray) -> bytes:
+    """The name of a shingle set."""
+    return hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest()
+
+
+def least_shingles(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the least hashes that two sets of that similarity share one of them."""
+    return hashes[: len(hashes) - ceil(similarity * len(hashes) - TINY) + 1] if len(hashes) else hashes
+
+
 def fingerprints(
     docs: DataFrame, width: int = 4, n_words: int = 1, as_set: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
@@ -249,13 +278,174 @@ def near_groups(
     return marks.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def alike(sets: list[np.ndarray], similarity: float, shift: int = 0) -> np.ndarray:
+    """For each set the first one of its group; with a shift only sets before it meet those from it on."""
+    sizes = np.array(list(map(len, sets)))
+    starts = np.cumsum(sizes) - sizes
+    flat, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    label, mark = np.arange(len(sets)), np.zeros(len(flat), np.int64)
+    for i in range(shift or len(sets) - 1):
+        at = shift or i + 1
+        if (label[at:] == label[i]).all():
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[codes[starts[at] :]], starts[at:] - starts[at])
+        mark[own] = 0
+        hits = np.flatnonzero(common >= similarity * (sizes[i] + sizes[at:] - common) - TINY) + at
+        if len(hits):
+            joined = np.unique(label[np.append(hits, i)])
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+_PAIRS = "hi binary, lo binary"
+
+
+def _pairs(keys: list[bytes], label: np.ndarray) -> list[tuple[bytes, bytes]]:
+    return [(keys[i], keys[g]) for i, g in enumerate(label.tolist()) if i != g]
+
+
+def _pair_table(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table(
+        {"hi": pa.array([max(p) for p in pairs], pa.binary()), "lo": pa.array([min(p) for p in pairs], pa.binary())}
+    )
+
+
+def confirmed(members: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """(hi, lo): spanning forests of the similar sets among members (root, n, key, hashes) of one root.
+
+    Small groups share a task, large ones are cut into chunks.
+    """
+    small, large = members.where(F.col("n") <= chunk), members.where(F.col("n") > chunk)
+    tasks = small.count() // chunk + 1
+
+    def within(key: tuple, table: pa.Table) -> pa.Table:
+        groups: dict[bytes, dict[bytes, bytes]] = {}
+        for root, name, hashes in zip(*(table[c].to_pylist() for c in ("root", "key", "hashes"))):
+            groups.setdefault(root, {})[name] = hashes
+        pairs = []
+        for found in groups.values():
+            sets = [np.frombuffer(h, "<u8") for h in found.values()]
+            pairs += _pairs(list(found), alike(sets, similarity))
+        return _pair_table(pairs)
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        found = dict(zip(table["key"].to_pylist(), table["hashes"].to_pylist()))
+        return pa.table(
+            {
+                "root": [key[0].as_py()], "part": [key[1].as_py()], "parts": table["parts"][:1],
+                "keys": pa.array([list(found)], pa.list_(pa.binary())), "sets": pa.array([list(found.values())], pa.list_(pa.binary())),
+            }
+        )
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        first, second = key[1].as_py(), key[2].as_py()
+        packed = dict(zip(table["part"].to_pylist(), zip(table["keys"].to_pylist(), table["sets"].to_pylist())))
+        if first != second and len(packed) < 2:  # the partner holds nothing
+            return _pair_table([])
+        keys = [k for t in sorted(packed) for k in packed[t][0]]
+        sets = [np.frombuffer(h, "<u8") for t in sorted(packed) for h in packed[t][1]]
+        return _pair_table(_pairs(keys, alike(sets, similarity, len(packed[first][0]) if first != second else 0)))
+
+    near = small.groupBy(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task")).applyInArrow(within, _PAIRS)
+    parts = F.ceil(F.col("n") / chunk)
+    chunks = (
+        large.select("root", F.pmod(F.xxhash64("key"), parts).alias("part"), parts.alias("parts"), "key", "hashes")
+        .groupBy("root", "part")
+        .applyInArrow(pack, "root binary, part long, parts long, keys array<binary>, sets array<binary>")
+    )
+    meetings = chunks.select("root", "part", "keys", "sets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    meetings = meetings.select("root", F.least("part", "other").alias("t1"), F.greatest("part", "other").alias("t2"), "part", "keys", "sets")
+    return near.unionByName(meetings.groupBy("root", "t1", "t2").applyInArrow(meet, _PAIRS))
+
+
+def similar_groups(
+    docs: DataFrame, width: int, n_words: int, radius: int, coarse: int | None, similarity: float, short: int,
+    tile: int = TILE, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, component_id) of every document; links are shingle sets of at least that Jaccard similarity.
+
+    Texts of at most `short` shingles and their partners are candidates where they share one of their
+    least shingles, which no pair of that similarity fails to do; longer ones by fingerprint.
+    """
+    reach = int(short / similarity + TINY)
+    named = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("row"),
+        F.col(text_col).alias("text"),
+    )
+
+    def marked(doc_id, row, text):
+        hashes = shingle_set(text, width)
+        fp = _folded(hashes, n_words) if len(hashes) > short else b""
+        few = least_shingles(hashes, similarity).astype(np.int64).tolist() if len(hashes) <= reach else []
+        return doc_id, row, set_key(hashes), fp, int.from_bytes(fp, "big").bit_count(), few
+
+    marks = cut(
+        map_rows(
+            named, marked,
+            T.StructType(
+                [
+                    T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()),
+                    T.StructField("key", T.BinaryType()), T.StructField("fp", T.BinaryType()),
+                    T.StructField("ones", T.IntegerType()), T.StructField("few", T.ArrayType(T.LongType())),
+                ]
+            ),
+        )
+    )
+    uniq = cut(
+        marks.groupBy("key").agg(
+            F.first("fp").alias("fp"), F.first("ones").alias("ones"), F.first("few").alias("few"),
+            F.min("doc_id").alias("least"), F.min("row").alias("row"),
+        )
+    )
+    # Candidates: keys hang on the least key with the same fingerprint or the same least shingle.
+    long_ = uniq.where(F.length("fp") > 0)
+    of_fp = cut(long_.groupBy("fp").agg(F.first("ones").alias("ones"), F.min("key").alias("low")))
+    by_fp = links(of_fp.select("fp", "ones"), n_words, radius, coarse, tile)
+    hi, lo = (of_fp.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_key")) for c in ("hi", "lo"))
+    by_fp = by_fp.join(hi, "hi").join(lo, "lo").select(F.col("hi_key").alias("a"), F.col("lo_key").alias("b"))
+    same_fp = long_.join(of_fp.select("fp", "low"), "fp").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    shared = uniq.select("key", F.explode("few").alias("shingle"))
+    lowest = shared.groupBy("shingle").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1")
+    by_shingle = shared.join(lowest, "shingle").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    met = by_fp.unionByName(same_fp).unionByName(by_shingle).where("a <> b")
+    stars = components(met.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+    # Members of groups of two and more, with their shingle sets from the texts.
+    heads = stars.groupBy(F.col("lo").alias("root")).agg((F.count("*") + 1).alias("n"))
+    inside = stars.select(F.col("hi").alias("key"), F.col("lo").alias("root")).unionByName(
+        heads.select(F.col("root").alias("key"), "root")
+    )
+    wanted = inside.join(heads, "root").join(uniq.select("key", "row"), "key")
+
+    def filled(root, n, key, text):
+        hashes = shingle_set(text, width)
+        return root, n, key, hashes.astype("<u8").tobytes() if set_key(hashes) == key else None
+
+    members = map_rows(
+        wanted.join(named.select("row", "text"), "row").select("root", "n", "key", "text"), filled,
+        T.StructType(
+            [
+                T.StructField("root", T.BinaryType()), T.StructField("n", T.LongType()),
+                T.StructField("key", T.BinaryType()), T.StructField("hashes", T.BinaryType()),
+            ]
+        ),
+    ).where("hashes IS NOT NULL")
+    links_ = components(confirmed(cut(members), similarity, chunk))
+    rooted = uniq.join(links_, F.col("key") == F.col("hi"), "left").select("key", "least", F.coalesce("lo", "key").alias("root"))
+    named_roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_key = rooted.join(named_roots, "root").select("key", "component_id")
+    return marks.join(of_key, "key").select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, all columns, one of each group: the one with the smallest id.
 
     Documents without an id cannot be told apart by it and stay. Rows that repeat a kept id stay
     once where they are equal in all columns.
     """
-    groups = near_groups(docs, id_col=id_col, **options)
+    groups = similar_groups(docs, id_col=id_col, **options)
     kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows"))
     joined = docs.join(kept, docs[id_col].cast("long") == kept["_kept_id"])
     single = joined.where("_kept_rows = 1").select(docs.columns)
