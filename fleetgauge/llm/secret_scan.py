@@ -4,8 +4,8 @@ Patterns find assignments, access keys and long hexadecimal runs. The method loo
 in a credential context (an assignment to a credential name, an authorisation header, the user
 part of a url) and asks what guessing them costs: a dynamic program finds the cheapest way to
 cut a value into common words (also with capitals and look-alike characters), dates, repeats,
-keyboard walks and brute-force spans. What costs enough is a secret of kind `credential`, if no
-pattern span overlaps it; placeholders such as `changeme123` are not.
+keyboard walks and brute-force spans. What costs enough is a secret of kind `credential`, if
+pattern spans do not cover it wholly; placeholders such as `changeme123` are not.
 
 Edge cases: a null text is empty; texts and values of any length are handled whole (the program
 is linear in a value's length); equal rows get equal rows; an empty table gives an empty table;
@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log10
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +60,7 @@ CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[_-]?key|(?:access|private|client|signing)[_-]?key)"""
     r"""["']?\x20*(?::=|=>|[:=])\x20*["']?([^\s"'<>,;|]+)"""
     r"""|authorization["']?\x20*[:=]\x20*["']?(?:bearer|basic)\x20+([^\s"'<>,;|]+)"""
-    r"""|://[^\s/:@]{1,64}:([^\s/:@]+)@""",
+    r"""|://[^\s/:@]*:([^\s/:@]+)@""",
     _ASCII,
 )
 #: One of these (lower case) stands in every text that ASSIGN or CONTEXT can match.
@@ -146,6 +148,17 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
     return best[-1]
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as disjoint ones, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def find(text: str | None, least_cost: float = LEAST_COST) -> tuple[list, list, float]:
     """Pattern spans and the method's spans, both as (start, kind number, end), and the top cost."""
     text = text or ""
@@ -155,7 +168,7 @@ def find(text: str | None, least_cost: float = LEAST_COST) -> tuple[list, list,
     more, top, low = [], 0.0, text.lower()
     if any(h in low for h in HINTS):
         base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        taken = sorted((s, e) for s, _, e in base)
+        taken = _merged([(s, e) for s, _, e in base])
         for m in CONTEXT.finditer(text):
             group = m.lastindex
             start, end = m.span(group)
@@ -163,7 +176,8 @@ def find(text: str | None, least_cost: float = LEAST_COST) -> tuple[list, list,
                 continue
             cost = guess_cost(m[group])
             top = max(top, cost)
-            if cost >= least_cost and not any(s < end and start < e for s, e in taken):
+            at = bisect_right(taken, start, key=itemgetter(0)) - 1
+            if cost >= least_cost and not (at >= 0 and taken[at][1] >= end):
                 more.append((start, 3, end))
     return sorted(base), more, top
 
