@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bpe, host_quality, html_text, mixing, pii, secret_scan, simhash, topk, toxicity, urls
+from fleetgauge.llm import (
+    bpe, divergence, host_quality, html_text, importance, minhash, mixing, pii, secret_scan, simhash, topk, toxicity, urls,
+)
 
 #: Where the vocabulary of the encoder lies on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -211,3 +213,128 @@ def op9_html_text(spark, sf_dir):
 def op6_pii(spark, sf_dir):
     """Personal data of all documents."""
     return pii.redactions(table(spark, sf_dir, "documents"))
+
+
+#: What `translate` lower-cases.
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query
+def op11_resample(spark, sf_dir):
+    """Documents drawn by importance towards the benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_resample"] = f"""
+WITH texts AS (
+  SELECT 1 AS corpus, doc_id, text, row_number() OVER () AS i FROM documents
+  UNION ALL SELECT 0, NULL, text, NULL FROM benchmark),
+cut_up AS (
+  SELECT corpus, doc_id, i, list_filter(string_split_regex(translate(coalesce(text, ''), {LOWER}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM texts),
+features AS (
+  SELECT corpus, doc_id, i, unnest(list_concat(w, list_concat(
+    list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]),
+    list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])))) AS f
+  FROM cut_up),
+-- CRC-32 byte by byte: a table of 256 entries from the polynomial, then one step a byte.
+steps AS (
+  SELECT list(c ORDER BY k) AS step FROM (
+    SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) t(k))),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2),
+    lambda k: (position(h[2 * k + 1] IN '0123456789ABCDEF') - 1) * 16 + position(h[2 * k + 2] IN '0123456789ABCDEF') - 1)),
+    lambda c, b: xor(c // 256, step[xor(c % 256, b) + 1]))) % {importance.BUCKETS} AS bucket
+  FROM hexed, steps),
+counts AS (
+  SELECT bucket, count(*) FILTER (corpus = 1) AS s, count(*) FILTER (corpus = 0) AS t FROM features JOIN hashed USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {importance.BUCKETS})::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + {importance.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM counts),
+weighed AS (
+  SELECT i, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE corpus = 1 GROUP BY i),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM cut_up LEFT JOIN weighed USING (i) WHERE corpus = 1),
+placed AS (
+  SELECT *, n_words >= {importance.LEAST_WORDS} AS fit,
+    row_number() OVER (PARTITION BY n_words >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+    count(*) OVER (PARTITION BY n_words >= {importance.LEAST_WORDS}) AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= {importance.PERCENT} * n // 100 THEN place END AS rank
+FROM placed
+"""
+
+
+@query
+def op12_divergence(spark, sf_dir):
+    """How the sources of each language differ in their words."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_divergence"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+seen AS (SELECT lang, source, i, unnest(w) AS term FROM docs),
+langs AS (SELECT lang, term, count(*) AS lang_n FROM seen GROUP BY lang, term HAVING count(DISTINCT i) >= {divergence.LEAST_DOCS}),
+groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_all, 0) AS lang_all, coalesce(g.n, 0) AS n_all
+  FROM (SELECT DISTINCT lang, source FROM docs)
+  LEFT JOIN (SELECT lang, count(*) AS v, sum(lang_n)::HUGEINT AS lang_all FROM langs GROUP BY lang) USING (lang)
+  LEFT JOIN (SELECT lang, source, count(*)::HUGEINT AS n FROM seen JOIN langs USING (lang, term) GROUP BY lang, source) g USING (lang, source)),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM seen JOIN langs USING (lang, term) GROUP BY lang, source, term),
+shares AS (
+  SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+    1 + ({divergence.UNIT}::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n_all + v) AS p,
+    1 + ({divergence.UNIT}::HUGEINT * (l.lang_n + 1)) // (g.lang_all + v) AS q
+  FROM groups g JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+@query
+def op13_minhash(spark, sf_dir):
+    """Groups of documents by the similarity of their sets of word pairs."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_minhash"] = f"""
+WITH RECURSIVE cut_up AS (
+  SELECT row_number() OVER () AS i, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), {LOWER}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingled AS (
+  SELECT i, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END)) AS s
+  FROM cut_up),
+sets AS (SELECT row_number() OVER () AS g, s, len(s) AS n, min(doc_id) AS least FROM shingled WHERE len(s) > 0 GROUP BY s),
+parts AS (SELECT g, n, unnest(s) AS f FROM sets),
+common AS (SELECT a.g AS a, b.g AS b, a.n AS an, b.n AS bn, count(*) AS shared
+  FROM parts a JOIN parts b ON a.f = b.f AND a.g < b.g AND 100 * least(a.n, b.n) >= {minhash.PERCENT} * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= {minhash.PERCENT} * (an + bn - shared)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached(g, h) AS (
+  SELECT a, b FROM ways UNION SELECT reached.g, ways.b FROM reached JOIN ways ON reached.h = ways.a),
+groups AS (
+  SELECT x.g, least(any_value(x.least), min(y.least)) AS component_id
+  FROM sets x LEFT JOIN reached ON x.g = reached.g LEFT JOIN sets y ON reached.h = y.g GROUP BY x.g)
+SELECT doc_id, len(shingled.s)::BIGINT AS n_shingles, CASE WHEN len(shingled.s) = 0 THEN doc_id ELSE component_id END AS component_id,
+  doc_id = CASE WHEN len(shingled.s) = 0 THEN doc_id ELSE component_id END AS kept
+FROM shingled LEFT JOIN sets ON shingled.s = sets.s LEFT JOIN groups USING (g)
+"""
