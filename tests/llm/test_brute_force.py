@@ -239,20 +239,14 @@ def test_extraction_drops_the_frame():
 def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     """Every decision of the pipeline recomputed without Spark on a small corpus."""
     from fleetgauge.llm import mixing
+    from tests.llm.test_near_copies import brute_force
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     lexicon, w = toxicity.FuzzyLexicon(model[0]), np.array(model[1])
     rows = [r for r in docs.collect() if toxicity._scores([r["text"]], lexicon, w)[0] < 0.5]
-    near = corpus_pipeline.NEAR
-    marks = {r["doc_id"]: int.from_bytes(simhash.fingerprint(r["text"], near["width"], near["n_words"], True), "big") for r in rows}
-    rest = 64 * (near["n_words"] - 1)  # bits below the first word
-    sets = Sets(marks)
-    for a in marks:
-        for b in marks:
-            if a < b and (marks[a] ^ marks[b]).bit_count() <= near["radius"] and (marks[a] >> rest ^ marks[b] >> rest).bit_count() <= near["coarse"]:
-                sets.join(a, b)
-    rows = {r["doc_id"]: secret_scan.redacted(r["text"]) for r in rows if sets.root(r["doc_id"]) == r["doc_id"]}
+    groups = brute_force({r["doc_id"]: r["text"] for r in rows})  # exact similarity of shingle sets
+    rows = {r["doc_id"]: secret_scan.redacted(r["text"]) for r in rows if groups[r["doc_id"]] == r["doc_id"]}
     kept = docs.where(docs["doc_id"].isin(list(rows)))
     clean = spark.createDataFrame([(r["doc_id"], rows[r["doc_id"]], r["lang"], r["source"], r["n_chars"]) for r in kept.collect()], docs.schema)
     copies = {r["doc_id"]: r["copies"] for r in mixing.plan_mix(clean).collect()}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetgauge.llm import bpe, host_quality, html_text, mixing, pii, secret_scan, simhash, topk, toxicity, urls
+from fleetgauge.llm import bpe, divergence, host_quality, html_text, importance, minhash, mixing, pii, secret_scan, simhash, topk, toxicity, urls
 from fleetgauge.llm.queries import VOCABULARY
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -20,7 +20,7 @@ ROWS = [
     (6, "same text here", "en", "s2", 1),
     (7, "same text here", "en", "s2", 1),
 ]
-CLASHES = ["fp", "ones", "size", "target", "score", "word", "rank", "s", "label", "copies", "_1", "hi", "lo", "host", "failed"]
+CLASHES = ["fp", "ones", "size", "target", "score", "word", "rank", "s", "label", "copies", "_1", "hi", "lo", "host", "failed", "index", "key", "root", "group", "digest", "term", "n", "id"]
 
 
 @pytest.fixture(scope="module")
@@ -42,10 +42,12 @@ def of_documents(labels):
         "toxicity": lambda d: toxicity.score(d, toxicity.learn(d, labels)),
         "bpe": lambda d: bpe.encode(d, VOCABULARY),
         "mix": mixing.plan_mix,
+        "resample": lambda d: importance.resample(d, labels.select(F.lit("a first text").alias("text"))),
+        "minhash": minhash.near_duplicates,
     }
 
 
-@pytest.mark.parametrize("name", ["secrets", "simhash", "quality", "pii", "toxicity", "bpe", "mix"])
+@pytest.mark.parametrize("name", ["secrets", "simhash", "quality", "pii", "toxicity", "bpe", "mix", "resample", "minhash"])
 def test_documents(spark, docs, labels, name):
     run = of_documents(labels)[name]
     got = run(docs)
@@ -113,3 +115,33 @@ def test_pages(spark):
     assert got[1]["text"] == got[2]["text"] == got[3]["text"] == ""
     assert got[4]["text"] == "T & x\nSome words, here." and got[4]["n_chars"] == 23
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_minhash_links_no_empty_sets(spark, docs):
+    got = {}
+    for r in minhash.near_duplicates(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_shingles"], r["component_id"], r["kept"]))
+    assert got[1] == [(8, 1, True)] * 2 and got[None] == [(4, None, None)]
+    assert [got[i] for i in (2, 3, 4)] == [[(0, 2, True)], [(0, 3, True)], [(0, 4, True)]]
+    assert got[6] == [(2, 6, True)] and got[7] == [(2, 6, False)]
+
+
+def test_resampling_draws_ties_by_id(spark):
+    rows = [(i, "wort " * 20) for i in (3, 1, 2)] * 10 + [(None, "wort " * 20), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = importance.resample(docs, docs.limit(0), percent=100).collect()
+    drawn = sorted((r["rank"], r["doc_id"], r["score"]) for r in got if r["rank"])
+    assert [d[0] for d in drawn] == list(range(1, 32))
+    assert drawn == [(i, d, s) for i, (d, s) in enumerate(sorted([d[1:] for d in drawn], key=lambda x: (-x[1], x[0] is None, x[0])), 1)]
+    assert [(r["weight"], r["rank"]) for r in got if r["doc_id"] == 9] == [(0, None)]
+
+
+def test_divergence_cases(spark, docs):
+    got = sorted(map(str, divergence.audit(docs).collect()))
+    assert sorted(map(str, divergence.audit(docs.withColumns({c: F.lit("x") for c in CLASHES})).collect())) == got
+    pairs = {(r["lang"], r["source"], r["item"]) for r in divergence.audit(docs).collect() if r["part"] == "pair"}
+    assert pairs == {("en", a, b) for a in ("", "s1", "s2") for b in ("", "s1", "s2") if a != b}
+    assert divergence.audit(docs.limit(0)).count() == 0
+    # No term in three documents: pairs of value 0 and no terms.
+    few = spark.createDataFrame([("a b", "x", "s"), ("a", "x", "t"), (None, None, None)], "text string, lang string, source string")
+    assert sorted(tuple(r) for r in divergence.audit(few).collect()) == [("x", "s", "pair", "t", 0, 1), ("x", "t", "pair", "s", 0, 1)]
