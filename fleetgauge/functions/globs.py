@@ -44,14 +44,46 @@ def glob_to_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.array_join(parts, ""), F.lit(r"\z"))
 
 
-def literal_prefix(pattern: Column) -> Column:
-    """The characters before the first pattern character."""
-    return F.regexp_extract(pattern, r"^([^*?\[]*)", 1)
+# Marks of a name's beginning and end, and of what a pattern leaves open.
+_BEGIN, _END, _OPEN = "\x02", "\x03", "\x01"
+#: Letters of a gram, for literal pieces of at least so many; shorter pieces are grams as they are.
+SHORT_GRAM, LONG_GRAM = 3, 8
+GRAM_LENGTHS = (*range(1, SHORT_GRAM + 1), LONG_GRAM)
 
 
-def name_prefixes(name: Column) -> Column:
-    """Every prefix of the name from the empty one to the whole."""
-    return F.transform(
-        F.sequence(F.lit(0), F.length(name)),
-        lambda i: F.substring(name, F.lit(1), i),
-    )
+def marked(name: Column) -> Column:
+    """The name between marks of its beginning and its end."""
+    return F.concat(F.lit(_BEGIN), name, F.lit(_END))
+
+
+def literal_pieces(pattern: Column) -> Column:
+    """The literal pieces of a pattern, with the marks where they touch an end.
+
+    A marked name that matches holds every piece. A pattern without literal characters has none.
+    """
+    tokens = F.regexp_extract_all(pattern, F.lit(_TOKEN), F.lit(1))
+    kept = F.transform(tokens, lambda t: F.when((F.length(t) > 1) | t.isin("*", "?"), F.lit(_OPEN)).otherwise(t))
+    pieces = F.split(marked(F.array_join(kept, "")), _OPEN)
+    return F.filter(pieces, lambda p: ~p.isin("", _BEGIN, _END))
+
+
+def gram_length(piece: Column) -> Column:
+    """How long the grams of a piece are."""
+    n = F.length(piece)
+    return F.when(n >= LONG_GRAM, LONG_GRAM).when(n >= SHORT_GRAM, SHORT_GRAM).otherwise(n)
+
+
+def no_grams() -> Column:
+    return F.array().cast("array<string>")
+
+
+def grams(text: Column, length: Column) -> Column:
+    """The distinct runs of so many characters in a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - length + 1))
+    found = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, length)))
+    return F.when(F.length(text) >= length, found).otherwise(no_grams())
+
+
+def pattern_grams(pattern: Column) -> Column:
+    """The distinct grams of a pattern's pieces."""
+    return F.array_distinct(F.flatten(F.transform(literal_pieces(pattern), lambda p: grams(p, gram_length(p)))))

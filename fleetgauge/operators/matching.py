@@ -6,32 +6,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
-from fleetgauge.functions.globs import glob_to_regex, has_glob, literal_prefix, name_prefixes
+from fleetgauge.functions.globs import (
+    GRAM_LENGTHS, glob_to_regex, grams, has_glob, literal_pieces, marked, no_grams, pattern_grams,
+)
 from fleetgauge.session import bounded_broadcast
 
 
+def glob_candidates(names: DataFrame, patterns: DataFrame, name: str, pattern: str, on: list[str]) -> DataFrame:
+    """Pairs of a name and a pattern that may match it, each once, with `_open` where a test has to tell.
+
+    Exact entries meet the whole name, patterns without a literal character (a bare `*`) every
+    name of their `on` columns. All others meet through an index of grams: names are posted under
+    their grams, counted, and each pattern looks up the rarest of its own, wherever in
+    the pattern it stands. Only gram lengths that occur in patterns are posted, and only grams that do.
+    All joins are ordinary equality joins, so neither side has to fit anywhere.
+    """
+    if not on:
+        whole = [df.withColumn("_all", F.lit(True)) for df in (names, patterns)]
+        return glob_candidates(*whole, name, pattern, ["_all"]).drop("_all")
+    text = F.col(pattern)
+    globbed = patterns.filter(has_glob(text)).withColumn("_open", F.lit(True))
+    exact = names.join(patterns.filter(~has_glob(text)).withColumns({"_open": F.lit(False), name: text}), [*on, name])
+    free = F.size(literal_pieces(text)) == 0
+    bare = names.join(globbed.filter(free), on)
+    wanted = globbed.filter(~free).select(*on, pattern).distinct()
+    wanted = wanted.select(*on, pattern, F.explode(pattern_grams(text)).alias("_gram"))
+    # Only what some pattern asks for is posted.
+    lengths = wanted.agg(F.collect_set(F.length("_gram")).alias("n")).scalar()
+    per_length = F.array(
+        *[F.when(F.array_contains(lengths, n), grams(marked(F.col(name)), F.lit(n))).otherwise(no_grams()) for n in GRAM_LENGTHS]
+    )
+    posted = names.select("*", F.explode(F.flatten(per_length)).alias("_gram")).join(
+        wanted.select(*on, "_gram").distinct(), [*on, "_gram"], "left_semi"
+    )
+    counts = posted.groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # A gram that no name has rules its pattern out: it counts 0 and is the rarest.
+    rarest = wanted.join(counts, [*on, "_gram"], "left").groupBy(*on, pattern).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r")
+    )
+    looked_up = globbed.join(rarest.select(*on, pattern, F.col("_r.gram").alias("_gram")), [*on, pattern])
+    indexed = posted.join(looked_up, [*on, "_gram"]).drop("_gram")
+    return exact.unionByName(bare).unionByName(indexed)
+
+
 def glob_join(names: DataFrame, patterns: DataFrame, name: str, pattern: str, on: list[str]) -> DataFrame:
     """Pairs of a name and a pattern that matches it, within equal `on` columns.
 
-    Exact entries meet the whole name. A pattern can only match names that begin with its
-    literal part, so it meets the names that have this part, whole, among their prefixes. Each
-    pair meets at most once, and the expression test runs on those pairs alone. It is an
-    ordinary equality join, so neither side has to fit anywhere.
+    The expression test runs on the candidates of the index alone.
     """
-    key = lambda globbed, text: F.struct(F.lit(globbed).alias("globbed"), text.alias("text"))
-    keys = F.array_append(F.transform(name_prefixes(F.col(name)), lambda p: key(True, p)), key(False, F.col(name)))
-    keyed_names = names.withColumn("_key", F.explode(keys))
-    keyed_patterns = patterns.withColumns(
-        {
-            "_key": F.when(has_glob(F.col(pattern)), key(True, literal_prefix(F.col(pattern)))).otherwise(
-                key(False, F.col(pattern))
-            ),
-            "_regex": glob_to_regex(F.col(pattern)),
-        }
-    )
-    pairs = keyed_names.join(keyed_patterns, [*on, "_key"])
-    matching = ~F.col("_key.globbed") | F.rlike(F.col(name), F.col("_regex"))
-    return pairs.filter(matching).drop("_key", "_regex")
+    pairs = glob_candidates(names, patterns, name, pattern, on)
+    matching = ~F.col("_open") | F.rlike(F.col(name), glob_to_regex(F.col(pattern)))
+    return pairs.filter(matching).drop("_open")
 
 
 def match_groups(resources: DataFrame, monitored: DataFrame, match_env: bool = False) -> DataFrame:

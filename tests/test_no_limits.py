@@ -3,9 +3,14 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from fleetgauge import constants as C
 from fleetgauge.operators.digest_runs import request_errors
-from fleetgauge.operators.matching import glob_join
+from fleetgauge.functions.globs import glob_to_regex, has_glob
+from fleetgauge.operators.matching import glob_candidates, glob_join
 from fleetgauge.plans.collect import _not_stored
 from fleetgauge.sources.settings import load_settings
 
@@ -41,7 +46,7 @@ def test_runs_without_an_id_are_known_once_stored(spark, monkeypatch):
     from fleetgauge.plans import collect as plan
 
     stored = spark.createDataFrame([(None, NOW, "e", "f")], f"{C.RUN_ID[C.LAMBDA_FUNCTIONS]} string, time timestamp, monitored_environment string, resource_name string")
-    monkeypatch.setattr(plan, "metrics", lambda *_: stored)
+    monkeypatch.setattr(plan, "stored_near", lambda *_: stored)
     fresh = spark.createDataFrame([(None, NOW, "e", "f"), (None, NOW, "e", "g")], "request_id string, started_on timestamp, monitored_environment string, function_name string")
     assert [r["function_name"] for r in _not_stored(spark, fresh, C.LAMBDA_FUNCTIONS, "").collect()] == ["g"]
 
@@ -55,3 +60,27 @@ def test_one_delivery_names_all_recipients(spark):
     matches = spark.createDataFrame([("t", "r", "g")], "resource_type string, resource_name string, group_name string")
     (row,) = delivery_options(matches, people, methods).collect()
     assert row["recipients"] == [f"p{i:03}" for i in range(500)]
+
+
+def test_patterns_without_a_beginning_meet_by_their_rarest_piece(spark):
+    """1,000 patterns, candidates within twice the matches."""
+    names = spark.createDataFrame([(f"team{i % 7}-load-{i}-env{i % 1000}",) for i in range(4000)], "name string")
+    patterns = spark.createDataFrame([(f"*-env{k}",) for k in range(990)] + [(f"?eam{k}-*-env{k}",) for k in range(5)] + [(f"*load-{k}0-*",) for k in range(5)], "pattern string")
+    pairs = glob_candidates(names, patterns, "name", "pattern", [])
+    matches = glob_join(names, patterns, "name", "pattern", []).count()
+    assert matches > 3900 and pairs.count() <= 2 * matches
+
+
+@settings(max_examples=4, deadline=None)
+@given(
+    st.sets(st.text("ab-[]\\x01\\x02é", max_size=9), min_size=1, max_size=12),
+    st.sets(st.text("ab-*?[!]\\x01é", min_size=1, max_size=9), min_size=1, max_size=12),
+)
+def test_gram_index_equals_testing_every_pair(spark, names, patterns):
+    got = glob_join(
+        spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"),
+        "name", "pattern", [],
+    )
+    every = spark.createDataFrame([(n, p) for n in names for p in patterns], "name string, pattern string")
+    want = every.filter(F.when(has_glob(F.col("pattern")), F.rlike("name", glob_to_regex(F.col("pattern")))).otherwise(F.col("name") == F.col("pattern")))
+    assert sorted(map(tuple, got.select("name", "pattern").collect())) == sorted(map(tuple, want.collect()))
