@@ -231,23 +231,28 @@ def catalog_counts(
     )
 
 
-def snapshot_catalogs(
-    databases: DataFrame, tables: DataFrame, partitions: DataFrame, indexes: DataFrame, at: Column
-) -> DataFrame:
-    """One snapshot fact per database, taken at the given time."""
-    counts = catalog_counts(databases, tables, partitions, indexes)
+def normalise_catalogs(counts: DataFrame) -> DataFrame:
+    """One snapshot fact per database from its counts (`catalog_counts`) and the time they were taken on."""
     return _fact(counts, C.GLUE_CATALOGS, {
         "resource_name": F.col("DatabaseName"),
-        "time": to_ms(at),
+        "time": to_ms(F.col("taken_on")),
         **{n: F.col(n) for n in ("catalog_id", "tables_count", "partitions_count", "indexes_count")},
     })
 
 
-# Extension point: a new resource type with runs registers its function here.
+def snapshot_catalogs(
+    databases: DataFrame, tables: DataFrame, partitions: DataFrame, indexes: DataFrame, at: Column
+) -> DataFrame:
+    """One snapshot fact per database, taken at the given time."""
+    return normalise_catalogs(catalog_counts(databases, tables, partitions, indexes).withColumn("taken_on", at))
+
+
+# Extension point: a new resource type registers its function here.
 NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     C.GLUE_JOBS: normalise_glue_jobs,
     C.GLUE_WORKFLOWS: normalise_glue_workflows,
     C.GLUE_CRAWLERS: normalise_glue_crawlers,
+    C.GLUE_CATALOGS: normalise_catalogs,
     C.GLUE_DATA_QUALITY: normalise_data_quality,
     C.LAMBDA_FUNCTIONS: normalise_lambda,
     C.STEP_FUNCTIONS: normalise_step_functions,

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from fleetgauge import constants as C
 from fleetgauge import schemas
 from fleetgauge.functions.timefn import in_utc, moment
+from fleetgauge.sources import commits, files
 
 #: Kinds of storage a metrics table can be kept in: file formats Spark reads and writes with pruning.
 STORAGE_KINDS = ("parquet", "orc")
@@ -56,41 +58,83 @@ def key_columns(resource_type: str) -> list[str]:
     return ["monitored_environment", "resource_name", C.RUN_ID[resource_type], "time"]
 
 
-def unseen(new: DataFrame, stored: DataFrame, resource_type: str) -> DataFrame:
-    """New records that are not stored yet, each once. Missing key parts compare equal."""
-    keys = key_columns(resource_type)
-    first = new.dropDuplicates(keys)
-    left, right = first.alias("n"), stored.select(*keys).alias("s")
-    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    return left.join(right, condition, "left_anti")
+def same_key(left: str, right: str, keys: list[str]) -> Column:
+    """Equal keys of two aliased tables; missing parts compare equal."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def write_metrics(
-    df: DataFrame, base: str, resource_type: str, dedupe: bool = True, storage: str = "parquet"
+def unseen(new: DataFrame, stored: DataFrame, resource_type: str) -> DataFrame:
+    """New records that are not stored yet, each once. Missing key parts compare equal.
+
+    Of the stored records only those whose run id is among the new ones take part: that filter
+    is a broadcast where the new records are few, else a join before which Spark tests a Bloom filter.
+    """
+    keys, run_id = key_columns(resource_type), [C.RUN_ID[resource_type]]
+    first = new.dropDuplicates(keys)
+    ids = new.select(*run_id).distinct()
+    near = stored.select(*keys).alias("s").join(ids.alias("i"), same_key("s", "i", run_id), "left_semi")
+    return first.alias("n").join(near.alias("s"), same_key("n", "s", keys), "left_anti")
+
+
+def stored_near(spark: SparkSession, base: str, resource_type: str, new: DataFrame, storage: str = "parquet") -> DataFrame | None:
+    """Stored records on the dates that the new ones (column `time`) touch; None if there are no new ones."""
+    micros = F.unix_micros("time")
+    span = new.agg(F.min(micros), F.max(micros)).first()
+    if span[0] is None:
+        return None
+    first, last = (EPOCH + timedelta(microseconds=m) for m in span)
+    return in_period(metrics(spark, base, resource_type, storage), first, last)
+
+
+def stored_last_times(spark: SparkSession, base: str, storage: str = "parquet") -> DataFrame:
+    """Last stored time of every resource: the marks of the newest pass, else from the tables once."""
+    known = commits.marks(spark, base)
+    if known is not None:
+        return known
+    slim = [
+        metrics(spark, base, kind, storage).select(F.lit(kind).alias("resource_type"), "resource_name", "time") for kind in C.RESOURCE_TYPES
+    ]
+    return reduce(DataFrame.unionByName, slim).groupBy("resource_type", "resource_name").agg(F.max("time").alias("last_update_time"))
+
+
+def stage_metrics(
+    df: DataFrame, step: commits.Pass, resource_type: str, dedupe: bool = True, storage: str = "parquet"
 ) -> None:
-    """Append records to the type's table, leaving out those already there.
+    """Write records aside that the pass will append to their table, leaving out those already there.
 
     Only the stored dates the new records touch are read back. The rebalance hint spreads a
     hot date over several files and packs small ones together, so neither a busy day nor
     many quiet ones makes one slow task.
     """
-    schema = schemas.metrics_schema(resource_type)
-    new = df.select(*schema.fieldNames())
+    path = step.stage(f"metrics-{resource_type}", table_path(step.base, resource_type))
+    new = df.select(*schemas.metrics_schema(resource_type).fieldNames())
     if dedupe:
-        spark = df.sparkSession
-        stored = metrics(spark, base, resource_type, storage)
-        micros = F.unix_micros("time")
-        span = new.agg(F.min(micros), F.max(micros)).first()
-        if span[0] is None:
+        stored = stored_near(df.sparkSession, step.base, resource_type, new, storage)
+        if stored is None:
             return
-        first, last = (EPOCH + timedelta(microseconds=m) for m in span)
-        new = unseen(new, in_period(stored, first, last), resource_type)
+        new = unseen(new, stored, resource_type)
     dated = new.withColumn("date", F.to_date("time"))
-    writer = dated.hint("rebalance", "date").write.mode("append").partitionBy("date")
-    writer.format(storage_format(storage)).save(table_path(base, resource_type))
+    dated.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").format(storage_format(storage)).save(path)
+
+
+def commit_metrics(step: commits.Pass, storage: str = "parquet") -> None:
+    """Make a pass visible; its high-water marks are the ones before, raised by what it adds."""
+    spark, raised = step.spark, stored_last_times(step.spark, step.base, storage)
+    for label in [x for x in step.targets if x.startswith("metrics-") and step.staged(x)]:
+        kind = label.removeprefix("metrics-")
+        added = spark.read.schema(schemas.metrics_schema(kind)).format(storage_format(storage)).load(f"{step.folder}/{label}")
+        new = added.groupBy("resource_name").agg(F.max("time").alias("last_update_time"))
+        raised = commits.merged(raised, new.withColumn("resource_type", F.lit(kind)))
+    step.commit(raised)
+
+
+def write_metrics(
+    df: DataFrame, base: str, resource_type: str, dedupe: bool = True, storage: str = "parquet"
+) -> None:
+    """Append records to the type's table in a pass of their own, leaving out those already there."""
+    step = commits.Pass(df.sparkSession, base)
+    stage_metrics(df, step, resource_type, dedupe, storage)
+    commit_metrics(step, storage)
 
 
 def prune(df: DataFrame, now: datetime, days: int = C.RETENTION_DAYS) -> DataFrame:
@@ -100,6 +144,28 @@ def prune(df: DataFrame, now: datetime, days: int = C.RETENTION_DAYS) -> DataFra
     return kept.filter(F.col("date") >= F.lit(in_utc(floor).date())) if "date" in df.columns else kept
 
 
+def drop_expired(
+    spark: SparkSession, base: str, now: datetime, days: int = C.RETENTION_DAYS, grace_days: int = 1
+) -> list[str]:
+    """Remove folders of dates that lie wholly behind the retention time; returns what went.
+
+    Readers that `prune` at `now` plan none of these folders, and `grace_days` more stay for
+    those that planned a while ago. An expired folder first leaves its table in one move, so that no
+    listing sees half of it, and its files go afterwards; what an earlier run left behind in
+    between goes as well. Repeating it does no harm.
+    """
+    floor = in_utc(now - timedelta(days=days + grace_days)).date()
+    bin_ = f"{base.rstrip('/')}/_expired"
+    gone = []
+    for kind in C.RESOURCE_TYPES:
+        for name, is_folder, _ in files.children(spark, table_path(base, kind)):
+            if is_folder and name.startswith("date=") and name[5:] < floor.isoformat():
+                files.move(spark, f"{table_path(base, kind)}/{name}", f"{bin_}/{kind}-{name}")
+                gone.append(f"{kind}/{name}")
+    files.remove(spark, bin_)
+    return gone
+
+
 def accept_writes(df: DataFrame, now: datetime, hours: int = C.WRITABLE_HOURS) -> DataFrame:
     """Rows recent enough to be written."""
     return df.filter(F.col("time") >= moment(now - timedelta(hours=hours)))
