@@ -39,6 +39,8 @@ LEAST_WORDS = 20
 #: Drawn documents in a hundred of those that may be drawn.
 PERCENT = 5
 SEED = 42
+#: Bytes of text that are held as runs at a time.
+HELD = 2 << 20
 
 
 def runs(texts: pa.Array, n_buckets: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -70,7 +72,7 @@ def bucket_counts(texts: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n_buckets, np.int64)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, HELD):
                 for _, place, buckets in runs(part.column(0), n_buckets)[1]:
                     by_place = np.bincount(place, minlength=len(buckets))
                     np.add.at(counts, buckets, by_place)
@@ -99,7 +101,7 @@ def weights(docs: DataFrame, gains: np.ndarray, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, HELD):
                 rows, found = runs(part.column(1), len(gains))
                 n_words = np.bincount(rows, minlength=part.num_rows)
                 n_features = np.zeros(part.num_rows, np.int64)
@@ -151,9 +153,9 @@ def resample(
     n_buckets: int = BUCKETS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) of every document; rank is null where it is not drawn."""
-    gains = bucket_gains(
-        bucket_counts(docs.select(text_col), n_buckets), bucket_counts(target.select(target_text_col), n_buckets), n_buckets
-    )
+    # Settled, since the sums over all buckets would read the texts once more.
+    counts = [settle(bucket_counts(t, n_buckets), "counts") for t in (docs.select(text_col), target.select(target_text_col))]
+    gains = bucket_gains(*counts, n_buckets)
     by_bucket = np.zeros(n_buckets, np.int64)
     for bucket, gain in gains.collect():  # as many rows as there are buckets
         by_bucket[bucket] = gain
