@@ -55,26 +55,45 @@ def order_log(log: DataFrame) -> DataFrame:
     return log.orderBy(*OWNER, "ts", line_kind(F.col("message")), "message")
 
 
+# Kind of a START that is open but no longer its stream's active one (see `still_open`).
+DORMANT = 0
+
+
 def _lines(log: DataFrame, slice_minutes: int) -> DataFrame:
-    revives = F.col("revives") if "revives" in log.columns else F.lit(True)
+    """Marking lines, all lines of a slice of a stream in one task.
+
+    Every window and sum over a slice works on this one layout.
+    """
+    kind = line_kind(F.col("message"))
+    if "revives" in log.columns:
+        kind = F.when((kind == START) & ~F.col("revives"), DORMANT).otherwise(kind)
     return relevant_lines(log).filter(F.length("log_stream") > 0).select(
         *OWNER,
         F.coalesce("request_id", F.lit("")).alias("rid"),
         to_ms(F.col("ts")).alias("ts"),
-        line_kind(F.col("message")).alias("kind"),
+        kind.alias("kind"),
         "message",
-        revives.alias("revives"),
         F.floor(F.unix_seconds("ts") / (60 * slice_minutes)).alias("slice"),
-    )
+    ).repartition(*OWNER, "slice")
 
 
 _ORDER = ["ts", "kind", "message"]
+SLICE = [*OWNER, "slice"]
 
 
 def _position() -> Column:
     return F.struct(*_ORDER)
 
 
+def _starts() -> Column:
+    return F.col("kind").isin(START, DORMANT)
+
+
+def _orphan() -> Column:
+    """Error lines that name no request."""
+    return (F.col("kind") == ERROR) & (F.col("rid") == "")
+
+
 def _upto(keys: list[str], last: int):
     return Window.partitionBy(*keys).orderBy(*_ORDER).rowsBetween(
         Window.unboundedPreceding, last
@@ -89,101 +108,78 @@ def _with_attempt(lines: DataFrame) -> DataFrame:
     """Attempt number of every line that names its request, dropping lines with no open one.
 
     A line other than START counts only while the id's latest START or REPORT is a START.
+    A slice's summary of an id is how many attempts it starts and its last START or REPORT; what
+    the summaries of earlier slices add up to comes with the slice, as a map by id.
     """
-    key = [*OWNER, "rid"]
-    within = [*key, "slice"]
-    mark = F.when(F.col("kind").isin(START, REPORT), F.col("kind"))
-
-    # What later slices of the same id need to know; ids living in one slice drop out.
+    key, within = [*OWNER, "rid"], [*SLICE, "rid"]
+    mark = F.when(_starts(), START).when(F.col("kind") == REPORT, REPORT)
+    summary = lines.groupBy(*within).agg(
+        F.count_if(_starts()).alias("starts"), F.max_by(mark, F.when(mark.isNotNull(), _position())).alias("mark")
+    )
+    # Ids that live in one slice drop out.
     carried = (
-        lines.groupBy(*within)
-        .agg(
-            F.count_if(F.col("kind") == START).alias("starts"),
-            F.max_by(mark, F.when(mark.isNotNull(), _position())).alias("mark"),
-        )
-        .select(
+        summary.select(
             *within,
             F.sum("starts").over(_earlier_slices(key)).alias("starts_before"),
             F.last("mark", ignorenulls=True).over(_earlier_slices(key)).alias("mark_before"),
         )
         .filter(F.col("mark_before").isNotNull())
+        .groupBy(*SLICE)
+        .agg(F.map_from_entries(F.collect_list(F.struct("rid", F.struct("starts_before", "mark_before")))).alias("ids"))
     )
     upto = _upto(within, Window.currentRow)
     seen = lines.withColumns(
         {
-            "starts_here": F.count_if(F.col("kind") == START).over(upto),
+            "starts_here": F.count_if(_starts()).over(upto),
             "mark_here": F.last(mark, ignorenulls=True).over(_upto(within, -1)),
-            "errors_so_far": F.count_if(F.col("kind") == ERROR).over(upto),
+            "_errors": F.count_if(F.col("kind") == ERROR).over(upto),
         }
-    ).withColumn(
-        "errors_at_start", F.max(F.when(F.col("kind") == START, F.col("errors_so_far"))).over(upto)
-    )
-    placed = seen.join(carried, within, "left")
-    latest = F.coalesce("mark_here", "mark_before")
-    return placed.filter((F.col("kind") == START) | (latest == START)).select(
-        *OWNER, "rid",
-        (F.coalesce("starts_before", F.lit(0)) + F.col("starts_here")).alias("attempt"),
-        "ts", "kind", "message", "revives", "slice",
-        (F.col("errors_so_far") - F.coalesce("errors_at_start", F.lit(0))).alias("nth_error"),
+    ).withColumn("_errors_at_start", F.max(F.when(_starts(), F.col("_errors"))).over(upto))
+    placed = seen.join(carried, SLICE, "left").withColumn("before", F.try_element_at("ids", F.col("rid")))
+    latest = F.coalesce("mark_here", "before.mark_before")
+    return placed.filter(_orphan() | _starts() | (latest == START)).select(
+        *SLICE, "rid",
+        (F.coalesce("before.starts_before", F.lit(0)) + F.col("starts_here")).alias("attempt"),
+        "ts", "kind", "message",
+        (F.col("_errors") - F.coalesce("_errors_at_start", F.lit(0))).alias("nth_error"),
     )
 
 
-def _adopt_orphans(orphans: DataFrame, placed: DataFrame) -> DataFrame:
-    """Give error lines without an id to the invocation their stream has open."""
-    none = F.lit(None)
-    opened = F.struct(F.col("rid"), F.col("attempt"), F.lit(True).alias("open"))
-    closed = F.struct(
-        none.cast("string").alias("rid"), none.cast("bigint").alias("attempt"),
-        F.lit(False).alias("open"),
-    )
-    marks = placed.filter(
-        (F.col("kind") == REPORT) | ((F.col("kind") == START) & F.col("revives"))
-    ).select(
-        *OWNER, "ts", "kind", "message", "slice",
-        F.when(F.col("kind") == START, opened).otherwise(closed).alias("state"),
-    )
-    waiting = orphans.select(
-        *OWNER, "ts", "kind", "message", "slice", none.cast(marks.schema["state"].dataType).alias("state")
-    )
-    within = [*OWNER, "slice"]
-    carried = (
-        marks.groupBy(*within)
-        .agg(F.max_by("state", _position()).alias("state"))
-        .unionByName(waiting.select(*within, "state").distinct())
-        .groupBy(*within)
-        .agg(F.max_by("state", F.when(F.col("state").isNotNull(), 1)).alias("state"))
-        .select(*within, F.last("state", ignorenulls=True).over(_earlier_slices(OWNER)).alias("before"))
-        .filter(F.col("before").isNotNull())
-    )
-    upto = _upto(within, Window.currentRow)
-    seen = (
-        marks.unionByName(waiting)
-        .withColumns(
-            {
-                "here": F.last("state", ignorenulls=True).over(upto),
-                "errors_so_far": F.count_if(F.col("kind") == ERROR).over(upto),
-            }
-        )
-        .withColumn(
-            "errors_at_start",
-            F.max(F.when(F.col("kind") == START, F.col("errors_so_far"))).over(upto),
-        )
-        .filter(F.col("kind") == ERROR)
-    )
-    adopted = seen.join(carried, within, "left").withColumn("owner", F.coalesce("here", "before"))
-    return adopted.filter("owner.open").select(
-        *OWNER, F.col("owner.rid").alias("rid"), F.col("owner.attempt").alias("attempt"),
-        "ts", "kind", "message", F.lit(True).alias("revives"), "slice",
-        (F.col("errors_so_far") - F.coalesce("errors_at_start", F.lit(0))).alias("nth_error"),
+def _adopt_orphans(placed: DataFrame) -> DataFrame:
+    """Give error lines without an id to the invocation their stream has open.
+
+    A slice's summary is the state its last START or REPORT leaves the stream in.
+    """
+    opened = F.struct("rid", "attempt", F.lit(True).alias("open"))
+    closed = F.struct(F.lit("").alias("rid"), F.lit(0).cast("bigint").alias("attempt"), F.lit(False).alias("open"))
+    marked = placed.withColumn("state", F.when(F.col("kind") == START, opened).when(F.col("kind") == REPORT, closed))
+    summary = marked.groupBy(*SLICE).agg(F.max_by("state", F.when(F.col("state").isNotNull(), _position())).alias("state"))
+    carried = summary.select(*SLICE, F.last("state", ignorenulls=True).over(_earlier_slices(OWNER)).alias("before")).filter(
+        F.col("before").isNotNull()
+    )
+    upto = _upto(SLICE, Window.currentRow)
+    orphans = F.count_if(_orphan()).over(upto)
+    seen = marked.withColumns({"here": F.last("state", ignorenulls=True).over(upto), "_orphans": orphans}).withColumn(
+        "_orphans_at_start", F.max(F.when(F.col("kind") == START, F.col("_orphans"))).over(upto)
+    )
+    owned = seen.join(carried, SLICE, "left").withColumn("owner", F.coalesce("here", "before"))
+    adopted = lambda mine, theirs: F.when(_orphan(), theirs).otherwise(mine)
+    return owned.filter(~_orphan() | F.col("owner.open")).select(
+        *OWNER,
+        adopted(F.col("rid"), F.col("owner.rid")).alias("rid"),
+        adopted(F.col("attempt"), F.col("owner.attempt")).alias("attempt"),
+        "ts", F.greatest("kind", F.lit(START)).alias("kind"), "message", (F.col("kind") != DORMANT).alias("revives"), "slice",
+        adopted(F.col("nth_error"), F.col("_orphans") - F.coalesce("_orphans_at_start", F.lit(0))).alias("nth_error"),
     )
 
 
 def with_active_request(log: DataFrame, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
-    """Every counting line with the request id and attempt it belongs to."""
-    lines = _lines(log, slice_minutes)
-    orphan = (F.col("kind") == ERROR) & (F.col("rid") == "")
-    placed = _with_attempt(lines.filter(~orphan))
-    return placed.unionByName(_adopt_orphans(lines.filter(orphan), placed))
+    """Every counting line with the request id and attempt it belongs to.
+
+    The log is read and dealt out once, by slices of streams; every step after that stays in
+    this layout, and only summaries, one row per slice and id or per slice, move.
+    """
+    return _adopt_orphans(_with_attempt(_lines(log, slice_minutes)))
 
 
 def _attempts(lines: DataFrame) -> DataFrame:

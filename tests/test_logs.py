@@ -1,7 +1,7 @@
 """Log sessionising: known cases, a plain state machine, slices and streams."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -140,20 +140,53 @@ def test_text_of_very_many_errors_is_exact(spark):
     assert got["error_count"] == 300 and got["error_message"] == want[:100] + "..."
 
 
-def test_open_lines_expire_and_old_versions_go(spark, tmp_path):
+def pieces_of(spark, state, pieces, hours=None):
+    """Request ids closed by each piece; `hours` tells when the pieces come in."""
+    got = []
+    for n, piece in enumerate(pieces):
+        now = T0 + timedelta(hours=hours[n] if hours else 0)
+        out = sessionise_step(spark.createDataFrame(piece, schemas.LOG_DDL), str(state), n, now=now.replace(tzinfo=timezone.utc))
+        got.append(sorted(r["request_id"] for r in out.collect()))
+    return got
+
+
+def test_open_lines_expire_behind_their_own_stream(spark, tmp_path):
     hour = 3_600_000
     pieces = [
-        [line(0, "START RequestId: lost", "lost"), line(23 * hour, "START RequestId: late", "late", "s2")],
-        [line(25 * hour, "START RequestId: c", "c", "s3")],  # `lost` is 25 hours behind, `late` two
-        [line(26 * hour, report("late"), "late", "s2"), line(26 * hour, report("lost"), "lost")],
-        [line(27 * hour, report("c"), "c", "s3")],
+        [line(0, "START RequestId: lost", "lost"), line(0, "START RequestId: late", "late", "s2")],
+        [line(25 * hour, "START RequestId: c", "c")],  # `lost` is 25 hours behind in its stream
+        [line(26 * hour, report("late"), "late", "s2"), line(26 * hour, report("lost"), "lost"), line(26 * hour, report("c"), "c")],
     ]
-    state, got = tmp_path / "state", []
-    for n, piece in enumerate(pieces):
-        out = sessionise_step(spark.createDataFrame(piece, schemas.LOG_DDL), str(state), n)
-        got += [r["request_id"] for r in out.collect()]
-        if n == 1:
-            kept = spark.read.parquet(f"{state}/version=1").collect()
-            assert sorted(r["request_id"] for r in kept) == ["c", "late"]
-    assert got == ["late", "c"]
-    assert sorted(p.name for p in state.iterdir()) == ["version=0", "version=1"]
+    assert pieces_of(spark, tmp_path / "state", pieces) == [[], [], ["c", "late"]]
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["version=0", "version=1"]
+
+
+def test_a_wrong_clock_in_one_stream_changes_nothing_in_others(spark, tmp_path):
+    month = 30 * 24 * 3_600_000
+    pieces = [
+        [line(0, "START RequestId: a", "a"), line(month, "START RequestId: x", "x", "s2")],
+        [line(2 * month, "[ERROR] far", "y", "s3")],
+        [line(5, report("a"), "a")],
+    ]
+    assert pieces_of(spark, tmp_path / "state", pieces) == [[], [], ["a"]]
+
+
+def test_silent_streams_are_given_up(spark, tmp_path):
+    pieces = [[line(0, "START RequestId: a", "a")], [line(1, "[ERROR] x", "b", "s2")], [line(2, "[ERROR] x", "b", "s2")], [line(5, report("a"), "a")]]
+    assert pieces_of(spark, tmp_path / "one", pieces, hours=[0, 20, 23, 23]) == [[], [], [], ["a"]]
+    assert pieces_of(spark, tmp_path / "two", pieces, hours=[0, 20, 25, 26]) == [[], [], [], []]
+
+
+def test_few_shuffles_and_one_scan(spark, tmp_path):
+    """Own shuffles of the sessioniser, the last one by invocation included."""
+    spark.createDataFrame(random_log(1), schemas.LOG_DDL).write.parquet(str(tmp_path / "log"))
+    out = L.sessionise(spark.read.parquet(str(tmp_path / "log")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [x for x in plan.splitlines() if "- Exchange hashpartitioning" in x]
+    assert len(shuffles) <= 8 and plan.count("FileScan") == 1, plan
