@@ -60,6 +60,11 @@ def metrics_schema(resource_type: str) -> T.StructType:
     return T.StructType.fromJson(json.loads(_metrics_json(resource_type)))
 
 
+def metrics_columns(resource_type: str) -> dict[str, str]:
+    """Column names of a metrics table with their type names; needs no session."""
+    return {name: kind.lower() for name, kind in (field.split() for field in METRICS_DDL[resource_type].split(","))}
+
+
 _ENV = "monitored_environment STRING"
 
 # Landed run records, one file format per resource type. Each record names the

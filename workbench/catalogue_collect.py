@@ -18,7 +18,9 @@ from fleetgauge.session import scratch_path
 from fleetgauge.sources import events as EV
 from fleetgauge.sources import runs as R
 from fleetgauge.sources import tables as TB
+from fleetgauge.sources.commits import Pass
 from workbench.registry import add, in_emitted_order, joined, ms
+from workbench.sql_views import pick
 from workbench.views import END, NOW, START, Views
 
 FACT = "SELECT * EXCLUDE (event_id) REPLACE (epoch_ms(time) AS time) FROM m_{}"
@@ -198,15 +200,29 @@ add(
 
 # --- PRJ9-24: columns ---------------------------------------------------------------------
 
+# Types whose outcome follows from a state column: it, its failure states, the open and the good one.
+_STATES = {
+    C.GLUE_JOBS: ("JobRunState", ["FAILED", "ERROR", "TIMEOUT", "STOPPED"], "RUNNING", "SUCCEEDED"),
+    C.GLUE_CRAWLERS: ("State", ["FAILED", "STOPPED"], "RUNNING", "COMPLETED"),
+    C.STEP_FUNCTIONS: ("status", ["FAILED", "ABORTED", "TIMED_OUT"], "RUNNING", "SUCCEEDED"),
+    C.EMR_SERVERLESS: ("state", ["FAILED", "CANCELLED"], "RUNNING", "SUCCESS"),
+}
+
+
+def _outcomes(v: Views) -> DataFrame:
+    """Flags of all runs of the types with a state column."""
+    raw = {C.GLUE_JOBS: v.raw_jobs, C.GLUE_CRAWLERS: v.raw_crawlers, C.STEP_FUNCTIONS: v.raw_sfn, C.EMR_SERVERLESS: v.raw_emr}
+    return P.union_types([
+        O.with_outcome(raw[k], k, state).groupBy(F.lit(k).alias("resource_type"), F.col(state).alias("state"), "succeeded", "failed").agg(
+            F.count(F.lit(1)).alias("n")) for k, (state, *_) in _STATES.items()])
+
+
 add(
-    "prj9_outcome_flags",
-    lambda v: O.with_outcome(v.raw_jobs, C.GLUE_JOBS, "JobRunState").groupBy("JobRunState", "succeeded", "failed").agg(
-        F.count(F.lit(1)).alias("n")
-    ).withColumnRenamed("JobRunState", "state"),
-    """SELECT CASE WHEN event_type = 'error' THEN ['FAILED', 'ERROR', 'TIMEOUT', 'STOPPED'][k % 4 + 1]
-          WHEN event_type = 'view' THEN 'RUNNING' ELSE 'SUCCEEDED' END AS state,
+    "prj9_outcome_flags", _outcomes,
+    " UNION ALL ".join(
+        f"""SELECT '{k}' AS resource_type, {pick(bad, open_, good)} AS state,
         (event_type NOT IN ('error', 'view'))::INT::BIGINT AS succeeded, (event_type = 'error')::INT::BIGINT AS failed,
-        count(*)::BIGINT AS n FROM ev GROUP BY ALL""",
+        count(*)::BIGINT AS n FROM ev GROUP BY ALL""" for k, (_, bad, open_, good) in _STATES.items()),
 )
 add(
     "prj10_workflow_outcome",
@@ -294,11 +310,29 @@ add(
 
 # --- FLT, JN, AGG, SNK of collection -------------------------------------------------------
 
+def _final(v: Views) -> DataFrame:
+    """Runs that are kept, of every type, by state."""
+    raw = {
+        C.GLUE_JOBS: (v.raw_jobs, "JobRunState"), C.GLUE_WORKFLOWS: (v.raw_workflows, "Status"), C.GLUE_CRAWLERS: (v.raw_crawlers, "State"),
+        C.GLUE_DATA_QUALITY: (v.raw_dq.withColumn("state", F.lit("any")), "state"), C.GLUE_CATALOGS: (v.m_catalogs.withColumn("state", F.lit("any")), "state"),
+        C.LAMBDA_FUNCTIONS: (L.sessionise(v.function_log), "status"), C.STEP_FUNCTIONS: (v.raw_sfn, "status"), C.EMR_SERVERLESS: (v.raw_emr, "state"),
+    }
+    return P.union_types([
+        N.only_final(df, k).groupBy(F.lit(k).alias("resource_type"), F.col(state).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+        for k, (df, state) in raw.items()])
+
+
+_FINAL = {
+    **{k: (pick(bad, open_, good), "event_type <> 'view'") for k, (_, bad, open_, good) in _STATES.items()},
+    C.GLUE_WORKFLOWS: (pick(["STOPPED", "ERROR", "FAILURE"], "RUNNING", "COMPLETED"), "event_type <> 'view'"),
+    C.GLUE_DATA_QUALITY: ("'any'", "true"), C.GLUE_CATALOGS: ("'any'", "true"),
+    C.LAMBDA_FUNCTIONS: ("CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END", "event_type <> 'view'"),
+}
+_FINAL[C.EMR_SERVERLESS] = (_FINAL[C.EMR_SERVERLESS][0], "event_type <> 'view' AND k % 10 <> 0")
 add(
-    "flt3_flt4_final_runs",
-    lambda v: N.only_final(v.raw_emr, C.EMR_SERVERLESS).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
-    """SELECT CASE WHEN event_type = 'error' THEN ['FAILED', 'CANCELLED'][k % 2 + 1] ELSE 'SUCCESS' END AS state,
-        count(*)::BIGINT AS n FROM ev WHERE event_type <> 'view' AND k % 10 <> 0 GROUP BY 1""",
+    "flt3_flt4_final_runs", _final,
+    " UNION ALL ".join(f"SELECT '{k}' AS resource_type, {state} AS state, count(*)::BIGINT AS n FROM ev WHERE {kept} GROUP BY ALL"
+                       for k, (state, kept) in _FINAL.items()),
 )
 
 
@@ -407,16 +441,51 @@ add(
 )
 
 
-def _stored_twice(v: Views) -> DataFrame:
-    """Write overlapping batches, then read the table back."""
+def _stored_twice(v: Views, kinds: list[str]) -> str:
+    """Write overlapping batches of some tables, one pass for each batch; where they are."""
     base = scratch_path(v.spark, "metrics")
-    facts = v.metrics(C.GLUE_JOBS)
-    TB.write_metrics(facts.filter(F.col("time") < F.lit(END)), base, C.GLUE_JOBS)
-    TB.write_metrics(facts.filter(F.col("time") > F.lit(START)), base, C.GLUE_JOBS)
-    return ms(TB.metrics(v.spark, base, C.GLUE_JOBS).drop("date"))
+    for kept in (F.col("time") < F.lit(END), F.col("time") > F.lit(START)):
+        step = Pass(v.spark, base)
+        for kind in kinds:
+            TB.stage_metrics(v.metrics(kind).filter(kept), step, kind)
+        TB.commit_metrics(step)
+    return base
+
+
+def _stored_jobs(v: Views) -> DataFrame:
+    return ms(TB.metrics(v.spark, _stored_twice(v, [C.GLUE_JOBS]), C.GLUE_JOBS).drop("date"))
+
+
+add("snk1_src14_metrics_table", _stored_jobs, FACT.format("glue_jobs"))
+
+
+def _column_sums(v: Views) -> DataFrame:
+    """Every column of every stored table added up by resource: texts by length, numbers in thousandths."""
+    def sums(kind: str, df: DataFrame) -> DataFrame:
+        of = {"string": F.length, "timestamp": F.unix_millis}
+        named = [f for f in df.schema if f.name != "resource_name"]
+        total = lambda f: F.sum(of.get(f.dataType.simpleString(), lambda x: F.floor(F.col(x) * 1000 + 0.3))(f.name)).cast("bigint")
+        pairs = F.array(*[F.struct(F.lit(f.name).alias("column_name"), total(f).alias("total")) for f in named])
+        return df.groupBy("resource_name").agg(F.count(F.lit(1)).alias("n"), pairs.alias("p")).select(
+            F.lit(kind).alias("resource_type"), "resource_name", "n", F.inline("p"))
+
+    base = _stored_twice(v, C.RESOURCE_TYPES)
+    return P.union_types([sums(k, TB.metrics(v.spark, base, k).drop("date")) for k in C.RESOURCE_TYPES])
+
+
+FLOORED = 'floor("{0}" * 1000 + 0.3::DOUBLE)'
+
+
+def _column_sums_sql(kind: str) -> str:
+    of = {"string": 'length("{0}")', "timestamp": 'epoch_ms("{0}")'}
+    named = {n: t for n, t in schemas.metrics_columns(kind).items() if n != "resource_name"}
+    one = lambda n: f"sum({of.get(named[n], FLOORED).format(n)})::BIGINT"
+    return f"""SELECT '{kind}' AS resource_type, resource_name, count(*)::BIGINT AS n,
+        unnest([{', '.join(f"'{n}'" for n in named)}]) AS column_name, unnest([{', '.join(map(one, named))}]) AS total
+        FROM m_{kind} GROUP BY resource_name"""
 
 
-add("snk1_src14_metrics_table", _stored_twice, FACT.format("glue_jobs"))
+add("snk1_all_metrics_tables", _column_sums, " UNION ALL ".join(map(_column_sums_sql, C.RESOURCE_TYPES)))
 add("snk5_prune", lambda v: TB.prune(v.metrics(C.GLUE_JOBS), NOW, days=7).agg(F.count(F.lit(1)).alias("n")),
     "SELECT count(*)::BIGINT AS n FROM m_glue_jobs WHERE time >= TIMESTAMP '2024-01-15 12:00:00'")
 add("snk5_stf4_accept_writes", lambda v: TB.accept_writes(v.metrics(C.GLUE_JOBS), NOW).agg(F.count(F.lit(1)).alias("n")),

@@ -74,7 +74,7 @@ add(
         AS error_message FROM m_lambda_functions WHERE {RANGE} GROUP BY 1""",
 )
 add(
-    "agg14_request_errors_in_parts",  # very many texts of one request: none is lost, in time order
+    "agg14_very_many_request_errors",  # very many texts of one request: none is lost, in time order
     lambda v: D.request_errors(v.m_lambda.withColumn("lambda_function_request_id", F.col("resource_name")), START, END),
     f"""SELECT resource_name AS lambda_function_request_id, coalesce(string_agg(error_message, ', ' ORDER BY time, error_message), '')
         AS error_message FROM m_lambda_functions WHERE {RANGE} GROUP BY 1""",
@@ -140,19 +140,15 @@ add(
     lambda v: H.aggregate_health(C.GLUE_JOBS, _runs(v, C.GLUE_JOBS), v.config()),
     f"SELECT * FROM ({_health_sql()}) WHERE resource_type = 'glue_jobs'",
 )
-add(
-    "set5_all_health",
-    lambda v: union_types([H.aggregate_health(k, _runs(v, k), v.config()) for k in (C.GLUE_JOBS, C.STEP_FUNCTIONS)]),
-    f"SELECT * FROM ({_health_sql()}) WHERE resource_type IN ('glue_jobs', 'step_functions')",
-)
 add(
     "jn8_attach_runs",
-    lambda v: H.resource_health(_runs(v, C.GLUE_JOBS), v.config(resolved=False).filter(
-        F.col("resource_type") == C.GLUE_JOBS)).select("group_name", "resource_name", "monitored_environment", "executions"),
-    f"""SELECT group_name, name AS resource_name, c.monitored_environment, coalesce(sum(execution), 0)::BIGINT AS executions
-        FROM (SELECT DISTINCT group_name, name, monitored_environment FROM monitored WHERE resource_type = 'glue_jobs') c
-        LEFT JOIN ({_DIG[C.GLUE_JOBS]}) r ON c.name = r.resource_name AND c.monitored_environment = r.monitored_environment
-        GROUP BY 1, 2, 3""",
+    lambda v: H.resource_health(_all_runs(v), v.config(resolved=False).filter(F.col("resource_type") != C.GLUE_CATALOGS)).select(
+        "group_name", "resource_type", "resource_name", "monitored_environment", "executions"),
+    f"""SELECT group_name, c.resource_type, name AS resource_name, c.monitored_environment, coalesce(sum(execution), 0)::BIGINT AS executions
+        FROM (SELECT DISTINCT group_name, resource_type, m.name, monitored_environment FROM monitored m
+          JOIN environments v ON m.monitored_environment = v.name WHERE resource_type <> 'glue_catalogs') c
+        LEFT JOIN ({_ALL}) r ON c.resource_type = r.resource_type AND c.name = r.resource_name
+          AND c.monitored_environment = r.monitored_environment GROUP BY 1, 2, 3, 4""",
 )
 add(
     "agg6_str9_group_summary", lambda v: H.group_summary(H.resource_health(_all_runs(v), _config(v))),
@@ -184,6 +180,19 @@ def _catalog_health(v: Views) -> DataFrame:
 add("agg7_str10_catalog_health", _catalog_health, _CAT_HEALTH)
 add("agg8_catalog_summary", lambda v: H.catalog_summary(_catalog_health(v)), _CAT_SUMMARY)
 
+
+def _all_health(v: Views) -> DataFrame:
+    """Health of all types, each by its own aggregator, in the columns they share."""
+    parts = [H.aggregate_health(k, _runs(v, k), v.config()) for k in C.RESOURCE_TYPES]
+    return union_types([p.select("group_name", "resource_type", "monitored_environment", "resource_name", "status") for p in parts])
+
+
+add(
+    "set5_all_health", _all_health,
+    f"""SELECT group_name, resource_type, monitored_environment, resource_name, status FROM ({_health_sql()})
+        UNION ALL SELECT group_name, resource_type, monitored_environment, resource_name, status FROM ({_CAT_HEALTH})""",
+)
+
 # --- comments -----------------------------------------------------------------------------
 
 _P = "'https://' || region_name || '.console.aws.amazon.com"
@@ -236,7 +245,7 @@ def _texts(v: Views) -> DataFrame:
 add("agg5_str5_run_comments", _noted, _NOTED)
 add("str11_comments", _texts, _COMMENTS)
 add(  # resources with very many lines: none is lost
-    "str11_comments_in_parts", lambda v: _texts(v).withColumn("lines", F.size(F.split("comments", "<br/>"))),
+    "str11_very_many_comments", lambda v: _texts(v).withColumn("lines", F.size(F.split("comments", "<br/>"))),
     f"SELECT *, len(string_split(comments, '<br/>')) AS lines FROM ({_COMMENTS})",
 )
 add(

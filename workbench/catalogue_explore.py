@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as C
+from fleetgauge import schemas
 from fleetgauge.functions import text as X
 from fleetgauge.operators import explore as E
 from fleetgauge.operators.digest_runs import first_last, latest
+from fleetgauge.operators.progress import union_types
 from workbench.registry import add, in_emitted_order, ms
-from workbench.views import END, START
+from workbench.views import END, START, Views
 
 RANGE = "time BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-22'"
 PERIOD = {"start": START, "end": END}
@@ -132,11 +135,25 @@ for _kind in C.RESOURCE_TYPES:
         f"""SELECT epoch_ms(time) AS time, {', '.join(f'"{m}"' for m in _measures)} FROM m_{_kind}
             WHERE {RANGE} AND monitored_environment IN ('env-0', 'env-2')""",
     )
+def _counted(kind: str) -> list[str]:
+    """Measures of a type that are whole numbers."""
+    return [n for n, t in schemas.metrics_columns(kind).items() if t == "bigint"]
+
+
+def _totals(v: Views) -> DataFrame:
+    """Every whole-numbered measure of every type, `invocation` of functions included."""
+    return union_types([
+        E.totals_since(v.metrics(k), START, _counted(k)).select(
+            F.lit(k).alias("resource_type"), F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("total")) for m in _counted(k)])))
+        for k in C.RESOURCE_TYPES])
+
+
 add(
-    "agg28_totals_since", lambda v: E.totals_since(
-        v.metrics(C.GLUE_WORKFLOWS), START, ["execution", "succeeded", "failed", "actions_failed"]),
-    """SELECT sum(execution)::BIGINT AS execution, sum(succeeded)::BIGINT AS succeeded, sum(failed)::BIGINT AS failed,
-        sum(actions_failed)::BIGINT AS actions_failed FROM m_glue_workflows WHERE time > TIMESTAMP '2024-01-08'""",
+    "agg28_totals_since", _totals,
+    " UNION ALL ".join(
+        f"""SELECT '{k}' AS resource_type, unnest([{', '.join(f"'{m}'" for m in _counted(k))}]) AS measure,
+        unnest([{', '.join(f'sum("{m}")::BIGINT' for m in _counted(k))}]) AS total FROM m_{k} WHERE time > TIMESTAMP '2024-01-08'"""
+        for k in C.RESOURCE_TYPES),
 )
 
 # --- alert log ----------------------------------------------------------------------------
