@@ -47,43 +47,67 @@ UNIT = 1_000_000_000
 TOP = 200
 #: Counts in a block of the pair sums.
 BLOCK = 200_000
+#: Rows that a task adds up before it hands them on, and bytes of text it counts at a time.
+HELD_ROWS, HELD_TEXT = 1_000_000, 4 << 20
 #: A term of a language: its digest, and its number among the terms of that digest.
 TERM = ["digest", "sub"]
 
 
-def observed(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of a term in a slice of a batch."""
+def _combined(parts: list[pa.Table]) -> pa.Table:
+    """Rows of the same term and group added up."""
+    table = pa.concat_tables(parts).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return table.rename_columns({"n_sum": "n", "docs_sum": "docs"}).select(["lang", "source", "term", "n", "docs"])
+
+
+def _handed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows, with a mark at the first one of each term."""
+    coded = table["term"].combine_chunks().dictionary_encode()
+    _, first = np.unique(coded.indices.to_numpy(), return_index=True)
+    mark = np.zeros(table.num_rows, bool)
+    mark[first] = True
+    yield from table.append_column("first", pa.array(mark)).to_batches(max_chunksize=20_000)
+
+
+def observed(docs: DataFrame, text_col: str, lang_col: str, source_col: str, held_rows: int = HELD_ROWS) -> DataFrame:
+    """(lang, source, term, n, docs, first): occurrences and documents of a term in a part of a task's texts.
+
+    A task adds up what it reads while few enough rows are held. `first` marks one row of each term of the part.
+    """
     whole = docs.select(
         F.col(text_col).cast("string").alias("text"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col))],
     )
 
+    def counted(part: pa.RecordBatch) -> pa.Table:
+        rows, codes, known = words(part.column(0), GAPS)
+        langs, sources = (part.column(i).dictionary_encode() for i in (1, 2))
+        n_known, n_sources = max(1, len(known)), max(1, len(sources.dictionary))
+        group = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_sources + sources.indices.to_numpy(zero_copy_only=False)
+        place, held = distinct(rows * n_known + codes)  # terms of a document
+        at, groups = distinct(group[held // n_known] * n_known + held % n_known)  # terms of a group
+        n = np.zeros(len(groups), np.int64)
+        np.add.at(n, at, np.bincount(place, minlength=len(held)))
+        of, code = groups // n_known, groups % n_known
+        return pa.table(
+            {
+                "lang": langs.dictionary.take(pa.array(of // n_sources)), "source": sources.dictionary.take(pa.array(of % n_sources)),
+                "term": known.take(pa.array(code)), "n": n, "docs": np.bincount(at, minlength=len(groups)).astype(np.int64),
+            }
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
         for batch in batches:
-            for part in slices(batch, 0):
-                rows, codes, known = words(part.column(0), GAPS)
-                langs, sources = (part.column(i).dictionary_encode() for i in (1, 2))
-                group = (
-                    langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(sources.dictionary)
-                    + sources.indices.to_numpy(zero_copy_only=False)
-                )
-                place, held = distinct(rows * max(1, len(known)) + codes)  # terms of a document
-                doc, code = held // max(1, len(known)), held % max(1, len(known))
-                at, groups = distinct(group[doc] * max(1, len(known)) + code)  # terms of a group
-                n = np.zeros(len(groups), np.int64)
-                np.add.at(n, at, np.bincount(place, minlength=len(held)))
-                of = groups // max(1, len(known))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pc.take(langs.dictionary, pa.array(of // max(1, len(sources.dictionary)))),
-                        pc.take(sources.dictionary, pa.array(of % max(1, len(sources.dictionary)))),
-                        pc.take(known, pa.array(groups % max(1, len(known)))),
-                        pa.array(n), pa.array(np.bincount(at, minlength=len(groups)).astype(np.int64)),
-                    ],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
-
-    return whole.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+            for part in slices(batch, 0, HELD_TEXT):
+                parts.append(counted(part))
+                if sum(t.num_rows for t in parts) > held_rows:
+                    parts = [_combined(parts)]
+                    if parts[0].num_rows > held_rows // 2:
+                        yield from _handed(parts.pop())
+        if parts:
+            yield from _handed(_combined(parts))
+
+    return whole.mapInArrow(run, "lang string, source string, term string, n long, docs long, first boolean")
 
 
 def split_terms(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +116,9 @@ def split_terms(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     Nearly every digest stands for one term, its least and its greatest text are the same, and
     its number is 0. Only the texts of other digests are told apart.
     """
-    bounds = settle(seen.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "terms")
+    bounds = settle(seen.where("first").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "terms")
     shared = bounds.where("low <> high").select("digest")
-    apart = seen.join(shared, "digest", "left_semi").groupBy("digest", "term").agg(F.count("*").alias("rows"))
+    apart = seen.where("first").join(shared, "digest", "left_semi").groupBy("digest", "term").agg(F.count("*").alias("rows"))
     numbered = settle(
         apart.select("digest", "term", F.row_number().over(Window.partitionBy("digest").orderBy("term")).cast("long").alias("sub")),
         "shared",
@@ -196,18 +220,20 @@ def audit(
     digest = F.xxhash64("term") if digest_bits == 64 else F.xxhash64("term").bitwiseAND((1 << digest_bits) - 1)
     seen = settle(observed(docs, text_col, lang_col, source_col).withColumn("digest", digest), "observed")
     told, names = split_terms(seen)
-    counts = settle(
-        told.groupBy("lang", "source", *TERM).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts"
-    )
-    kept = settle(
-        counts.groupBy("lang", *TERM).agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-        .where(F.col("docs") >= least_docs).drop("docs"),
-        "kept",
+    counts = told.groupBy("lang", "source", *TERM).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # All groups of a term meet, one row each, for its sums over the language.
+    of_term = Window.partitionBy("lang", *TERM)
+    summed = counts.select(
+        "lang", "source", *TERM, "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("lang_docs"),
+        (F.col("source") == F.min("source").over(of_term)).alias("once"),
     )
-    held = settle(counts.drop("docs").join(kept, ["lang", *TERM]), "held")
+    held = settle(summed.where(F.col("lang_docs") >= least_docs).drop("lang_docs"), "held")
     # One row a language, and one a group, also of those without terms.
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_all"))
-    sizes = held.groupBy("lang", "source").agg(F.sum("n").alias("all"), F.count("*").alias("entries"))
+    sizes = settle(
+        held.groupBy("lang", "source").agg(F.sum("n").alias("all"), F.count("*").alias("entries"), F.count_if("once").alias("once")), "sizes"
+    )
+    langs = sizes.groupBy("lang").agg(F.sum("once").alias("kept"), F.sum("all").alias("lang_all"))
+    sizes = sizes.drop("once")
     every = docs.select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col))]
     ).distinct()
@@ -224,7 +250,6 @@ def audit(
         "lang", "source", *TERM, share(F.col("n"), F.col("all"), F.col("kept")).alias("p"),
         share(F.col("lang_n"), F.col("lang_all"), F.col("kept")).alias("q"),
     )
-    shares = settle(shares, "shares")
     by_rank = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pair_sums(shares.drop("q"), groups).select(
         "lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_rank).alias("rank")
