@@ -6,6 +6,10 @@ negative parts are the block's capacities to source and sink. Smoothness edges j
 that follow each other and blocks whose DOM paths are close, so that an odd block among content
 stays content. The minimum cut, by maximum flow over that graph, labels all blocks at once.
 
+Names count by whole class, id and role tokens: what a token calls its element ("cookie-notice" a notice,
+"comment-list" a comment), not what it says of its state ("no-sidebar", "nav-open"). What enclosing elements
+say together is bounded, and bad names do not count on elements that hold the page's article.
+
 Edge cases: a null or empty page has empty text; broken or cut-off markup is read as far as it
 goes; character references are decoded after the markup is cut, also unknown ones (as written);
 white space inside a block is one blank; repeated pages give equal rows; pages of any size are
@@ -48,15 +52,32 @@ NAME_ODDS = {
     "recommended": -5.0, "widget": -5.0, "form": -5.0, "login": -5.0, "search": -5.0, "copyright": -5.0,
     "navigation": -6.0, "contentinfo": -6.0, "complementary": -6.0, "alert": -5.0, "disclaimer": -5.0,
 }
+#: Parts of a name that tell a state, not what an element is; a token with one of them says nothing.
+STATE_WORDS = frozenset(
+    "no not non has with without is js enabled disabled open opened closed fixed sticky active inactive hidden visible shown "
+    "single full left right page home layout theme scroll loaded ready below above after before under".split()
+)
+#: Last parts of a name that only say "a piece of".
+PIECE_WORDS = frozenset(
+    "list item items box bar block blocks area section wrapper wrap container inner outer group row col column content contents "
+    "body text links link buttons button icons panel region zone slot unit holder bottom top main".split()
+)
+#: Names that keep an `article` element from being the page's article.
+SIDE_NAMES = frozenset("ad ads advert sponsor sponsored promo comment comments reply related recommended widget".split())
+#: Bounds of the log-odds that all enclosing elements give a block together.
+LEAST_ODDS, MOST_ODDS = -6.0, 4.0
+#: Share of the page's text from which an element is the page itself, where no article is marked.
+WHOLE = 0.9
 #: Log-odds of a block's own text: bias, its words up to 30, each sentence mark up to 3, its link share.
 BIAS, PER_WORD, PER_MARK, LINKED = -0.5, 0.05, 0.3, -4.0
 #: Smoothness: neighbours in the page, and blocks whose DOM paths part at depth d from the leaf.
-ADJACENT, PROXIMITY = 0.4, 0.6
+ADJACENT, PROXIMITY = 0.8, 1.0
 #: Enclosing elements, from the innermost, that bind blocks.
 DEPTH = 4
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
+TOKEN = re.compile(r"\S+")
 END_OF = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "math")}
 
 SCHEMA = T.StructType(
@@ -69,18 +90,90 @@ SCHEMA = T.StructType(
 )
 
 
+def heads(attributes: str) -> set[str]:
+    """What the class, id and role tokens of an element call it: the last telling part of each."""
+    found = set()
+    for groups in NAMES.findall(attributes):
+        for token in TOKEN.findall("".join(groups)):
+            parts = NAME_WORD.findall(token.lower())
+            if not parts or STATE_WORDS.intersection(parts):
+                continue
+            while len(parts) > 1 and parts[-1] in PIECE_WORDS:
+                parts.pop()
+            found.add(parts[-1])
+    return found
+
+
+class Elements:
+    """The elements of a page: their parents, own log-odds and text, each after its parent."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = [-1]
+        self.tag: list[str] = [""]
+        self.good: list[float] = [0.0]
+        self.bad: list[float] = [0.0]
+        self.side: list[bool] = [False]
+        self.chars: list[int] = [0]
+
+    def add(self, tag: str, parent: int, attributes: str) -> int:
+        odds = [TAG_ODDS.get(tag, 0.0)]
+        names: set[str] = set()
+        if "=" in attributes:
+            names = heads(attributes)
+            odds += [NAME_ODDS.get(n, 0.0) for n in names]
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.good.append(max(0.0, *odds))
+        # Names say nothing bad about the page as a whole; tags do, wherever they stand.
+        self.bad.append(min(0.0, *odds))
+        self.side.append(bool(names & SIDE_NAMES))
+        self.chars.append(0)
+        return len(self.parent) - 1
+
+    def odds(self) -> list[float]:
+        """Log-odds that all elements from the page down to each give together.
+
+        Bad names do not count on elements that hold the page's article (the largest `article` or
+        `main` outside of menus and comments), on html and body, or, where none is marked, on what holds
+        nearly all text.
+        """
+        n = len(self.parent)
+        chars = list(self.chars)
+        for e in range(n - 1, 0, -1):
+            chars[self.parent[e]] += chars[e]
+        # Whether an element lies in a menu, footer, comment or the like by tag or as a side article.
+        aside = [False] * n
+        for e in range(1, n):
+            aside[e] = aside[self.parent[e]] or TAG_ODDS.get(self.tag[e], 0.0) < -3 or self.side[e] and self.tag[e] in ("article", "main")
+        found = [e for e in range(1, n) if self.tag[e] in ("article", "main") and not aside[e] and chars[e]]
+        spared = {e for e in range(1, n) if self.tag[e] in ("html", "body")}
+        if found:
+            e = max(found, key=lambda x: chars[x])
+            while e > 0:
+                spared.add(e)
+                e = self.parent[e]
+        else:
+            spared.update(e for e in range(1, n) if chars[e] >= WHOLE * chars[0])
+        total = [0.0] * n
+        for e in range(1, n):
+            bad = min(0.0, TAG_ODDS.get(self.tag[e], 0.0)) if e in spared else self.bad[e]
+            total[e] = max(LEAST_ODDS, min(MOST_ODDS, total[self.parent[e]] + self.good[e] + bad))
+        return total
+
+
 def blocks(page: str | None) -> list[tuple[str, float, float, tuple[int, ...]]]:
     """(text, log-odds of the ancestors, share of linked text, the innermost elements' numbers) of each block."""
     page = page or ""
-    found: list[tuple[str, float, float, tuple[int, ...]]] = []
-    open_: list[tuple[str, float, int]] = []  # tag, log-odds up to here, number
-    hidden, links, number = 0, 0, 0
+    found: list[tuple[str, int, float, tuple[int, ...]]] = []
+    elements = Elements()
+    open_: list[tuple[str, int]] = []  # tag, number
+    hidden, links = 0, 0
     text: list[str] = []
     linked: list[str] = []
 
     def inner_path() -> tuple[int, ...]:
         path: list[int] = []
-        for tag, _, n in reversed(open_):
+        for tag, n in reversed(open_):
             if tag in BLOCK_TAGS:
                 path.append(n)
                 if len(path) == DEPTH:
@@ -91,7 +184,9 @@ def blocks(page: str | None) -> list[tuple[str, float, float, tuple[int, ...]]]:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
             of_links = len(" ".join(html.unescape("".join(linked)).split()))
-            found.append((joined, open_[-1][1] if open_ else 0.0, min(1.0, of_links / len(joined)), inner_path()))
+            at = open_[-1][1] if open_ else 0
+            elements.chars[at] += len(joined)
+            found.append((joined, at, min(1.0, of_links / len(joined)), inner_path()))
         text.clear()
         linked.clear()
 
@@ -116,7 +211,7 @@ def blocks(page: str | None) -> list[tuple[str, float, float, tuple[int, ...]]]:
         if m[1]:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == tag:
-                    for gone, _, _ in open_[i:]:
+                    for gone, _ in open_[i:]:
                         hidden -= gone in HIDDEN_TAGS
                         links -= gone == "a"
                     del open_[i:]
@@ -139,16 +234,12 @@ def blocks(page: str | None) -> list[tuple[str, float, float, tuple[int, ...]]]:
             stop = END_OF[tag].search(page, at)
             at = stop.end() if stop else end
             continue
-        odds = (open_[-1][1] if open_ else 0.0) + TAG_ODDS.get(tag, 0.0)
-        if "=" in m[3]:
-            words = {w for g in NAMES.findall(m[3]) for w in NAME_WORD.findall("".join(g).lower())}
-            odds += sum(NAME_ODDS.get(w, 0.0) for w in words)
-        number += 1
-        open_.append((tag, odds, number))
+        open_.append((tag, elements.add(tag, open_[-1][1] if open_ else 0, m[3])))
         hidden += tag in HIDDEN_TAGS
         links += tag == "a"
     flush()
-    return found
+    odds = elements.odds()
+    return [(t, odds[e], share, path) for t, e, share, path in found]
 
 
 def score(text: str, odds: float, linked: float) -> float:
