@@ -58,11 +58,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[_-]?key|(?:access|private|client|signing)[_-]?key)"""
-    r"""["']?\x20*(?::=|=>|[:=])\x20*["']?([^\s"'<>,;|]+)"""
+    r"""["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]+)"|'([^'\n]+)'|["']?([^\s"'<>,;|]+))"""
     r"""|authorization["']?\x20*[:=]\x20*["']?(?:bearer|basic)\x20+([^\s"'<>,;|]+)"""
     r"""|://[^\s/:@]*:([^\s/:@]+)@""",
     _ASCII,
 )
+#: What stands for a value that is kept elsewhere: a variable, an element, a call, a placeholder.
+REFERENCE = re.compile(
+    r"""\$\{[^}]*\}|\$\([^)]*\)|\$[A-Za-z_]\w*|%\w+%|\{\{[^}]*\}\}|(?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*(?:\[[^\]]*\]|\([^)]*\))[\])]*""",
+    re.ASCII,
+)
 #: One of these (lower case) stands in every text that ASSIGN or CONTEXT can match.
 HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key", "://")
 DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:19|20)\d\d")
@@ -172,7 +177,7 @@ def find(text: str | None, least_cost: float = LEAST_COST) -> tuple[list, list,
         for m in CONTEXT.finditer(text):
             group = m.lastindex
             start, end = m.span(group)
-            if end - start < LEAST_VALUE:
+            if end - start < LEAST_VALUE or REFERENCE.fullmatch(m[group].rstrip(".")):
                 continue
             cost = guess_cost(m[group])
             top = max(top, cost)
