@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import cut
+from fleetgauge.llm.common import cut, whole_row
 
 WEIGHTS = (3, 1, 2)
 #: Words of the mix as a multiple of all words.
@@ -193,7 +193,7 @@ def mix(
     columns = _measured(docs, id_col, text_col, source_col, preference_col)
     sized = cut(docs.select([c.alias(n) for n, c in columns.items()]))
     per_source, small = thresholds(sized, weights, total, cap, buckets)
-    whole = docs.select(F.struct(*docs.columns).alias("_mix_row"), *[c.alias(n) for n, c in columns.items()])
+    whole = docs.select(whole_row(docs).alias("_mix_row"), *[c.alias(n) for n, c in columns.items()])
     decided = _decided(whole, per_source, small, buckets).where("_mix_copies > 0")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies"))
     return decided.select("_mix_row", copies.alias("_mix_copy")).select("_mix_row.*")

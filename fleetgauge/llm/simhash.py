@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.common import cut, map_rows
+from fleetgauge.llm.common import cut, map_rows, whole_row
 
 #: The seed of a shingle's XXH64.
 SEED = 42
@@ -360,11 +360,13 @@ def confirmed(members: DataFrame, similarity: float, chunk: int) -> DataFrame:
     return near.unionByName(meetings.groupBy("root", "t1", "t2").applyInArrow(meet, _PAIRS))
 
 
-def similar_groups(
+def similar_rows(
     docs: DataFrame, width: int, n_words: int, radius: int, coarse: int | None, similarity: float, short: int,
     tile: int = TILE, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, component_id) of every document; links are shingle sets of at least that Jaccard similarity.
+    """(doc_id, digest, root) of every row; links are shingle sets of at least that Jaccard similarity.
+
+    `digest` is the text's, `root` names the group.
 
     Texts of at most `short` shingles and their partners are candidates where they share one of their
     least shingles, which no pair of that similarity fails to do; longer ones by fingerprint.
@@ -372,22 +374,23 @@ def similar_groups(
     reach = int(short / similarity + TINY)
     named = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(text_col).alias("digest"),
         F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("row"),
         F.col(text_col).alias("text"),
     )
 
-    def marked(doc_id, row, text):
+    def marked(doc_id, digest, row, text):
         hashes = shingle_set(text, width)
         fp = _folded(hashes, n_words) if len(hashes) > short else b""
         few = least_shingles(hashes, similarity).astype(np.int64).tolist() if len(hashes) <= reach else []
-        return doc_id, row, set_key(hashes), fp, int.from_bytes(fp, "big").bit_count(), few
+        return doc_id, digest, row, set_key(hashes), fp, int.from_bytes(fp, "big").bit_count(), few
 
     marks = cut(
         map_rows(
             named, marked,
             T.StructType(
                 [
-                    T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()),
+                    T.StructField("doc_id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("row", T.LongType()),
                     T.StructField("key", T.BinaryType()), T.StructField("fp", T.BinaryType()),
                     T.StructField("ones", T.IntegerType()), T.StructField("few", T.ArrayType(T.LongType())),
                 ]
@@ -433,21 +436,31 @@ def similar_groups(
         ),
     ).where("hashes IS NOT NULL")
     links_ = components(confirmed(cut(members), similarity, chunk))
-    rooted = uniq.join(links_, F.col("key") == F.col("hi"), "left").select("key", "least", F.coalesce("lo", "key").alias("root"))
-    named_roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = rooted.join(named_roots, "root").select("key", "component_id")
-    return marks.join(of_key, "key").select("doc_id", "component_id")
+    rooted = uniq.join(links_, F.col("key") == F.col("hi"), "left").select("key", F.coalesce("lo", "key").alias("root"))
+    return marks.join(rooted, "key").select("doc_id", "digest", "root")
+
+
+def similar_groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, component_id) of every document, by `similar_rows`."""
+    rows = cut(similar_rows(docs, **options))
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "root").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, one of each group: the one with the smallest id.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, one of each group: the one with the smallest id, of equal ids
+    that with the smallest digest of its text.
 
-    Documents without an id cannot be told apart by it and stay. Rows that repeat a kept id stay
-    once where they are equal in all columns.
+    A row is known by its id and its text, so an id that stands for several texts keeps those that
+    lead a group; rows without an id come last. Of rows with the same id and text one stays.
     """
-    groups = similar_groups(docs, id_col=id_col, **options)
-    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows"))
-    joined = docs.join(kept, docs[id_col].cast("long") == kept["_kept_id"])
-    single = joined.where("_kept_rows = 1").select(docs.columns)
-    repeated = joined.where("_kept_rows > 1").select(docs.columns).distinct()
-    return single.unionByName(repeated).unionByName(docs.where(docs[id_col].isNull()))
+    rows = cut(similar_rows(docs, id_col=id_col, text_col=text_col, **options))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"))
+    leads = first.select(F.col("k.doc_id").alias("lead_id"), F.col("k.digest").alias("lead_digest"))
+    known = F.col("id").eqNullSafe(F.col("lead_id")) & (F.col("digest") == F.col("lead_digest"))
+    times = rows.groupBy(F.col("doc_id").alias("id"), "digest").agg(F.count("*").alias("rows"))
+    kept = cut(leads.join(times, known).select("lead_id", "lead_digest", "rows"))
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), whole_row(docs).alias("row"))
+    joined = whole.join(kept, known)
+    single, repeated = joined.where("rows = 1"), joined.where("rows > 1").dropDuplicates(["id", "digest"])
+    return single.select("row.*").unionByName(repeated.select("row.*"))

@@ -145,3 +145,19 @@ def test_divergence_cases(spark, docs):
     # No term in three documents: pairs of value 0 and no terms.
     few = spark.createDataFrame([("a b", "x", "s"), ("a", "x", "t"), (None, None, None)], "text string, lang string, source string")
     assert sorted(tuple(r) for r in divergence.audit(few).collect()) == [("x", "s", "pair", "t", 0, 1), ("x", "t", "pair", "s", 0, 1)]
+
+
+def test_stages_take_any_extra_column(spark, docs):
+    """Names that the stages use, dots and back quotes in names, maps."""
+    odd = docs.withColumns({"_kept_id": F.lit(1), "_kept_rows": F.lit(1), "row": F.lit(1), "lead_id": F.lit(1), "_mix_row": F.lit(1), "a.b": F.lit("x"), "c`d": F.lit("y"),
+                            "m": F.create_map(F.lit("k"), F.lit("v"))})
+    for stage in (lambda d: simhash.one_of_each(d, **corpus_pipeline.NEAR), mixing.mix):
+        got = stage(odd)
+        assert got.columns == odd.columns and {r["a.b"] for r in got.collect()} == {"x"}
+
+
+def test_copies_under_one_id_or_none_go(spark):
+    a, b = "one two three four five six seven", "quite another text of some eight words here"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (None, a), (None, a), (None, b + " x y z"), (5, b)], "doc_id long, text string")
+    got = simhash.one_of_each(docs, **corpus_pipeline.NEAR).collect()
+    assert sorted(map(str, got)) == sorted(map(str, docs.where("(doc_id = 3) OR text LIKE '%x y z'").collect() + docs.where("doc_id = 5").where(F.col("text") == b).limit(1).collect()))
