@@ -339,9 +339,11 @@ def _unpacked(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
 
 
 def settled_links(members: DataFrame, part: int = PART) -> DataFrame:
-    """(hi, lo): stars of the exact links among members (root, key, hashes) of one root."""
-    sizes = members.groupBy("root").agg(F.sum(F.length("hashes") / 8).cast("long").alias("all"), F.min("key").alias("head"))
-    members = settle(members.join(settle(sizes, "sizes"), "root"), "members")
+    """(hi, lo): stars of the exact links among members (root, all, head, key, hashes) of one root.
+
+    `all` is the number of shingles of the root's members, `head` the least of their names.
+    """
+    members = settle(members, "members")
     small, large = members.where(F.col("all") <= part), members.where(F.col("all") > part)
 
     def within(key: tuple, table: pa.Table) -> pa.Table:
@@ -353,7 +355,7 @@ def settled_links(members: DataFrame, part: int = PART) -> DataFrame:
         return _pair_table(pairs)
 
     # Small groups share a task, a bounded number of shingles in each.
-    tasks = members.where(F.col("all") <= part).agg(F.sum(F.length("hashes") / 8).alias("n")).first()["n"] or 0
+    tasks = small.agg(F.sum(F.length("hashes") / 8).alias("n")).first()["n"] or 0
     near_ = small.groupBy(F.pmod(F.xxhash64("root"), F.lit(int(tasks // part) + 1)).alias("task")).applyInArrow(within, _PAIRS)
     tiles = F.ceil(F.col("all") / part).cast("long")
     large = large.select("root", "key", "hashes", tiles.alias("tiles"), F.pmod(F.xxhash64("key"), tiles).alias("tile"), "head")
@@ -395,17 +397,20 @@ def near_duplicates(
     heads = stars.select(F.col("lo").alias("key")).distinct()
     inside = stars.select(F.col("hi").alias("key"), F.col("lo").alias("root")).unionByName(heads.select("key", F.col("key").alias("root")))
     # Each set's text once more, found by id and digest, for the full shingles.
-    wanted = settle(
-        inside.join(sets, "key").select("key", "root", F.col("at.doc_id").alias("at_id"), F.col("at.digest").alias("at_digest")), "wanted"
+    placed = settle(
+        inside.join(sets, "key").select("key", "root", "n_shingles", F.col("at.doc_id").alias("at_id"), F.col("at.digest").alias("at_digest")), "placed"
     )
+    sizes = placed.groupBy("root").agg(F.sum("n_shingles").alias("all"), F.min("key").alias("head"))
+    wanted = settle(placed.drop("n_shingles").join(sizes, "root"), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
     read = texts.join(wanted, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("digest") == F.col("at_digest")))
 
-    def filled(root, key, text):
+    def filled(root, all_, head, key, text):
         hashes = shingle_set(text, width)
-        return root, key, hashes.astype("<u8").tobytes() if set_key(hashes) == key else None
+        return root, all_, head, key, hashes.astype("<u8").tobytes() if set_key(hashes) == key else None
 
-    members = map_rows(read.select("root", "key", "text"), filled, _struct(docs, "root binary, key binary, hashes binary"))
+    ddl = "root binary, all long, head binary, key binary, hashes binary"
+    members = map_rows(read.select("root", "all", "head", "key", "text"), filled, _struct(docs, ddl))
     members = members.where("hashes IS NOT NULL").dropDuplicates(["key"])
     links = settled_links(members, part)
     rooted = sets.join(links, F.col("key") == F.col("hi"), "left").select("key", "least", F.coalesce("lo", "key").alias("root"))
