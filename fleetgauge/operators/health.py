@@ -11,6 +11,7 @@ from fleetgauge import constants as C
 from fleetgauge.functions import text as X
 from fleetgauge.functions.links import run_url
 from fleetgauge.operators.matching import last_entry_wins
+from fleetgauge.operators.ordinals import pieces
 from fleetgauge.session import bounded_broadcast
 
 ENTRY = ["group_name", "resource_type", "monitored_environment", "resource_name"]
@@ -139,15 +140,20 @@ def standing_comments(health: DataFrame) -> DataFrame:
     )
 
 
-def comments(health: DataFrame, noted: DataFrame) -> DataFrame:
-    """Comment text per resource: all its lines in order, joined by `<br/>`, as `part` 0."""
-    everything = noted.select(*ENTRY, "section", "line").unionByName(standing_comments(health))
-    everything = everything.withColumn("part", F.lit(0).cast("bigint"))
-    return everything.groupBy(*ENTRY, "part").agg(
-        F.array_join(
-            F.sort_array(F.collect_list(F.struct("section", "line")))["line"], "<br/>"
-        ).alias("comments")
-    )
+def comment_lines(health: DataFrame, noted: DataFrame) -> DataFrame:
+    """All comment lines of each resource as rows, ordered inside it by (section, line)."""
+    return noted.select(*ENTRY, "section", "line").unionByName(standing_comments(health))
+
+
+#: Comment lines that one text joins at most.
+JOINED_LINES = 100
+
+
+def comments(lines: DataFrame) -> DataFrame:
+    """Comment texts per resource: its lines in order, joined by `<br/>`, in pieces of bounded size from 0."""
+    numbered = pieces(lines, ENTRY, ["section", "line"], JOINED_LINES)
+    ordered = F.sort_array(F.collect_list(F.struct("ordinal", "line")))["line"]
+    return numbered.groupBy(*ENTRY, "piece").agg(F.array_join(ordered, "<br/>").alias("comments"))
 
 
 def group_summary(health: DataFrame) -> DataFrame:

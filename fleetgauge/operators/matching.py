@@ -9,6 +9,7 @@ from fleetgauge import constants as C
 from fleetgauge.functions.globs import (
     GRAM_LENGTHS, glob_to_regex, grams, has_glob, literal_pieces, marked, no_grams, pattern_grams,
 )
+from fleetgauge.operators.ordinals import pieces
 from fleetgauge.session import bounded_broadcast
 
 
@@ -174,19 +175,24 @@ def with_delivery_method(df: DataFrame, methods: DataFrame) -> DataFrame:
     return df.join(bounded_broadcast(known), "delivery_method", "left")
 
 
+#: Recipients that one delivery names at most; more are told by further deliveries.
+RECIPIENTS = 50
+
+
+def in_deliveries(rows: DataFrame, group: list[str], methods: DataFrame) -> DataFrame:
+    """Recipients of each group in deliveries of bounded size, numbered by `part` from 0, in order of name."""
+    numbered = pieces(rows.select(*group, "recipient"), group, ["recipient"], RECIPIENTS)
+    lists = numbered.groupBy(*group, F.col("piece").alias("part")).agg(F.sort_array(F.collect_list("recipient")).alias("recipients"))
+    return with_delivery_method(lists, methods)
+
+
 def delivery_options(matches: DataFrame, recipients: DataFrame, methods: DataFrame) -> DataFrame:
-    """Recipients per resource and delivery method, for alerts.
+    """Recipients per resource and delivery method, for alerts, in deliveries of bounded size.
 
-    Worked out once per resource, however many events there are. A delivery names all its
-    recipients, as the configuration does; `part` numbers the deliveries and is always 0.
+    Worked out once per resource, however many events there are.
     """
     keys = [c for c in matches.columns if c != "group_name"]
-    chosen = recipients_for(matches, recipients, "alert")
-    group = [*keys, "delivery_method"]
-    lists = chosen.groupBy(*group, F.lit(0).cast("bigint").alias("part")).agg(
-        F.sort_array(F.collect_list("recipient")).alias("recipients")
-    )
-    return with_delivery_method(lists, methods)
+    return in_deliveries(recipients_for(matches, recipients, "alert"), [*keys, "delivery_method"], methods)
 
 
 def recipient_groups(recipients: DataFrame, kind: str) -> DataFrame:
@@ -200,18 +206,11 @@ def recipient_groups(recipients: DataFrame, kind: str) -> DataFrame:
 
 
 def group_recipients(recipients: DataFrame, methods: DataFrame) -> DataFrame:
-    """Recipients who share delivery method and group set, as one digest audience.
-
-    `part` numbers the deliveries to an audience and is always 0.
-    """
+    """Recipients who share delivery method and group set, as one digest audience, in deliveries of bounded size."""
     wanted = recipient_groups(recipients, "digest").withColumn(
         "monitoring_groups", F.sort_array("monitoring_groups")
     )
-    group = ["delivery_method", "monitoring_groups"]
-    shared = wanted.groupBy(*group, F.lit(0).cast("bigint").alias("part")).agg(
-        F.sort_array(F.collect_list("recipient")).alias("recipients")
-    )
-    return with_delivery_method(shared, methods)
+    return in_deliveries(wanted, ["delivery_method", "monitoring_groups"], methods)
 
 
 def digest_audience(groups_with_data: DataFrame, audiences: DataFrame) -> DataFrame:

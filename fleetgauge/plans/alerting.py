@@ -80,21 +80,30 @@ def matches_for(known: DataFrame, config: AlertConfig) -> DataFrame:
 
 
 def alert_results(known: DataFrame, config: AlertConfig, matches: DataFrame) -> DataFrame:
-    """Per classified event: type, link, whether it alerts and is logged, and to how many methods.
+    """Per classified event: type, link, whether it alerts and is logged, and its messages.
 
-    Events of resources outside every group come out with both flags false and no link.
+    One message per delivery method, with its subject and body; who gets it stands in the rows of
+    `notifications`. Events of resources outside every group come out with both flags
+    false, no link and no messages.
     """
     keys = [c for c in matches.columns if c != "group_name"]
     options = delivery_options(matches, config.recipients, config.delivery_methods)
-    told = options.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_options"))
+    # As many entries as there are delivery methods.
+    told = options.select(*keys, "delivery_method", "delivery_method_type").distinct().groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("delivery_method", "delivery_method_type"))).alias("told")
+    )
     scope = matches.select(*keys).distinct().withColumn("in_scope", F.lit(True))
     found = (
-        with_flags(mapped(known))
+        with_message(with_flags(mapped(known)))
         .join(bounded_broadcast(scope), keys, "left")
         .join(bounded_broadcast(told), keys, "left")
         .withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
     )
     alertable = F.col("in_scope") & F.col("is_alertable")
+    message = lambda o: F.struct(
+        o["delivery_method"].alias("delivery_method"), o["delivery_method_type"].alias("delivery_method_type"), "message_subject", "message_body"
+    )
+    messages = F.transform(F.when(alertable, F.col("told")), message)
     return found.select(
         "event",
         "resource_type",
@@ -102,7 +111,7 @@ def alert_results(known: DataFrame, config: AlertConfig, matches: DataFrame) ->
         alertable.alias("event_is_alertable"),
         (F.col("in_scope") & F.col("is_monitorable")).alias("event_is_monitorable"),
         F.when(F.col("in_scope"), F.col("execution_info_url")).otherwise("").alias("execution_info_url"),
-        F.when(alertable, F.coalesce("n_options", F.lit(0))).otherwise(0).alias("messages"),
+        F.coalesce(messages, F.slice(F.array(message(F.lit(None).cast("struct<delivery_method:string,delivery_method_type:string>"))), 1, 0)).alias("messages"),
     )
 
 

@@ -64,12 +64,19 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small enough.
+#: Bytes up to which a side is sent to every executor; as files, it is a few times that in memory.
+MAX_SENT_BYTES = 16 << 20
 
-    The count stops one row past the bound, so a large side costs little to reject. A
-    rejected side is returned without a hint: the join is then an ordinary shuffled one,
-    with adaptive skew handling.
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark knows of a table's size before running it: exact for settled files, else on the safe side."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_SENT_BYTES) -> DataFrame:
+    """Hint a broadcast only where the side is known to be small enough, in bytes; starts no job.
+
+    Any other side is returned without a hint: the join is then an ordinary shuffled one, with
+    adaptive skew handling, that adaptive execution may still turn round once the true size is known.
     """
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df

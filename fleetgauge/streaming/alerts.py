@@ -12,6 +12,7 @@ from fleetgauge.operators.explore import alerts_timeline
 from fleetgauge.plans.alerting import (
     AlertConfig, alert_events, alert_log, classified, matches_for, notifications,
 )
+from fleetgauge.session import settle
 from fleetgauge.sources.events import read_events
 from fleetgauge.sources.sinks import write_alert_log, write_event_errors, write_notifications
 
@@ -33,14 +34,14 @@ def run_alerts(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         known = classified(batch, config).persist()
-        matches = matches_for(known, config).persist()
         try:
+            # Small and used several times: worked out once, its size is then known without counting.
+            matches = settle(matches_for(known, config), "matches")
             alerts = alert_events(known, matches)
             write_alert_log(alert_log(alerts), out, batch_id)
             write_notifications(notifications(alerts, matches, config), out, batch_id)
             write_event_errors(event_errors(known), out, batch_id)
         finally:
-            matches.unpersist()
             known.unpersist()
 
     events = read_events(spark, source, streaming=True, prefix=config.prefix, max_files=max_files)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge import constants as C
 from fleetgauge.operators import digest_runs as D
 from fleetgauge.operators import health as H
+from fleetgauge.operators import matching as M
 from fleetgauge.plans import digest as P
 
 RUNS = ", ".join(f"{n} {t}" for n, t in D.COMMON.items())
@@ -31,8 +32,8 @@ def config(spark, kind, sla=0, minimum=0, name="x", order=1, group="g"):
 
 def health(spark, kind, data, cfg):
     row = H.resource_health(data, cfg).first()
-    notes = H.comments(H.resource_health(data, cfg), H.run_comments(data, cfg)).collect()
-    return row, "<br/>".join(r["comments"] for r in sorted(notes, key=lambda r: r["part"]))
+    notes = H.comments(H.comment_lines(H.resource_health(data, cfg), H.run_comments(data, cfg))).collect()
+    return row, "<br/>".join(r["comments"] for r in sorted(notes, key=lambda r: r["piece"]))
 
 
 def test_no_runs(spark):
@@ -77,9 +78,10 @@ def test_equal_lines_show_once_and_later_entry_wins(spark):
 def test_comments_of_a_resource_with_very_many_failures_are_whole(spark):
     data = runs(spark, C.GLUE_JOBS, *[{"failed": 1, "job_run_id": f"r{i}", "error_message": f"m{i}"} for i in range(2000)])
     cfg = config(spark, C.GLUE_JOBS)
-    (row,) = H.comments(H.resource_health(data, cfg), H.run_comments(data, cfg)).collect()
-    assert row["comments"].count(" - <a href=") == 2000
-    assert row["comments"].startswith("Some runs have failed:")
+    texts = H.comments(H.comment_lines(H.resource_health(data, cfg), H.run_comments(data, cfg))).orderBy("piece").collect()
+    assert [r["piece"] for r in texts] == list(range(21))
+    assert sum(r["comments"].count(" - <a href=") for r in texts) == 2000 and max(len(r["comments"]) for r in texts) < 100_000
+    assert texts[0]["comments"].startswith("Some runs have failed:")
 
 
 def test_catalog_totals_and_deletion_warning(spark):
@@ -113,7 +115,28 @@ def test_reports_go_to_audiences_with_data_only(spark):
     methods = spark.createDataFrame([("mail", "AWS_SES")], "name string, delivery_method_type string")
     (report,) = P.digest({C.GLUE_JOBS: metrics}, config(spark, C.GLUE_JOBS), recipients, methods, start, end).collect()
     assert report["recipients"] == ["a", "b"] and report["message_subject"] == "Digest Report 2024-01-02"
-    body = report["message_body"]
-    assert body[0]["text"] == "Digest Summary" and body[3]["text"] == "g: Glue Jobs"
-    assert body[2]["rows"][0]["values"] == ["g", "Glue Jobs", "1", "0", "1", "0"]
-    assert body[4]["header"] == C.RESOURCE_HEADER and body[4]["rows"][0]["style"] == "error"
+    body = [(r["kind"], r["values"], r["style"]) for r in report["message_body"]]
+    assert body[0] == ("text", ["Digest Summary"], "header") and body[4] == ("text", ["g: Glue Jobs"], "header")
+    assert body[2][1] == C.SUMMARY_HEADER and body[3][1] == ["g", "Glue Jobs", "1", "0", "1", "0"]
+    assert body[5][:2] == ("header", C.RESOURCE_HEADER) and body[6][2] == "error" and body[7][:2] == ("comment", ["Some runs have failed:"])
+    assert (report["piece"], report["part"]) == (0, 0)
+
+
+def test_reports_of_very_many_resources_are_messages_of_bounded_size(spark):
+    """Lines are dense and in order over many tasks; no value holds a report."""
+    n = 30_000
+    rows = spark.range(n).selectExpr(
+        "3 AS section", "'g' AS group_name", f"'{C.GLUE_JOBS}' AS resource_type", "lpad(CAST(id AS STRING), 9, '0') AS row_order", "0 AS line_section",
+        "'' AS line_text", "'row' AS kind", "array(lpad(CAST(id AS STRING), 9, '0'), repeat('x', 200)) AS values", "'ok' AS style").repartition(7)
+    people = spark.range(120).selectExpr("concat('p', lpad(CAST(id AS STRING), 3, '0')) AS recipient", "'mail' AS delivery_method",
+                                         "array(named_struct('monitoring_group', 'g', 'alerts', true, 'digest', true)) AS subscriptions")
+    methods = spark.createDataFrame([("mail", "AWS_SES")], "name string, delivery_method_type string")
+    audiences = P.with_audience(M.group_recipients(people, methods))
+    start, end = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    lines = P.report_lines(rows, audiences, start, end)
+    got = P.reports(lines, audiences, end).select("piece", "part", "recipients", "message_body").collect()
+    assert {(r["piece"], r["part"]) for r in got} == {(p, q) for p in range(-(-(n + 4) // P.LINES)) for q in range(3)}
+    assert max(len(r["recipients"]) for r in got) == M.RECIPIENTS
+    body = [b for r in sorted((r for r in got if r["part"] == 0), key=lambda r: r["piece"]) for b in r["message_body"]]
+    assert [b["ordinal"] for b in body] == list(range(1, n + 5)) and [b["values"][0] for b in body[4:]] == [f"{i:09}" for i in range(n)]
+    assert max(sum(len(v) for b in r["message_body"] for v in b["values"]) for r in got) < 1_000_000

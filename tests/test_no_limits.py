@@ -51,15 +51,16 @@ def test_runs_without_an_id_are_known_once_stored(spark, monkeypatch):
     assert [r["function_name"] for r in _not_stored(spark, fresh, C.LAMBDA_FUNCTIONS, "").collect()] == ["g"]
 
 
-def test_one_delivery_names_all_recipients(spark):
-    from fleetgauge.operators.matching import delivery_options
+def test_deliveries_of_bounded_size_name_all_recipients(spark):
+    from fleetgauge.operators.matching import RECIPIENTS, delivery_options
 
     subs = "array<struct<monitoring_group: string, alerts: boolean, digest: boolean>>"
     people = spark.createDataFrame([(f"p{i:03}", "mail", [("g", True, True)]) for i in range(500)], f"recipient string, delivery_method string, subscriptions {subs}")
     methods = spark.createDataFrame([("mail", "SES")], "name string, delivery_method_type string")
     matches = spark.createDataFrame([("t", "r", "g")], "resource_type string, resource_name string, group_name string")
-    (row,) = delivery_options(matches, people, methods).collect()
-    assert row["recipients"] == [f"p{i:03}" for i in range(500)]
+    rows = sorted(delivery_options(matches, people, methods).collect(), key=lambda r: r["part"])
+    assert [r["part"] for r in rows] == list(range(10)) and max(len(r["recipients"]) for r in rows) == RECIPIENTS
+    assert [x for r in rows for x in r["recipients"]] == [f"p{i:03}" for i in range(500)]
 
 
 def test_patterns_without_a_beginning_meet_by_their_rarest_piece(spark):

@@ -12,17 +12,21 @@ from fleetgauge import schemas
 from fleetgauge.functions import text as X
 from fleetgauge.functions.outcome import emr_error
 from fleetgauge.operators import classify as K
+from fleetgauge.operators import digest_runs as D
 from fleetgauge.operators import logs as L
 from fleetgauge.operators import matching as M
+from fleetgauge.operators import normalise as N
 from fleetgauge.operators.normalise import only_final
+from fleetgauge.operators.progress import union_types
 from fleetgauge.plans import alerting as A
 from fleetgauge.session import scratch_path, settle
 from fleetgauge.sources import events as EV
 from fleetgauge.sources import sinks
+from fleetgauge.sources.tables import in_period
 from fleetgauge.streaming import alerts as SA
 from fleetgauge.streaming import logs as SL
 from workbench.registry import add, in_emitted_order, joined, ms
-from workbench.views import Views
+from workbench.views import END, START, Views
 
 
 def _id() -> Column:
@@ -135,11 +139,14 @@ def _emr_runs(v: Views) -> DataFrame:
     )
 
 
-def _with_body(v: Views) -> DataFrame:
+def _full_config(v: Views) -> A.AlertConfig:
     config = v.alert_config
-    config = A.AlertConfig(config.environments, config.monitored, config.recipients, config.delivery_methods,
-                           apps=config.apps, emr_runs=_emr_runs(v))
-    return K.with_message(K.mapped(A.classified(v.events(), config)))
+    return A.AlertConfig(config.environments, config.monitored, config.recipients, config.delivery_methods,
+                         apps=config.apps, emr_runs=_emr_runs(v))
+
+
+def _with_body(v: Views) -> DataFrame:
+    return K.with_message(K.mapped(A.classified(v.events(), _full_config(v))))
 
 
 add(
@@ -188,7 +195,7 @@ _NOTE_SQL = """SELECT a.resource_name AS message_group_id, epoch_ms(date_trunc('
     coalesce(a.monitored_environment, 'None') || ': ' || state || ' - ' || a.resource_type || ' : ' || a.resource_name
     AS message_subject, count(*)::BIGINT AS n FROM alerts a JOIN (
       SELECT resource_type, resource_name, delivery_method, part, string_agg(recipient, ',' ORDER BY recipient) AS recipients FROM (
-        SELECT *, 0::BIGINT AS part FROM (
+        SELECT *, (row_number() OVER (PARTITION BY resource_type, resource_name, delivery_method ORDER BY recipient) - 1) // 50 AS part FROM (
           SELECT DISTINCT s.resource_type, s.resource_name, delivery_method, recipient FROM scope s
             JOIN subs ON s.group_name = subs.monitoring_group WHERE subs.alerts)) GROUP BY ALL) o
     ON a.resource_type = o.resource_type AND a.resource_name = o.resource_name
@@ -213,19 +220,65 @@ add(
         F.bool_and("in_order").alias("in_order")),
     f"SELECT *, true AS in_order FROM ({_NOTE_SQL})",
 )
+def _results(v: Views) -> DataFrame:
+    """Results with their messages as text: method, type, subject and number of body lines of each."""
+    one = lambda m: F.concat_ws("=", m["delivery_method"], F.coalesce(m["delivery_method_type"], F.lit("")), m["message_subject"],
+                                F.size(m["message_body"]).cast("string"))
+    return A.alert_results(A.classified(v.events(), _full_config(v)), v.alert_config, _matches(v)).select(
+        _id(), "*", F.array_join(F.transform("messages", one), ";").alias("told"), F.size("messages").cast("bigint").alias("n")).drop("event", "messages")
+
+
 add(
-    "evt12_alert_results",
-    lambda v: A.alert_results(_classified(v), v.alert_config, _matches(v)).select(_id(), "*").drop("event"),
-    """SELECT event_id, c.resource_type, c.resource_name, in_scope AND result = 'FAILURE' AS event_is_alertable,
+    "evt12_alert_results", _results,
+    f"""SELECT event_id, c.resource_type, c.resource_name, in_scope AND result = 'FAILURE' AS event_is_alertable,
         in_scope AND result IN ('SUCCESS', 'FAILURE') AS event_is_monitorable,
         CASE WHEN in_scope THEN url ELSE '' END AS execution_info_url,
-        CASE WHEN in_scope AND result = 'FAILURE' THEN coalesce(n, 0) ELSE 0 END::BIGINT AS messages
-        FROM (SELECT *, EXISTS (SELECT 1 FROM scope s WHERE s.resource_type = cls.resource_type
-            AND s.resource_name = cls.resource_name) AS in_scope FROM cls WHERE error IS NULL) c
-        LEFT JOIN (SELECT resource_type, resource_name, count(*)::BIGINT AS n FROM options GROUP BY 1, 2) o
+        CASE WHEN in_scope AND result = 'FAILURE' THEN coalesce(n, 0) ELSE 0 END::BIGINT AS n,
+        CASE WHEN in_scope AND result = 'FAILURE' THEN coalesce(array_to_string(list_transform(told, lambda t: t || '=' || coalesce(monitored_environment, 'None')
+          || ': ' || state || ' - ' || c.resource_type || ' : ' || c.resource_name || '=' || len(string_split(body, chr(10)))), ';'), '') ELSE '' END AS told
+        FROM (SELECT *, {_BODY} AS body, EXISTS (SELECT 1 FROM scope s WHERE s.resource_type = c.resource_type
+            AND s.resource_name = c.resource_name) AS in_scope FROM cls c WHERE error IS NULL) c
+        LEFT JOIN (SELECT resource_type, resource_name, count(*)::BIGINT AS n,
+            list(delivery_method || '=' || coalesce(delivery_method_type, '') ORDER BY delivery_method) AS told
+          FROM (SELECT DISTINCT resource_type, resource_name, delivery_method FROM options) o LEFT JOIN methods m ON o.delivery_method = m.name GROUP BY 1, 2) o
         ON c.resource_type = o.resource_type AND c.resource_name = o.resource_name""",
 )
 
+
+def _new_kind(v: Views) -> DataFrame:
+    """A kind nobody knew, registered for the while of a query, with one run, one event and one digest run an event."""
+    kind = "probe_runs"
+    runs = v.raw_jobs.select("monitored_environment", F.col("JobName").alias("resource_name"), F.col("StartedOn").alias("time"))
+    types = v.spark.createDataFrame([("aws.glue", "Something Else", kind)], "source string, detail_type string, resource_type string")
+    registries = ((N.NORMALISERS, lambda df: df), (K.EVENT_RULES, lambda: (F.concat(F.lit("probe-"), "region"), F.lit("DONE"), F.lit(C.SUCCESS))),
+                  (D.DIGEST_RUNS, lambda df, start, end: in_period(df, start, end)))
+    refused = []
+    for call in (lambda: N.normalise("nothing", runs), lambda: D.digest_runs(runs, "nothing", START, END)):
+        try:
+            call()
+        except ValueError:
+            refused.append(True)
+    try:
+        for registry, rule in registries:
+            registry[kind] = rule
+        facts = N.normalise(kind, runs)
+        counted = lambda part, df: df.groupBy(F.lit(part).alias("part"), "resource_name").agg(F.count(F.lit(1)).alias("n"))
+        events = K.mapped(K.classify_events(K.resolve_type(v.events(), types))).filter((F.col("resource_type") == kind) & (F.col("result") == C.SUCCESS))
+        return union_types([counted("ext1", facts), counted("ext2", events), counted("ext3", D.digest_runs(facts, kind, START, END))]).withColumn(
+            "unknown_refused", F.lit(len(refused) == 2))
+    finally:
+        for registry, _ in registries:
+            registry.pop(kind, None)
+
+
+add(
+    "ext1_ext2_ext3_new_kind", _new_kind,
+    """SELECT part, resource_name, count(*)::BIGINT AS n, true AS unknown_refused FROM (
+        SELECT 'ext1' AS part, 'job-' || (user_id // 2) AS resource_name FROM ev
+        UNION ALL SELECT 'ext3', 'job-' || (user_id // 2) FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-22'
+        UNION ALL SELECT 'ext2', 'probe-region-' || (user_id % 3) FROM ev WHERE event_id % 10 = 9) GROUP BY ALL""",
+)
+
 # --- published events ---------------------------------------------------------------------
 
 
@@ -278,6 +331,13 @@ def _settled_config(v: Views):
 
 add("src13_stf5_alert_stream_log", lambda v: ms(v.spark.read.parquet(f"{_stream_alerts(v)}/alert_log")).select(
     _id(), "*").drop("event", "date", "batch_id"), _LOG_SQL)
+add(
+    "stf7_sequence_numbers",
+    lambda v: v.spark.read.parquet(f"{_stream_alerts(v)}/outbox").groupBy("message_group_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("sequence_number").alias("first"), F.max("sequence_number").alias("last"),
+        (F.count_distinct("sequence_number") == F.count(F.lit(1))).alias("dense")),
+    f"SELECT message_group_id, sum(n)::BIGINT AS n, 1::BIGINT AS first, sum(n)::BIGINT AS last, true AS dense FROM ({_NOTE_SQL}) GROUP BY 1",
+)
 add("stf5_alert_stream_outbox", lambda v: _note_counts(v.spark.read.parquet(f"{_stream_alerts(v)}/outbox")), _NOTE_SQL)
 
 
@@ -327,19 +387,26 @@ add(
 
 
 def _unique(v: Views) -> DataFrame:
-    """A stream that repeats every record, each kept once."""
+    """A stream that repeats every record, then brings others of all times: each is kept once, late ones not at all."""
     base = scratch_path(v.spark, "unique-stream")
     facts = v.m_lambda.select("resource_name", "time", "lambda_function_request_id")
-    facts.unionAll(facts).repartition(4).write.parquet(f"{base}/in")
-    stream = v.spark.readStream.schema(facts.schema).parquet(f"{base}/in")
+    late = facts.withColumn("lambda_function_request_id", F.concat(F.lit("second-"), "lambda_function_request_id"))
+    # What is late is told by the watermark of the batch before, which follows the first batch.
+    for piece in (facts.unionAll(facts), facts, facts.unionAll(late)):
+        piece.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = v.spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     once = SA.unique_records(stream, ["resource_name", "lambda_function_request_id", "time"])
     SA.run_once(once.writeStream.format("parquet").option("path", f"{base}/out").option(
         "checkpointLocation", f"{base}/checkpoint")).awaitTermination()
     return ms(v.spark.read.parquet(f"{base}/out"))
 
 
-add("stf4_unique_records", _unique,
-    "SELECT resource_name, epoch_ms(time) AS time, lambda_function_request_id FROM m_lambda_functions")
+add(
+    "stf4_unique_records", _unique,
+    """SELECT resource_name, epoch_ms(time) AS time, lambda_function_request_id FROM m_lambda_functions
+       UNION SELECT resource_name, epoch_ms(time), 'second-' || lambda_function_request_id FROM m_lambda_functions
+       WHERE time > (SELECT max(time) FROM m_lambda_functions) - INTERVAL 24 HOURS""",
+)
 add(
     "src13_read_events",
     lambda v: EV.read_events(v.spark, _land_events(v), streaming=False).groupBy("source").agg(F.count(F.lit(1)).alias("n")),

@@ -171,7 +171,7 @@ add(
           ON i.resource_type = m.resource_type AND i.name GLOB m.name)
        SELECT resource_type, resource_name, delivery_method, delivery_method_type, part, recipients FROM (
          SELECT resource_type, resource_name, delivery_method, part, string_agg(recipient, ',' ORDER BY recipient) AS recipients FROM (
-           SELECT *, 0::BIGINT AS part FROM (
+           SELECT *, (row_number() OVER (PARTITION BY resource_type, resource_name, delivery_method ORDER BY recipient) - 1) // 50 AS part FROM (
              SELECT DISTINCT resource_type, resource_name, delivery_method, recipient FROM g JOIN subs ON g.group_name = monitoring_group WHERE alerts))
          GROUP BY ALL) LEFT JOIN methods ON delivery_method = name""",
 )
@@ -180,7 +180,7 @@ add(
     lambda v: joined(M.group_recipients(v.recipients, v.delivery_methods), "recipients", "monitoring_groups"),
     """SELECT delivery_method, array_to_string(monitoring_groups, ',') AS monitoring_groups, part,
         string_agg(recipient, ',' ORDER BY recipient) AS recipients, any_value(delivery_method_type) AS delivery_method_type FROM (
-          SELECT *, 0::BIGINT AS part FROM recipient_groups)
+          SELECT *, (row_number() OVER (PARTITION BY delivery_method, monitoring_groups ORDER BY recipient) - 1) // 50 AS part FROM recipient_groups)
         LEFT JOIN methods ON delivery_method = name GROUP BY delivery_method, monitoring_groups, part""",
 )
 add(

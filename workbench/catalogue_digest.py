@@ -12,7 +12,7 @@ from fleetgauge.operators import health as H
 from fleetgauge.operators import matching as M
 from fleetgauge.plans import digest as P
 from fleetgauge.operators.progress import union_types
-from fleetgauge.session import scratch_path
+from fleetgauge.session import scratch_path, settle
 from fleetgauge.sources import settings as ST
 from fleetgauge.sources import tables as TB
 from workbench.registry import add, in_emitted_order, joined
@@ -228,25 +228,27 @@ _STANDING = f"""SELECT group_name, resource_type, monitored_environment, resourc
     ]) AS l FROM ({_health_sql()})) WHERE l IS NOT NULL"""
 
 
-_COMMENTS = f"""SELECT group_name, resource_type, monitored_environment, resource_name, 0::BIGINT AS part,
-    string_agg(line, '<br/>' ORDER BY section, line) AS comments FROM (
-      SELECT * FROM ({_NOTED}) UNION ALL SELECT * FROM ({_STANDING})) GROUP BY 1, 2, 3, 4"""
+_LINES = f"SELECT * FROM ({_NOTED}) UNION ALL SELECT * FROM ({_STANDING})"
+_COMMENTS = f"""SELECT group_name, resource_type, monitored_environment, resource_name, piece, string_agg(line, '<br/>' ORDER BY section, line) AS comments
+    FROM (SELECT *, (row_number() OVER (PARTITION BY group_name, resource_type, monitored_environment, resource_name ORDER BY section, line) - 1)
+      // {H.JOINED_LINES} AS piece FROM ({_LINES})) GROUP BY 1, 2, 3, 4, 5"""
 
 
 def _noted(v: Views) -> DataFrame:
     return H.run_comments(_all_runs(v), _config(v))
 
 
-def _texts(v: Views) -> DataFrame:
-    health = H.resource_health(_all_runs(v), _config(v))
-    return H.comments(health, _noted(v))
+def _lines(v: Views) -> DataFrame:
+    return H.comment_lines(H.resource_health(_all_runs(v), _config(v)), _noted(v))
 
 
 add("agg5_str5_run_comments", _noted, _NOTED)
-add("str11_comments", _texts, _COMMENTS)
-add(  # resources with very many lines: none is lost
-    "str11_very_many_comments", lambda v: _texts(v).withColumn("lines", F.size(F.split("comments", "<br/>"))),
-    f"SELECT *, len(string_split(comments, '<br/>')) AS lines FROM ({_COMMENTS})",
+add("str11_comments", lambda v: H.comments(_lines(v)), _COMMENTS)
+add(  # resources with very many lines: none is lost, each text is bounded
+    "str11_very_many_comments", lambda v: H.comments(_lines(v)).withColumn("lines", F.size(F.split("comments", "<br/>"))).groupBy(*H.ENTRY).agg(
+        F.sum("lines").alias("lines"), F.max("lines").alias("longest")),
+    f"""SELECT group_name, resource_type, monitored_environment, resource_name, count(*)::BIGINT AS lines,
+        least(count(*), {H.JOINED_LINES})::INT AS longest FROM ({_LINES}) GROUP BY 1, 2, 3, 4""",
 )
 add(
     "str6_encode_fragment",
@@ -278,28 +280,28 @@ def _parts(v: Views):
     config, metrics = _config(v), v.all_metrics()
     runs = P.all_runs(metrics, START, END)
     health = H.resource_health(runs, config)
-    rows = P.generic_tables(H.group_summary(health), health, H.comments(health, H.run_comments(runs, config)))
+    rows = P.generic_tables(H.group_summary(health), health, H.comment_lines(health, H.run_comments(runs, config)))
     catalogs = _catalog_health(v)
     return rows, P.catalog_tables(H.catalog_summary(catalogs), catalogs)
 
 
 def _flat_rows(df: DataFrame) -> DataFrame:
-    return joined(df, "values", sep="|").drop("row_order")
+    return joined(df, "values", sep="|").drop("row_order", "line_text")
 
 
-_ROWS = f"""SELECT 1 AS section, group_name, resource_type, 0::BIGINT AS part, concat_ws('|', group_name, service_name,
+_ROWS = f"""SELECT 1 AS section, group_name, resource_type, 0 AS line_section, 'row' AS kind, concat_ws('|', group_name, service_name,
       total_executions, total_success, total_failures, total_warnings) AS values, status AS style, group_name AS k1, NULL AS k2 FROM (
       SELECT *, CASE WHEN total_failures > 0 THEN 'error' WHEN total_warnings > 0 THEN 'warning' ELSE 'ok' END AS status,
         map {{{', '.join(f"'{t}': '{n}'" for t, n in C.DISPLAY_NAMES.items())}}}[resource_type] AS service_name FROM (
         SELECT group_name, resource_type, sum(executions)::BIGINT AS total_executions, sum(success)::BIGINT AS total_success,
           sum(errors + insufficient_runs::INT)::BIGINT AS total_failures, sum(warnings)::BIGINT AS total_warnings
         FROM ({_health_sql()}) GROUP BY 1, 2))
-    UNION ALL SELECT 3, group_name, resource_type, coalesce(part, 0), resource_name || '|' || CASE WHEN coalesce(part, 0) = 0
-      THEN success || '|' || errors || '|' || warnings ELSE '||' END || '|' || coalesce(comments, ''), status, resource_name, monitored_environment
-    FROM ({_health_sql()}) h LEFT JOIN ({_COMMENTS}) t USING (group_name, resource_type, monitored_environment, resource_name)"""
-_CAT_ROWS = f"""SELECT 2 AS section, group_name, resource_type, 0::BIGINT AS part, concat_ws('|', group_name, service_name,
+    UNION ALL SELECT 3, group_name, resource_type, 0, 'row', concat_ws('|', resource_name, success, errors, warnings), status, resource_name, monitored_environment
+    FROM ({_health_sql()})
+    UNION ALL SELECT 3, group_name, resource_type, section, 'comment', line, NULL, resource_name, monitored_environment FROM ({_LINES})"""
+_CAT_ROWS = f"""SELECT 2 AS section, group_name, resource_type, 0 AS line_section, 'row' AS kind, concat_ws('|', group_name, service_name,
       {', '.join('total_' + m for m in H.CATALOG_MEASURES[3:] + H.CATALOG_MEASURES[:3])}) AS values, status AS style, group_name AS k1, NULL AS k2 FROM ({_CAT_SUMMARY})
-    UNION ALL SELECT 3, group_name, resource_type, 0, concat_ws('|', resource_name,
+    UNION ALL SELECT 3, group_name, resource_type, 0, 'row', concat_ws('|', resource_name,
       {', '.join(H.CATALOG_MEASURES[3:] + H.CATALOG_MEASURES[:3])}, comments), status, resource_name, monitored_environment FROM ({_CAT_HEALTH})"""
 add("rep1_generic_tables", lambda v: _flat_rows(_parts(v)[0]), f"SELECT * EXCLUDE (k1, k2) FROM ({_ROWS})")
 add("rep2_catalog_tables", lambda v: _flat_rows(_parts(v)[1]), f"SELECT * EXCLUDE (k1, k2) FROM ({_CAT_ROWS})")
@@ -318,45 +320,45 @@ def _reports(v: Views) -> DataFrame:
     return P.digest(v.all_metrics(), v.config(), v.recipients, v.delivery_methods, START, END)
 
 
-def _body_lines(reports: DataFrame) -> DataFrame:
-    """A report as text lines, in order."""
-    block = lambda b: F.when(b["text"].isNotNull(), F.array(F.concat(b["style"], F.lit("|"), b["text"]))).otherwise(
-        F.concat(F.array(F.array_join(b["header"], "|")),
-                 F.transform(b["rows"], lambda r: F.concat(r["style"], F.lit("|"), F.array_join(r["values"], "|"))))
-    )
-    return reports.withColumn("body", F.array_join(F.flatten(F.transform("message_body", block)), "\n"))
-
-
 _SUMMARY_HEAD, _RESOURCE_HEAD = "|".join(C.SUMMARY_HEADER), "|".join(C.RESOURCE_HEADER)
 _CSUMMARY_HEAD, _CRESOURCE_HEAD = "|".join(C.CATALOG_SUMMARY_HEADER), "|".join(C.CATALOG_RESOURCE_HEADER)
-_BODY_SQL = f"""WITH table_rows AS ({_ROWS} UNION ALL {_CAT_ROWS}),
-    aud AS (SELECT delivery_method, monitoring_groups, p, string_agg(recipient, ',' ORDER BY recipient) AS recipients FROM (
-        SELECT *, 0::BIGINT AS p FROM recipient_groups)
-      GROUP BY ALL),
-    mine AS (SELECT DISTINCT delivery_method, monitoring_groups, p, recipients, unnest(monitoring_groups) AS group_name FROM aud),
-    t AS (SELECT *, list_position([{', '.join(f"'{t}'" for t in C.RESOURCE_TYPES)}], resource_type) AS ord,
-        CASE WHEN section = 3 THEN group_name ELSE '' END AS g,
-        CASE WHEN section = 3 THEN list_position([{', '.join(f"'{t}'" for t in C.RESOURCE_TYPES)}], resource_type) ELSE 0 END AS o
-        FROM table_rows),
-    blocks AS (SELECT m.delivery_method, m.monitoring_groups, m.p, m.recipients, t.part, t.section, t.g, t.o,
-        CASE section WHEN 1 THEN '{_SUMMARY_HEAD}' WHEN 2 THEN '{_CSUMMARY_HEAD}' ELSE 'header|' || any_value(t.group_name) || ': '
-          || any_value(map {{{', '.join(f"'{t}': '{n}'" for t, n in C.DISPLAY_NAMES.items())}}}[resource_type]) || chr(10)
-          || CASE WHEN any_value(resource_type) = 'glue_catalogs' THEN '{_CRESOURCE_HEAD}' ELSE '{_RESOURCE_HEAD}' END END
-          || chr(10) || string_agg(style || '|' || values, chr(10) ORDER BY
-             k1, CASE WHEN section < 3 THEN ord::VARCHAR ELSE coalesce(k2, '') END) AS lines
-      FROM t JOIN mine m ON t.group_name = m.group_name
-      GROUP BY m.delivery_method, m.monitoring_groups, m.p, m.recipients, t.part, t.section, t.g, t.o)
-    SELECT delivery_method, array_to_string(monitoring_groups, ',') AS monitoring_groups, recipients, part,
-      CASE WHEN part = 0 THEN 'header|Digest Summary' || chr(10) || 'h11|This report has been generated for the period from January '
-        || '08, 2024 12:00 AM to January 22, 2024 12:00 AM.' || chr(10) ELSE '' END
-      || string_agg(lines, chr(10) ORDER BY section, g, o) AS body FROM blocks GROUP BY 1, 2, p, 3, 4"""
+_ORD = f"list_position([{', '.join(f'{chr(39)}{t}{chr(39)}' for t in C.RESOURCE_TYPES)}], resource_type)"
+_LINES_SQL = f"""WITH aud AS (SELECT delivery_method, monitoring_groups, (row_number() OVER (PARTITION BY delivery_method, monitoring_groups ORDER BY recipient) - 1)
+      // {M.RECIPIENTS} AS part, recipient FROM recipient_groups),
+    mine AS (SELECT DISTINCT delivery_method, monitoring_groups, unnest(monitoring_groups) AS group_name FROM aud),
+    t AS (SELECT m.delivery_method, m.monitoring_groups, section, CASE WHEN section = 3 THEN group_name ELSE '' END AS g,
+        CASE WHEN section = 3 THEN {_ORD} ELSE 0 END AS o, CASE WHEN section = 3 THEN resource_type END AS resource_type,
+        k1 || chr(0) || CASE WHEN section < 3 THEN ({_ORD} - 1)::VARCHAR ELSE coalesce(k2, '') END AS row_order, line_section, kind, values, style
+      FROM ({_ROWS} UNION ALL {_CAT_ROWS}) JOIN mine m USING (group_name)),
+    blocks AS (SELECT DISTINCT delivery_method, monitoring_groups, section, g, o, resource_type FROM t),
+    placed AS (
+      SELECT * EXCLUDE (resource_type) FROM t
+      UNION ALL SELECT delivery_method, monitoring_groups, section, g, o, '', -2, 'text', g || ': ' ||
+        map {{{', '.join(f"'{t}': '{n}'" for t, n in C.DISPLAY_NAMES.items())}}}[resource_type], 'header' FROM blocks WHERE section = 3
+      UNION ALL SELECT delivery_method, monitoring_groups, section, g, o, '', -1, 'header', CASE WHEN section = 1 THEN '{_SUMMARY_HEAD}'
+        WHEN section = 2 THEN '{_CSUMMARY_HEAD}' WHEN resource_type = 'glue_catalogs' THEN '{_CRESOURCE_HEAD}' ELSE '{_RESOURCE_HEAD}' END, NULL FROM blocks
+      UNION ALL SELECT DISTINCT delivery_method, monitoring_groups, 0, '', 0, '', -2, 'text', 'Digest Summary', 'header' FROM blocks
+      UNION ALL SELECT DISTINCT delivery_method, monitoring_groups, 0, '', 0, '', -1, 'text',
+        'This report has been generated for the period from January 08, 2024 12:00 AM to January 22, 2024 12:00 AM.', 'h11' FROM blocks)
+    SELECT delivery_method, monitoring_groups, row_number() OVER (PARTITION BY delivery_method, monitoring_groups
+        ORDER BY section, g, o, row_order, line_section, values, style NULLS FIRST) AS ordinal, kind, values, style FROM placed"""
+
+
+def _report_lines(v: Views) -> DataFrame:
+    """Every line of every report with its number."""
+    generic, catalogs = _parts(v)
+    audiences = settle(P.with_audience(M.group_recipients(v.recipients, v.delivery_methods)), "audiences")
+    lines = P.report_lines(generic.unionByName(catalogs), audiences, START, END)
+    who = audiences.select("audience", "delivery_method", "monitoring_groups").distinct()
+    return joined(joined(lines.join(who, "audience"), "values", sep="|"), "monitoring_groups").drop("audience")
 
 
 def _body_digests(reports: DataFrame) -> DataFrame:
     """Bodies as digests of their lines, in their order."""
-    return _body_lines(joined(reports, "recipients")).select(
-        "delivery_method", "recipients", "part", F.size(F.split("body", "\n")).alias("lines"),
-        F.md5("body").alias("digest"), "message_subject")
+    line = lambda b: F.concat_ws("|", b["kind"], b["style"], F.array_join(b["values"], "|"))
+    return joined(reports, "recipients").select(
+        "delivery_method", "recipients", "part", "piece", F.size("message_body").alias("lines"),
+        F.md5(F.array_join(F.transform("message_body", line), "\n")).alias("digest"), "message_subject")
 
 
 def _stored_digest(v: Views) -> DataFrame:
@@ -370,7 +372,13 @@ def _stored_digest(v: Views) -> DataFrame:
     return P.run_digest(v.spark, base, settings, v.inventory, END)
 
 
-_DIGESTS = f"""SELECT delivery_method, recipients, part, len(string_split(body, chr(10))) AS lines, md5(body) AS digest,
-    'Digest Report 2024-01-22' AS message_subject FROM ({_BODY_SQL})"""
+_DIGESTS = f"""SELECT delivery_method, recipients, part, piece, lines, digest, 'Digest Report 2024-01-22' AS message_subject FROM (
+      SELECT delivery_method, monitoring_groups, (ordinal - 1) // {P.LINES} AS piece, count(*)::INT AS lines,
+        md5(string_agg(concat_ws('|', kind, style, values), chr(10) ORDER BY ordinal)) AS digest FROM ({_LINES_SQL}) GROUP BY 1, 2, 3)
+    JOIN (SELECT delivery_method, monitoring_groups, part, string_agg(recipient, ',' ORDER BY recipient) AS recipients FROM (
+        SELECT *, (row_number() OVER (PARTITION BY delivery_method, monitoring_groups ORDER BY recipient) - 1) // {M.RECIPIENTS} AS part
+        FROM recipient_groups) GROUP BY 1, 2, 3) USING (delivery_method, monitoring_groups)"""
 add("rep3_rep4_reports", lambda v: _body_digests(_reports(v)), _DIGESTS)
+add("rep3_rep4_report_lines", _report_lines,
+    f"SELECT delivery_method, array_to_string(monitoring_groups, ',') AS monitoring_groups, ordinal, kind, values, style FROM ({_LINES_SQL})")
 add("j4_run_digest", lambda v: _body_digests(_stored_digest(v)), _DIGESTS)
