@@ -2,8 +2,8 @@
 
 Documents are measured with built-in functions only. Per host the share of documents that fail
 a rule is shrunk towards the corpus: the beta prior's mean and strength come from the first two
-moments of the hosts' shares (empirical Bayes), so a host with three documents is judged mostly
-by the corpus and a large one by itself. A host whose shrunk rate exceeds the limit is rejected
+moments of the hosts' shares (empirical Bayes), less what sampling alone spreads them, so a host with
+three documents is judged mostly by the corpus and a large one by itself. A host whose shrunk rate exceeds the limit is rejected
 with all its documents.
 
 Edge cases: a null text has no words and fails; a null host is a host of its own; repeated rows
@@ -84,26 +84,33 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return counts.withColumn("base_failed", base).withColumn("failed", base | more)
 
 
+def _prior() -> tuple[Column, Column]:
+    """Mean and strength of the beta prior from the sums over hosts (k, n, f, nn, ffn).
+
+    The weighted spread of shares is expected to be m (1 - m) ((k - 1) + r (n - nn / n - (k - 1))), r being the
+    correlation within a host; the strength is 1 / r - 1. Where hosts spread no more than sampling
+    does, or hold one document each, nothing tells them apart and the prior is as strong as its bound.
+    """
+    mean = F.col("f") / F.col("n")
+    between = (F.col("ffn") - F.col("f") * mean) / F.nullif(mean * (1 - mean), F.lit(0.0)) - (F.col("k") - 1)
+    room = F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1)
+    strength = F.when((between > 1e-9) & (room > 1e-9), room / between - 1).otherwise(STRENGTH[1])
+    return mean.alias("mean"), F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), strength)).alias("strength")
+
+
 def host_verdicts(measured: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
     """(host, n_docs, n_failed, rate, rejected) of every host."""
     hosts = measured.groupBy("host").agg(
         F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")
     )
-    share = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("mean"),
-        (F.sum(F.col("n_docs") * share * share) / F.sum("n_docs")).alias("square"),
-    )
-    spread = F.col("square") - F.col("mean") * F.col("mean")
-    strength = F.least(
-        F.lit(STRENGTH[1]),
-        F.greatest(
-            F.lit(STRENGTH[0]),
-            F.when(spread > 1e-12, F.col("mean") * (1 - F.col("mean")) / spread - 1).otherwise(STRENGTH[1]),
-        ),
-    )
-    prior = moments.select("mean", strength.alias("strength")).first()
-    mean, weight = prior["mean"] or 0.0, prior["strength"] or STRENGTH[0]
+    # Beta-binomial moments: the spread of the hosts' shares less what sampling alone gives them.
+    sums = hosts.agg(
+        F.count("*").alias("k"), *[F.sum(c).cast("double").alias(n) for n, c in (("n", F.col("n_docs")), ("f", F.col("n_failed")))],
+        F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("nn"),
+        F.sum(F.col("n_failed").cast("double") * F.col("n_failed") / F.col("n_docs")).alias("ffn"),
+    )
+    prior = sums.select(*_prior()).first()
+    mean, weight = prior["mean"] or 0.0, prior["strength"] or STRENGTH[1]
     rate = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
     return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > most_failing).alias("rejected"))
 

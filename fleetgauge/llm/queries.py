@@ -131,12 +131,14 @@ ruled AS (
   FROM counts),
 hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM ruled GROUP BY source),
-moments AS (
-  SELECT sum(f) / sum(n) AS mean, sum(n * (f / n) * (f / n)) / sum(n) AS square FROM hosts),
+sums AS (
+  SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(f)::DOUBLE AS f, sum(n::DOUBLE * n) AS nn, sum(f::DOUBLE * f / n) AS ffn FROM hosts),
+parts AS (
+  SELECT f / n AS mean, (ffn - f * (f / n)) / nullif(f / n * (1 - f / n), 0) - (k - 1) AS between_hosts, n - nn / n - (k - 1) AS room FROM sums),
 prior AS (
   SELECT mean, least({host_quality.STRENGTH[1]}, greatest({host_quality.STRENGTH[0]},
-    CASE WHEN square - mean * mean > 1e-12 THEN mean * (1 - mean) / (square - mean * mean) - 1 ELSE {host_quality.STRENGTH[1]} END)) AS strength
-  FROM moments),
+    CASE WHEN between_hosts > 1e-9 AND room > 1e-9 THEN room / between_hosts - 1 ELSE {host_quality.STRENGTH[1]} END)) AS strength
+  FROM parts),
 verdicts AS (
   SELECT source, (f + mean * strength) / (n + strength) > {host_quality.MOST_FAILING} AS rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
