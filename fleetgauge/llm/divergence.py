@@ -7,10 +7,10 @@ terms), and the terms in which a group stands out most from its language. All ar
 exact, in whole numbers.
 
 Strings are materialised late. A first pass over the texts, by Arrow kernels, writes what each
-slice of a batch holds of a term in a group. From there on only fixed-width digests of terms are
-counted and shuffled. The least and the greatest text of each digest tell whether it stands
-for several terms; the terms of such a digest get numbers of their own and are counted apart.
-Texts come back at the end, for the terms that are returned.
+part of a task's texts holds of a term in a group, with each text once. From there on only fixed-width
+digests of terms are counted and shuffled. The least and the greatest text of each digest tell
+whether it stands for several terms; the terms of such a digest get numbers of their own and are counted
+apart. Texts come back at the end, for the terms that are returned.
 
 The sums over all kept terms are worked out block by block: a block holds the counts of some
 terms of a language in all its groups, and gives one partial sum for each pair of sources. A
@@ -24,7 +24,7 @@ as documents each; an empty table gives an empty table; other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,26 +110,26 @@ def observed(docs: DataFrame, text_col: str, lang_col: str, source_col: str, hel
     return whole.mapInArrow(run, "lang string, source string, term string, n long, docs long, first boolean")
 
 
-def split_terms(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_terms(seen: DataFrame, again: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """`seen` with a term's number among those of its digest, and (digest, sub, term) of all terms.
 
-    Nearly every digest stands for one term, its least and its greatest text are the same, and
-    its number is 0. Only the texts of other digests are told apart.
+    `seen` holds texts in the rows marked `first` only. Nearly every digest stands for one term, its
+    least and its greatest text are the same, and its number is 0. Where some stand for more, their
+    rows are observed once more (`again`), with texts, and told apart.
     """
     bounds = settle(seen.where("first").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "terms")
-    shared = bounds.where("low <> high").select("digest")
-    apart = seen.where("first").join(shared, "digest", "left_semi").groupBy("digest", "term").agg(F.count("*").alias("rows"))
-    numbered = settle(
-        apart.select("digest", "term", F.row_number().over(Window.partitionBy("digest").orderBy("term")).cast("long").alias("sub")),
-        "shared",
-    )
-    several = numbered.select(F.col("digest").alias("d"), F.col("term").alias("t"), "sub")
-    with_sub = seen.join(several, (F.col("digest") == F.col("d")) & (F.col("term") == F.col("t")), "left")
     names = bounds.where("low = high").select("digest", F.lit(0).cast("long").alias("sub"), F.col("low").alias("term"))
-    return (
-        with_sub.select("lang", "source", "digest", F.coalesce("sub", F.lit(0).cast("long")).alias("sub"), "n", "docs"),
-        names.unionByName(numbered.select("digest", "sub", "term")),
-    )
+    shared = bounds.where("low <> high").select("digest")
+    columns = ["lang", "source", "digest", "sub", "n", "docs"]
+    single = seen.withColumn("sub", F.lit(0).cast("long"))
+    if shared.isEmpty():
+        return single.select(*columns), names
+    apart = seen.where("first").join(shared, "digest", "left_semi").select("digest", "term").distinct()
+    number = F.row_number().over(Window.partitionBy("digest").orderBy("term")).cast("long")
+    numbered = settle(apart.select("digest", "term", number.alias("sub")), "shared")
+    split = again().join(numbered, ["digest", "term"])
+    told = single.join(shared, "digest", "left_anti").select(*columns).unionByName(split.select(*columns))
+    return told, names.unionByName(numbered.select("digest", "sub", "term"))
 
 
 def share(count: Column, all_: Column, kept: Column) -> Column:
@@ -218,8 +218,9 @@ def audit(
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): parts `pair` and `term` of every group."""
     digest = F.xxhash64("term") if digest_bits == 64 else F.xxhash64("term").bitwiseAND((1 << digest_bits) - 1)
-    seen = settle(observed(docs, text_col, lang_col, source_col).withColumn("digest", digest), "observed")
-    told, names = split_terms(seen)
+    again = lambda: observed(docs, text_col, lang_col, source_col).withColumn("digest", digest)
+    seen = settle(again().withColumn("term", F.when(F.col("first"), F.col("term"))), "observed")
+    told, names = split_terms(seen, again)
     counts = told.groupBy("lang", "source", *TERM).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # All groups of a term meet, one row each, for its sums over the language.
     of_term = Window.partitionBy("lang", *TERM)
