@@ -55,6 +55,7 @@ def order_log(log: DataFrame) -> DataFrame:
     return log.orderBy(*OWNER, "ts", line_kind(F.col("message")), "message")
 
 
+_NO_NAME = "\x00"
 # Kind of a START that is open but no longer its stream's active one (see `still_open`).
 DORMANT = 0
 
@@ -68,7 +69,8 @@ def _lines(log: DataFrame, slice_minutes: int) -> DataFrame:
     if "revives" in log.columns:
         kind = F.when((kind == START) & ~F.col("revives"), DORMANT).otherwise(kind)
     return relevant_lines(log).filter(F.length("log_stream") > 0).select(
-        *OWNER,
+        # Never null, so that every branch of the plan reads and deals out the same lines, once.
+        *[F.coalesce(c, F.lit(_NO_NAME)).alias(c) for c in OWNER],
         F.coalesce("request_id", F.lit("")).alias("rid"),
         to_ms(F.col("ts")).alias("ts"),
         kind.alias("kind"),
@@ -165,7 +167,7 @@ def _adopt_orphans(placed: DataFrame) -> DataFrame:
     owned = seen.join(carried, SLICE, "left").withColumn("owner", F.coalesce("here", "before"))
     adopted = lambda mine, theirs: F.when(_orphan(), theirs).otherwise(mine)
     return owned.filter(~_orphan() | F.col("owner.open")).select(
-        *OWNER,
+        *[F.nullif(F.col(c), F.lit(_NO_NAME)).alias(c) for c in OWNER],
         adopted(F.col("rid"), F.col("owner.rid")).alias("rid"),
         adopted(F.col("attempt"), F.col("owner.attempt")).alias("attempt"),
         "ts", F.greatest("kind", F.lit(START)).alias("kind"), "message", (F.col("kind") != DORMANT).alias("revives"), "slice",
