@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # One token: a bracket class, or any single character (an unclosed bracket is literal).
-_TOKEN = r"(\[!?\]?[^\]]*\]|[\s\S])"
+_TOKEN = r"(\[!?+\]?+[^\]]*+\]|[\s\S])"
 
 
 def has_glob(pattern: Column) -> Column:
@@ -19,12 +19,22 @@ def has_glob(pattern: Column) -> Column:
 
 
 def _class(token: Column) -> Column:
+    """A bracket class. A range that runs backwards holds nothing."""
     body = F.substring(token, F.lit(2), F.length(token) - 2)
     negated = body.startswith("!")
     body = F.when(negated, F.substring(body, F.lit(2), F.length(body))).otherwise(body)
-    # Inside a Java class these would otherwise nest, intersect or negate.
-    body = F.regexp_replace(body, r"([\\\[\]&^])", r"\\$1")
-    return F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), body, F.lit("]"))
+    # Inside a Java class these would otherwise nest, intersect, negate or make ranges.
+    escaped = lambda c: F.regexp_replace(c, r"([\\\[\]&^-])", r"\\$1")
+    at = lambda t, i: F.substring(t, F.lit(i), F.lit(1))
+    members = F.transform(
+        F.regexp_extract_all(body, F.lit(r"([\s\S]-[\s\S]|[\s\S])"), F.lit(1)),
+        lambda t: F.when(F.length(t) == 1, escaped(t))
+        .when(at(t, 1) <= at(t, 3), F.concat(escaped(at(t, 1)), F.lit("-"), escaped(at(t, 3))))
+        .otherwise(""),
+    )
+    inside = F.array_join(members, "")
+    some = F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), inside, F.lit("]"))
+    return F.when(inside != "", some).when(negated, F.lit(".")).otherwise(F.lit("(?!)"))
 
 
 def _literal(token: Column) -> Column:
