@@ -5,7 +5,9 @@ Sources share a multiple of all words by weight; no target exceeds `cap` times i
 the same number of certain whole copies, its integer part, and one more copy to a sample. The
 sample is drawn by Pareto order: documents are ranked by the odds of a random number divided
 by their inclusion odds and taken from the top until the words that remain are reached, the
-last one where it brings the sum nearer. Inclusion odds follow an optional preference column.
+last one where it brings the sum nearer. Inclusion chances are in proportion to a preference:
+a column, or, without one, the number of binary digits of the document's size, so that of two
+documents the one of twice the size is a little likelier.
 
 A source of any size is many tasks: ranks are bucketed, bucket sums tell where the sample
 ends, and only the documents of that one bucket are put in order. The random number is a
@@ -78,10 +80,11 @@ def _measured(
     docs: DataFrame, id_col: str, text_col: str, source_col: str, preference_col: str | None
 ) -> dict[str, Column]:
     """What a decision needs of a document, under names of its own."""
-    wanted = F.col(preference_col).cast("double") if preference_col else F.lit(1.0)
+    size = n_words(F.col(text_col))
+    wanted = F.col(preference_col).cast("double") if preference_col else F.length(F.bin(size)).cast("double")
     return {
         "_mix_source": F.col(source_col),
-        "_mix_size": n_words(F.col(text_col)),
+        "_mix_size": size,
         "_mix_wanted": F.when(wanted > 0, wanted).otherwise(1.0),
         "_mix_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))),
         "_mix_u": uniform(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))),

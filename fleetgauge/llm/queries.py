@@ -182,10 +182,17 @@ targets AS (
 shares AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
+chances AS (
+  SELECT doc_id, d.source, size, u, source_size, target, certain, target - certain * source_size AS need,
+    least(1 - 1e-9::DOUBLE, (ratio - certain) * length(bin(size))::DOUBLE * greatest(source_size, 1)::DOUBLE
+      / greatest(sum(size * length(bin(size))) OVER (PARTITION BY d.source)::DOUBLE, 1e-9::DOUBLE)) AS c
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source),
+odds AS (
+  SELECT *, CASE WHEN c > 0 THEN (u / (1 - u)) / (c / (1 - c)) END AS o FROM chances),
 ranked AS (
-  SELECT doc_id, size, source_size, target, certain, target - certain * source_size AS need,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source)
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coalesce(o / (1 + o), 1), doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM odds)
 SELECT doc_id, size, source_size, target,
   ((certain + CASE WHEN need > 0 AND ahead + size / 2 <= need THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM ranked

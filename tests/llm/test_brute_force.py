@@ -264,3 +264,15 @@ def test_mix_follows_preferences(spark):
     assert abs(taken - got[0]["target"]) <= 7 and set(r["copies"] for r in got) == {0, 1}
     odd = sum(r["copies"] for r in got if r["doc_id"] % 2)
     assert odd > 2.5 * sum(r["copies"] for r in got if r["doc_id"] % 2 == 0)
+
+
+def test_mix_odds_are_unequal(spark):
+    """Without a preference column longer documents are likelier."""
+    from fleetgauge.llm import mixing
+
+    docs = spark.createDataFrame([(i, "w " * (2 if i % 2 else 200), "s") for i in range(4000)], "doc_id long, text string, source string")
+    got = mixing.plan_mix(docs, total=0.4).collect()
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 200
+    long, short = (sum(r["copies"] for r in got if r["doc_id"] % 2 == k) for k in (0, 1))
+    # Chances are as 8 to 2 binary digits.
+    assert 3 < long / short < 5.5
