@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Fixed value: the pattern of byte-level vocabularies that cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker remembers before it starts afresh.
-MEMORY = 500_000
+MEMORY = 200_000
 #: Bytes up to which a word is merged without a heap.
 SHORT = 40
 #: Code points of text encoded at a time, unless one text has more.
@@ -233,7 +234,7 @@ def vocabulary(path: str) -> Vocabulary:
 def in_batches(batch: pa.RecordBatch, text_col: int):
     """Slices of a batch with a bounded number of bytes, a row at least."""
     start, held = 0, 0
-    for i, n in enumerate(batch.column(text_col).to_pandas().str.len().fillna(0).tolist()):
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_pylist()):
         if held and held + n > BATCH_CHARS:
             yield batch.slice(start, i - start)
             start, held = i, 0

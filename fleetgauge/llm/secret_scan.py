@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.common import map_rows
+from fleetgauge.llm.common import in_slices, map_rows
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "credential")
@@ -219,7 +219,7 @@ def redact(docs: DataFrame, least_cost: float = LEAST_COST, text_col: str = "tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, at)):
             texts = pa.array([redacted(t, least_cost) for t in batch.column(at).to_pylist()], batch.schema.types[at])
             yield batch.set_column(at, batch.schema.field(at), texts)
 

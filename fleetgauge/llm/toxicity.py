@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import cut, fit_logistic
+from fleetgauge.llm.common import cut, fit_logistic, in_slices
 
 #: Labelled rows the model is fitted on, at most.
 MAX_TRAINING_ROWS = 20_000
@@ -257,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
 
     def measured(batches):
         lexicon = FuzzyLexicon(terms)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 0)):
             x = [features(t, lexicon) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: tuple[list[str], list[float]]) -> DataFrame:
 
     def run(batches):
         lexicon, w = FuzzyLexicon(terms), np.array(weights)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 2)):
             s = _scores(batch.column(2).to_pylist(), lexicon, w)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
@@ -300,6 +300,7 @@ def without_toxic(docs: DataFrame, model: tuple[list[str], list[float]]) -> Data
     def run(batches):
         lexicon, w = FuzzyLexicon(terms), np.array(weights)
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), lexicon, w) < 0.5))
+            for part in in_slices(batch, at):
+                yield part.filter(pa.array(_scores(part.column(at).to_pylist(), lexicon, w) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
