@@ -10,7 +10,7 @@ the rows the trees are fitted on. Accepted candidates that overlap no pattern sp
 of kind `likely`.
 
 The trees learn from candidates of the corpus whose label is certain (a pattern span with a
-right check is personal, one with a wrong checksum or range is not), a bounded sample of them,
+right check is personal, one with a wrong checksum or range is not), all of them,
 and from a rule-made list of typical contexts; checks themselves are no features.
 
 Edge cases: a null text is empty; a corpus without labelled candidates leaves the rule-made
@@ -24,6 +24,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +37,13 @@ from fleetgauge.llm.common import cut, fit_logistic, map_rows
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "likely")
-#: Labelled candidates of the corpus the trees are fitted on, at most.
-MAX_TRAINING_ROWS = 20_000
+#: Distinct labelled descriptions that are fitted on the driver; tasks add up the sums over more.
+GATHERED = 20_000
 #: Share of accepted candidates that must be right on unseen rows.
 PRECISION = 0.95
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
+#: Whole units of a slope in sums, and steps of a score.
+UNITS, STEPS = 1 << 24, 1024
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -268,74 +271,173 @@ class Trees:
     shift: float = 0.0
     threshold: float = 2.0
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
+    def nodes(self, x: np.ndarray, tree: int, depth: int = DEPTH) -> np.ndarray:
+        """The node of a tree in which each row is at a depth."""
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            node = 2 * node + 1 + (x[rows, self.feature[tree][node]] > self.cut[tree][node])
+        return node
+
+    def grown(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """What a tree adds to each row."""
+        return self.leaf[tree][self.nodes(x, tree) - self.feature.shape[1]]
+
+    def total(self, x: np.ndarray, trees: int) -> np.ndarray:
+        """Sum of the first trees."""
         out = np.full(len(x), self.start)
-        rows = np.arange(len(x))
-        for f, c, leaf in zip(self.feature, self.cut, self.leaf):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[rows, f[node]] > c[node])
-            out += leaf[node - len(f)]
+        for t in range(trees):
+            out += self.grown(x, t)
         return out
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """Scores in whole steps, so that a corpus of any size has a bounded number of them."""
+        return np.rint(self.total(x, len(self.leaf)) * STEPS) / STEPS
+
     def chance(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))
+        return self.chance_of(self.raw(x))
+
+    def chance_of(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
+
+
+def feature_cuts(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Cuts of a feature: quantiles of its values, each counted `times`."""
+    order = np.argsort(values, kind="stable")
+    values, ends = values[order], np.cumsum(times[order])
+    at = np.linspace(0, 1, BINS + 1)[1:-1] * (ends[-1] - 1)
+    low = np.floor(at)
+    below = values[np.searchsorted(ends, low, side="right")]
+    above = values[np.searchsorted(ends, np.minimum(low + 1, ends[-1] - 1), side="right")]
+    return np.unique(below + (at - low) * (above - below))
+
+
+def level_sums(x: np.ndarray, y: np.ndarray, times: np.ndarray, cuts: list, model: Trees, tree: int, depth: int, value: np.ndarray) -> np.ndarray:
+    """[rows, slope, curve] by (node of the level, feature, bin), in whole units: parts add up to the same in any order."""
+    p = 1 / (1 + np.exp(-value))
+    node = model.nodes(x, tree, depth) - (2**depth - 1)
+    out = np.zeros((3, 2**depth, len(cuts), BINS), np.int64)
+    parts = (times, times * np.rint((y - p) * UNITS), times * np.rint(p * (1 - p) * UNITS))
+    for f, c in enumerate(cuts):
+        at = node * BINS + np.searchsorted(c, x[:, f], side="left")
+        for k, part in enumerate(parts):
+            out[k, :, f] = np.bincount(at, part, 2**depth * BINS).astype(np.int64).reshape(-1, BINS)
+    return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
-    """Fit trees by binned greedy splits."""
+def boost(cuts: list, share: float, sums: Callable[[Trees, int, int], np.ndarray], trees: int = TREES) -> Trees:
+    """Fit trees by binned greedy splits; `sums` gives the sums of a level of a tree over all rows."""
     inner = 2**DEPTH - 1
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)], axis=1)
-    share = float(np.clip(y.mean(), 0.01, 0.99))
+    share = float(np.clip(share, 0.01, 0.99))
     model = Trees(
         float(np.log(share / (1 - share))), np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
     )
-    value = np.full(len(y), model.start)
     for t in range(trees):
-        p = 1 / (1 + np.exp(-value))
-        grad, hess = y - p, p * (1 - p)
-        node = np.zeros(len(y), np.int64)
         for depth in range(DEPTH):
-            for n in range(2**depth - 1, 2 ** (depth + 1) - 1):
-                here = np.flatnonzero(node == n)
-                best = (1e-6, 0, np.inf)
-                if len(here) >= 20:
-                    g, h = grad[here].sum(), hess[here].sum()
+            level = sums(model, t, depth)
+            for i, n in enumerate(range(2**depth - 1, 2 ** (depth + 1) - 1)):
+                rows, grad, hess = level[0, i], level[1, i] / UNITS, level[2, i] / UNITS
+                g, h = grad[0].sum(), hess[0].sum()
+                best, left = (1e-6, 0, np.inf), (g, h)
+                if rows[0].sum() >= 20:
                     for f, c in enumerate(cuts):
                         if not len(c):
                             continue
-                        bins = binned[here, f]
-                        gl = np.cumsum(np.bincount(bins, grad[here], len(c) + 1))[:-1]
-                        hl = np.cumsum(np.bincount(bins, hess[here], len(c) + 1))[:-1]
+                        gl, hl = np.cumsum(grad[f])[: len(c)], np.cumsum(hess[f])[: len(c)]
                         gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
                         at = int(gain.argmax())
                         if gain[at] > best[0]:
-                            best = (float(gain[at]), f, float(c[at]))
+                            best, left = (float(gain[at]), f, float(c[at])), (gl[at], hl[at])
                 _, model.feature[t, n], model.cut[t, n] = best
-                node[here] = 2 * n + 1 + (x[here, best[1]] > best[2])
-        leaves = node - inner
-        g, h = np.bincount(leaves, grad, inner + 1), np.bincount(leaves, hess, inner + 1)
-        model.leaf[t] = RATE * g / (h + 1)
-        value += model.leaf[t][leaves]
+                if depth == DEPTH - 1:
+                    model.leaf[t, 2 * i] = RATE * left[0] / (left[1] + 1)
+                    model.leaf[t, 2 * i + 1] = RATE * (g - left[0]) / (h - left[1] + 1)
     return model
 
 
-def train(x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> Trees:
-    """Trees on three quarters of the descriptions, calibration and threshold on the rest."""
-    unseen = held_out(x)
-    model = boost(x[~unseen], y[~unseen])
-    raw, truth = model.raw(x[unseen]), y[unseen]
-    model.shift, model.slope = fit_logistic(np.column_stack([np.ones(len(raw)), raw]), truth, ridge=1e-3)
-    chance = model.chance(x[unseen])
+def calibrate(model: Trees, raw: np.ndarray, truth: np.ndarray, times: np.ndarray, precision: float = PRECISION) -> Trees:
+    """Logistic calibration and threshold from all rows that no tree has seen, by score and label."""
+    model.shift, model.slope = fit_logistic(np.column_stack([np.ones(len(raw)), raw]), truth, ridge=1e-3, times=times)
+    chance = model.chance_of(raw)
     order = np.argsort(-chance, kind="stable")
-    right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
+    right = np.cumsum((truth * times)[order]) / np.cumsum(times[order])
     last = np.append(chance[order][1:] != chance[order][:-1], True)
     fit = np.flatnonzero((right >= precision) & last)
     model.threshold = float(max(0.5, chance[order][fit[-1]])) if len(fit) else 2.0
     return model
 
 
+def by_score(model: Trees, x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, label, rows), one each."""
+    pairs, at = np.unique(np.column_stack([model.raw(x), y]), axis=0, return_inverse=True)
+    return pairs[:, 0], pairs[:, 1], np.bincount(at.ravel(), times, len(pairs))
+
+
+def train(x: np.ndarray, y: np.ndarray, precision: float = PRECISION, times: np.ndarray | None = None) -> Trees:
+    """Trees on three quarters of the descriptions, calibration and threshold on the rest; a row counts `times`."""
+    times = np.ones(len(y)) if times is None else times
+    unseen = held_out(x)
+    fx, fy, ft = x[~unseen], y[~unseen], times[~unseen]
+    cuts, value = [feature_cuts(c, ft) for c in fx.T], np.zeros(len(fy))
+
+    def sums(model: Trees, tree: int, depth: int) -> np.ndarray:
+        if depth == 0:
+            value[:] = value + model.grown(fx, tree - 1) if tree else model.start
+        return level_sums(fx, fy, ft, cuts, model, tree, depth, value)
+
+    model = boost(cuts, (fy * ft).sum() / ft.sum(), sums)
+    return calibrate(model, *by_score(model, x[unseen], y[unseen], times[unseen]), precision)
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float)
+    y, times = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", "times"))
+    return x.reshape(len(y), -1), y, times
+
+
+def train_by_tasks(counted: DataFrame, x: np.ndarray, y: np.ndarray) -> Trees:
+    """What `train` does over the rows of `counted` (x, label, times, unseen) and the given ones, with the sums of rows worked out by tasks.
+
+    The driver holds sums by node, feature and bin, counts of a feature's values and counts by score.
+    """
+    unseen = held_out(x)
+    fx, fy, ones = x[~unseen], y[~unseen], np.ones(len(y))
+    fitted, kept = counted.where("NOT unseen"), counted.where("unseen")
+    seen = fitted.select("times", F.posexplode("x")).groupBy("pos", "col").agg(F.sum("times").alias("n")).toArrow().to_pydict()
+    pos, col, n = (np.array(seen[c], float) for c in ("pos", "col", "n"))
+    cuts = [
+        feature_cuts(np.append(v, col[pos == f]), np.append(np.ones(len(v)), n[pos == f])) for f, v in enumerate(fx.T)
+    ]
+    counts = fitted.agg(F.sum(F.col("label") * F.col("times")), F.sum("times")).first()
+
+    def sums(model: Trees, tree: int, depth: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((3, 2**depth, len(cuts), BINS), np.int64)
+            for batch in batches:
+                bx, by, times = _arrays(batch)
+                total += level_sums(bx, by, times, cuts, model, tree, depth, model.total(bx, tree))
+            flat = total.reshape(3, -1)
+            at = np.flatnonzero(flat[0])
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (at, *flat[:, at])], names=["at", "n", "g", "h"])
+
+        added = fitted.mapInArrow(run, "at long, n long, g long, h long").groupBy("at").agg(F.sum("n"), F.sum("g"), F.sum("h")).collect()
+        total = level_sums(fx, fy, ones[: len(fy)], cuts, model, tree, depth, model.total(fx, tree))
+        for at, *parts in added:
+            total.reshape(3, -1)[:, at] += parts
+        return total
+
+    model = boost(cuts, (fy.sum() + (counts[0] or 0)) / (len(fy) + (counts[1] or 0)), sums)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in by_score(model, *_arrays(batch))], names=["raw", "label", "times"])
+
+    held = kept.mapInArrow(scores, "raw double, label double, times double").groupBy("raw", "label").agg(F.sum("times").alias("times")).toArrow()
+    parts = zip(by_score(model, x[unseen], y[unseen], ones[unseen]), (held.column(c).to_numpy() for c in ("raw", "label", "times")))
+    raw, truth, times = (np.concatenate(p) for p in parts)
+    order = np.lexsort((truth, raw))
+    return calibrate(model, raw[order], truth[order], times[order])
+
+
 _CANDIDATE = T.StructType(
     [
         T.StructField("start", T.LongType()),
@@ -344,6 +446,14 @@ _CANDIDATE = T.StructType(
         T.StructField("x", T.ArrayType(T.FloatType())),
     ]
 )
+_COUNTED = T.StructType(
+    [
+        T.StructField("x", T.ArrayType(T.FloatType())),
+        T.StructField("label", T.IntegerType()),
+        T.StructField("times", T.LongType()),
+        T.StructField("unseen", T.BooleanType()),
+    ]
+)
 _PROPOSED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -377,24 +487,50 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), one, _PROPOSED)
 
 
-def learn(proposed: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Trees:
-    """Fit on a bounded sample of labelled candidates and the rule-made list.
+def learn(proposed: DataFrame, max_rows: int | None = None, gathered: int = GATHERED) -> Trees:
+    """Fit on all labelled candidates and the rule-made list; on a sample of `max_rows` only where a caller asks for one.
 
-    The sample is those of least hash; a bound on the hash, which more than enough rows meet, keeps
-    what tasks send from growing with their number.
+    Candidates of one description and label are one row that counts as often as there are any. Up to
+    `gathered` such rows are fitted on the driver; the sums over more are added up by tasks, with the same result.
     """
-    labelled = (
-        proposed.select("doc_id", F.explode("candidates").alias("c")).where("c.label >= 0")
-        .select("c.x", "c.label", F.xxhash64("doc_id", "c.start", "c.end").alias("h"))
-    )
+    labelled = proposed.select("doc_id", F.explode("candidates").alias("c")).where("c.label >= 0")
+    x, y = typical()
+    if max_rows is not None:
+        rows = _least(labelled, max_rows)
+        x += [list(r["x"]) for r in rows]
+        y += [r["label"] for r in rows]
+        return train(np.array(x, np.float32).astype(float), np.array(y, float))
+    counted = cut(_counted(labelled))
+    x, y = np.array(x, np.float32).astype(float), np.array(y, float)
+    if len(counted.select("times").take(gathered + 1)) > gathered:
+        return train_by_tasks(counted, x, y)
+    rows = counted.collect()
+    if not rows:
+        return train(x, y)
+    more = np.array([r["x"] for r in rows], np.float32).astype(float)
+    return train(
+        np.concatenate([x, more]), np.append(y, [float(r["label"]) for r in rows]), times=np.append(np.ones(len(y)), [float(r["times"]) for r in rows])
+    )
+
+
+def _counted(labelled: DataFrame) -> DataFrame:
+    """(x, label, times, unseen): each description and label once; `unseen` ones are held out."""
+
+    def one(x, label, times):
+        return x, label, times, bool(held_out(np.array([x], np.float32))[0])
+
+    counts = labelled.groupBy(F.col("c.x").alias("x"), F.col("c.label").alias("label")).agg(F.count(F.lit(1)).alias("times"))
+    return map_rows(counts, one, _COUNTED)
+
+
+def _least(labelled: DataFrame, max_rows: int) -> list:
+    """The sample of least hash; a bound on the hash, which more than enough rows meet, keeps
+    what tasks send from growing with their number."""
+    labelled = labelled.select("c.x", "c.label", F.xxhash64("doc_id", "c.start", "c.end").alias("h"))
     share = (max_rows + 10 * max_rows**0.5 + 100) / max(1, labelled.count())
     if share < 1:
         labelled = labelled.where(F.col("h") < int(share * 2**64) - 2**63)
-    rows = labelled.orderBy("h", "x", "label").limit(max_rows).collect()
-    x, y = typical()
-    x += [list(r["x"]) for r in rows]
-    y += [r["label"] for r in rows]
-    return train(np.array(x, np.float32).astype(float), np.array(y, float))
+    return labelled.orderBy("h", "x", "label").limit(max_rows).collect()
 
 
 def select(candidates_: list[dict], base: list[tuple[int, int, int]], model: Trees) -> list[tuple[int, int, int]]:

@@ -92,6 +92,31 @@ def test_sample_of_candidates_is_the_one_of_least_hash(spark):
     assert got.threshold == want.threshold and (got.leaf == want.leaf).all()
 
 
+def _checked_numbers(spark, n):
+    return pii.propose(spark.createDataFrame([(i, f"{'card ' * (i % 3)}4{i:015d} or {'x' * (i % 11)} 9.9.{i % 300}.1") for i in range(n)], "doc_id long, text string"))
+
+
+def test_trees_are_fitted_on_every_labelled_candidate(spark):
+    """A label of many rows that come last by hash weighs as much as its rows."""
+    proposed = _checked_numbers(spark, 400).localCheckpoint()
+    rows = proposed.selectExpr("explode(candidates) c").where("c.label >= 0").selectExpr("c.x x", "c.label y").collect()
+    x, y = pii.typical()
+    want = pii.train(np.array(x + [list(r["x"]) for r in rows], np.float32).astype(float), np.array(y + [r["y"] for r in rows], float))
+    got = pii.learn(proposed)
+    assert (got.feature == want.feature).all() and (got.leaf == want.leaf).all()
+    assert got.threshold == pytest.approx(want.threshold)
+    assert not (pii.learn(proposed, 50).leaf == got.leaf).all()
+
+
+def test_sums_of_tasks_give_the_same_trees(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TREES", 3)
+    monkeypatch.setattr(pii.boost, "__defaults__", (3,))
+    proposed = _checked_numbers(spark, 200).localCheckpoint()
+    on_driver, by_tasks = pii.learn(proposed), pii.learn(proposed, gathered=2)
+    assert (on_driver.feature == by_tasks.feature).all() and (on_driver.cut == by_tasks.cut).all() and (on_driver.leaf == by_tasks.leaf).all()
+    assert by_tasks.threshold == pytest.approx(on_driver.threshold) and by_tasks.start == pytest.approx(on_driver.start)
+
+
 @pytest.mark.parametrize("piece", ["Aa ", "A-", "Calle ", "Mr ", "1 Aa ", "1 ", "1. ", "@a", "a[at]", "1 rue de ", "Aa AaB ", "May 1 ", "x", "(1)"])
 def test_long_texts_take_time_in_proportion(piece):
     text = piece * (300_000 // len(piece)) + "aB"
