@@ -6,10 +6,9 @@ lost executor or a restart leaves one copy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.ordinals import numbered
 from fleetgauge.sources.files import exists
 
 
@@ -42,29 +41,23 @@ def _counters_path(base: str, batch_id: int) -> str:
     return f"{base.rstrip('/')}/outbox_counters/version={batch_id % 2}"
 
 
-def numbered_outbox(notifications: DataFrame, before: DataFrame) -> DataFrame:
-    """Messages with `sequence_number`: dense in each message group, from one after its counter on."""
-    order = ["event_time", "message_key"]
-    inside = numbered(notifications, ["message_group_id"], order, "_number")
-    known = before.select(F.col("message_group_id").alias("_counted"), "last_number")
-    return inside.join(known, F.col("message_group_id").eqNullSafe(F.col("_counted")), "left").select(
-        *notifications.columns, (F.coalesce("last_number", F.lit(0)) + F.col("_number")).alias("sequence_number")
-    )
+def counters_before(spark: SparkSession, base: str, batch_id: int) -> DataFrame:
+    """The last number of each message group (message_group_id, last_number) before a batch."""
+    if batch_id > 0 and exists(spark, _counters_path(base, batch_id - 1)):
+        return spark.read.schema(COUNTERS_DDL).parquet(_counters_path(base, batch_id - 1))
+    return spark.createDataFrame([], COUNTERS_DDL)
 
 
-def write_notifications(notifications: DataFrame, base: str, batch_id: int) -> None:
-    """Messages of one batch, ordered and numbered inside their groups, on from the batch before.
+def write_notifications(numbered: DataFrame, before: DataFrame, base: str, batch_id: int) -> None:
+    """Messages of one batch, numbered inside their groups on from the batch before, and the counters after it.
 
     The counters lie beside the outbox in two versions that batches write in turn, after
     their messages: a repeated batch starts from the counters of the batch before it and gives the
     same numbers. Readers sort a group by its number over all batches; there is no gap in it.
     """
-    spark = notifications.sparkSession
-    before = spark.createDataFrame([], COUNTERS_DDL)
-    if batch_id > 0 and exists(spark, _counters_path(base, batch_id - 1)):
-        before = spark.read.schema(COUNTERS_DDL).parquet(_counters_path(base, batch_id - 1))
+    spark = numbered.sparkSession
     path = _batch_path(base, "outbox", batch_id)
-    ordered_outbox(numbered_outbox(notifications, before)).write.mode("overwrite").parquet(path)
+    numbered.write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path).select("message_group_id", F.col("sequence_number").alias("last_number"))
     counters = before.unionByName(written).groupBy("message_group_id").agg(F.max("last_number").alias("last_number"))
     counters.write.mode("overwrite").parquet(_counters_path(base, batch_id))

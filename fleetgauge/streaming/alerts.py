@@ -10,11 +10,11 @@ from fleetgauge import schemas
 from fleetgauge.operators.classify import event_errors
 from fleetgauge.operators.explore import alerts_timeline
 from fleetgauge.plans.alerting import (
-    AlertConfig, alert_events, alert_log, classified, matches_for, notifications,
+    AlertConfig, alert_events, alert_log, classified, laid_deliveries, matches_for, numbered_notifications,
 )
 from fleetgauge.session import settle
 from fleetgauge.sources.events import read_events
-from fleetgauge.sources.sinks import write_alert_log, write_event_errors, write_notifications
+from fleetgauge.sources.sinks import counters_before, write_alert_log, write_event_errors, write_notifications
 
 
 def run_once(writer) -> StreamingQuery:
@@ -34,15 +34,20 @@ def run_alerts(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         known = classified(batch, config).persist()
+        held = [known]
         try:
             # Small and used several times: worked out once, its size is then known without counting.
             matches = settle(matches_for(known, config), "matches")
             alerts = alert_events(known, matches)
             write_alert_log(alert_log(alerts), out, batch_id)
-            write_notifications(notifications(alerts, matches, config), out, batch_id)
+            deliveries = laid_deliveries(matches, config).persist()
+            held.append(deliveries)
+            before = counters_before(spark, out, batch_id)
+            write_notifications(numbered_notifications(alerts, matches, deliveries, before), before, out, batch_id)
             write_event_errors(event_errors(known), out, batch_id)
         finally:
-            known.unpersist()
+            for df in held:
+                df.unpersist()
 
     events = read_events(spark, source, streaming=True, prefix=config.prefix, max_files=max_files)
     return run_once(

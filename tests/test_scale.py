@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import in_slices
 from fleetgauge.operators import matching as M
+from fleetgauge.plans import alerting as A
+from fleetgauge.session import settle
 from fleetgauge.sources.events import known_sources, parse_envelope
 
 
@@ -78,3 +80,59 @@ def test_text_batches_are_taken_in_bounded_slices():
     assert sum(parts, []) == batch.column(0).to_pylist()
     assert parts == [["é" * 10, None], ["b" * 30], ["c", ""], ["d" * 5]]
     assert [p.num_rows for p in in_slices(batch, 0)] == [6] and list(in_slices(batch.slice(0, 0), 0)) == []
+
+
+def _alerts_and_deliveries(spark, monkeypatch, hot):
+    matches = settle(spark.createDataFrame([("glue_jobs", n, "g") for n in ("a", "b", "é")] + [("step_functions", "a", "g"), ("glue_jobs", "a", "h")],
+                                           "resource_type string, resource_name string, group_name string"))
+    recipients = spark.createDataFrame(
+        [(f"r{i:03}", ["mail", "sms"][i % 2], [("g", True, False)] if i < 130 else [("h", True, False)]) for i in range(140)],
+        "recipient string, delivery_method string, subscriptions array<struct<monitoring_group: string, alerts: boolean, digest: boolean>>")
+    methods = spark.createDataFrame([("mail", "SES"), ("sms", "SNS"), ("sms", "SMS")], "name string, delivery_method_type string")
+    monkeypatch.setattr(A, "with_message", lambda df: df.withColumns({"message_subject": F.lit("s"), "message_body": F.array(F.lit("b"))}))
+    rows = [("glue_jobs", "a", i // 7, f"e{i // 2}") for i in range(hot)] + [("step_functions", "a", 3, "x"), ("glue_jobs", "b", 1, "y"), ("glue_jobs", "no", 1, "z")]
+    alerts = spark.createDataFrame([(t, n, at, e, True) for t, n, at, e in rows], "resource_type string, resource_name string, event_time long, event string, is_alertable boolean")
+    config = A.AlertConfig(None, None, recipients, methods)
+    return alerts, matches, config, A.laid_deliveries(matches, config).persist()
+
+
+def test_messages_numbered_by_event_equal_the_notifications(spark, monkeypatch):
+    """Numbers are dense in a group that several kinds, ranges and repeated events share, and go on from the last one."""
+    alerts, matches, config, deliveries = _alerts_and_deliveries(spark, monkeypatch, 400)
+    last = spark.createDataFrame([("a", 10), (None, 5)], "message_group_id string, last_number long")
+    found = A.numbered_notifications(alerts, matches, deliveries, last)
+    plain = A.notifications(alerts, matches, config)
+    assert sorted(map(repr, found.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    rows = sorted(found.collect(), key=lambda r: r["sequence_number"])
+    assert {r["resource_type"] for r in rows if r["message_group_id"] == "a"} == {"glue_jobs", "step_functions"}
+    for group, before in (("a", 10), ("b", 0)):
+        mine = [r for r in rows if r["message_group_id"] == group]
+        assert [r["sequence_number"] for r in mine] == list(range(before + 1, before + 1 + len(mine)))
+        assert [r["event_time"] for r in mine] == sorted(r["event_time"] for r in mine)
+    deliveries.unpersist()
+
+
+def test_numbering_moves_no_recipients(spark, monkeypatch):
+    """Deliveries stay where they were laid; only those of groups in several ranges are sent along."""
+    alerts, matches, config, deliveries = _alerts_and_deliveries(spark, monkeypatch, 5)
+    monkeypatch.setattr(A, "_tasks", lambda m: 3)
+    laid = A.laid_deliveries(matches, config).persist()
+    laid.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = A.numbered_notifications(alerts, matches, laid, spark.createDataFrame([], "message_group_id string, last_number long"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    first = plan[: plan.index("InMemoryTableScan")].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    above, at = [], depth(plan.splitlines()[len(first) - 1])
+    for line in reversed(first[:-1]):
+        if depth(line) < at:
+            above, at = [*above, line], depth(line)
+    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above), plan
+    assert found.count() == found.select("message_group_id", "sequence_number").distinct().count() > 20
+    for df in (deliveries, laid):
+        df.unpersist()
