@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import in_slices
+from fleetgauge.operators import health as H
 from fleetgauge.operators import matching as M
 from fleetgauge.plans import alerting as A
 from fleetgauge.session import settle
+from workbench.registry import in_emitted_order
 from fleetgauge.sources.events import known_sources, parse_envelope
 
 
@@ -136,3 +138,32 @@ def test_numbering_moves_no_recipients(spark, monkeypatch):
     assert found.count() == found.select("message_group_id", "sequence_number").distinct().count() > 20
     for df in (deliveries, laid):
         df.unpersist()
+
+
+def test_runs_meet_limits_and_not_every_entry(spark):
+    """A run of a resource in fifty groups with two limits is counted twice on the way, and whole in each group."""
+    config = spark.createDataFrame(
+        [(f"g{i}" if i else None, "glue_jobs", "e", "j", "1", "r", [None, 5][i % 2], 0, i) for i in range(50)],
+        "group_name string, resource_type string, monitored_environment string, name string, account_id string, region_name string, "
+        "sla_seconds int, minimum_number_of_runs int, entry_order long")
+    runs = spark.createDataFrame([("glue_jobs", "e", "j", 1, 0, 1, float(s), 0) for s in range(10)],
+        "resource_type string, monitored_environment string, resource_name string, execution long, failed long, succeeded long, "
+        "execution_time_sec double, failed_attempts long")
+    for match_env in (True, False):
+        moved = []
+        joined = H._with_config
+        H._with_config = lambda *a: moved.append(joined(*a)) or moved[-1]
+        try:
+            health = H.resource_health(runs, config, match_env).collect()
+        finally:
+            H._with_config = joined
+        assert moved[0].count() == 20
+        assert len(health) == 50 and all(r["executions"] == (10 if r["group_name"] else 0) for r in health)
+        assert all(r["warnings"] == (4 if r["sla_seconds"] else 0) for r in health if r["group_name"])
+
+
+def test_order_check_moves_keys_alone(spark):
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id", "IF(id = 700, 3, id) AS k", "repeat('x', 50) AS wide")
+    marked = in_emitted_order(rows, [], ["k"])
+    assert [r["id"] for r in marked.filter("NOT in_order").collect()] == [700] and marked.count() == 1000
+    assert "Window" not in _plan(marked) and marked.columns == ["id", "k", "wide", "in_order"]
