@@ -1,12 +1,17 @@
 """Work that must not be repeated or moved more often than needed."""
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
+from fleetgauge import session
 from fleetgauge.llm.common import in_slices
 from fleetgauge.operators import health as H
 from fleetgauge.operators import matching as M
+from fleetgauge.operators import ordinals as O
 from fleetgauge.plans import alerting as A
-from fleetgauge.session import settle
+from fleetgauge.plans import digest as P
+from fleetgauge.session import bounded_broadcast, settle
 from workbench.registry import in_emitted_order
 from fleetgauge.sources.events import known_sources, parse_envelope
 
@@ -167,3 +172,65 @@ def test_order_check_moves_keys_alone(spark):
     marked = in_emitted_order(rows, [], ["k"])
     assert [r["id"] for r in marked.filter("NOT in_order").collect()] == [700] and marked.count() == 1000
     assert "Window" not in _plan(marked) and marked.columns == ["id", "k", "wide", "in_order"]
+
+
+def _physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_files_make_look_few_are_counted_before_they_are_sent(spark):
+    text = F.concat(F.repeat(F.lit("x"), F.lit(100)), F.col("id").cast("string"))
+    wide = settle(spark.range(300_000).select(text.alias("key")))
+    assert 2 << 20 < session.estimated_bytes(wide) < 16 << 20
+    assert "Broadcast" not in _physical(wide.join(bounded_broadcast(wide.withColumn("n", F.lit(1))), "key"))
+    few = settle(spark.range(400_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))).filter("key < 'k2'").limit(10)
+    assert "BroadcastHashJoin" in _physical(wide.join(bounded_broadcast(few), "key"))
+
+
+def test_names_and_grams_are_never_sent_and_patterns_only_where_they_are_few(spark, monkeypatch):
+    monkeypatch.setattr(session, "is_small", lambda *a: False, raising=False)
+    monkeypatch.setattr(M, "is_small", lambda *a: False, raising=False)
+    names = settle(spark.createDataFrame([("t", f"job-{i}") for i in range(300)], "kind string, name string"))
+    written = ["job-1*", "job-?", "*", "job-77", "none*", "*-2[0-4]"]
+    patterns = settle(spark.createDataFrame([("t", p) for p in written], "kind string, pattern string"))
+    found = M.glob_join(names, patterns, "name", "pattern", ["kind"])
+    assert "Broadcast" not in _physical(found)
+    sizes = dict(found.groupBy("pattern").count().collect())
+    assert sizes == {"job-1*": 111, "job-?": 10, "*": 300, "job-77": 1, "*-2[0-4]": 5}
+
+
+def test_numbers_send_their_offsets_only_where_groups_are_few(spark, monkeypatch):
+    monkeypatch.setattr(session, "is_small", lambda *a: False, raising=False)
+    rows = settle(spark.range(200).select((F.col("id") % 7).alias("g"), "id"))
+    numbered = O.numbered(rows, ["g"], ["id"])
+    assert "Broadcast" not in _physical(numbered)
+    assert numbered.filter(F.col("ordinal") != F.floor(F.col("id") / 7) + 1).count() == 0
+
+
+def test_rows_of_a_report_are_worked_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = """section int, group_name string, resource_type string, row_order string, line_section int, line_text string,
+        kind string, values array<string>, style string"""
+    rows = spark.createDataFrame([(3, "g", "glue_jobs", f"r{i}", 0, "", "row", [f"r{i}"], "ok") for i in range(6)], schema).mapInArrow(seen, schema)
+    audiences = spark.createDataFrame([("a", ["g", "h"]), ("b", ["g", "g"]), ("c", ["k"])], "audience string, monitoring_groups array<string>")
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    lines = P.report_lines(rows, audiences, at, at).collect()
+    assert sorted((r["audience"], r["ordinal"]) for r in lines) == [(a, i) for a in "ab" for i in range(1, 11)]
+    assert read.value == 6
+
+
+def test_matching_entries_are_worked_out_once(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(M, "settle", lambda df, label="settled": labels.append(label) or settle(df, label))
+    schema = "group_name string, resource_type string, name string, monitored_environment string, sla_seconds int, minimum_number_of_runs int, entry_order bigint"
+    monitored = spark.createDataFrame([("g", "t", "a*", "e", 1, 1, 1), ("h", "t", "b*", "e", 1, 1, 2), (None, "t", "c", "e", 1, 1, 3)], schema)
+    inventory = spark.createDataFrame([("t", "e", n) for n in ("a1", "a2", None)], "resource_type string, monitored_environment string, name string")
+    got = sorted(M.expand_wildcards(monitored, inventory).select("group_name", "name", "resolved").collect(), key=repr)
+    assert got == sorted([("g", "a1", True), ("g", "a2", True), ("h", "b*", False), (None, "c", False)], key=repr)
+    assert labels.count("kept") == 1
