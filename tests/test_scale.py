@@ -4,6 +4,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from fleetgauge import constants as C
 from fleetgauge import session
 from fleetgauge.llm.common import in_slices
 from fleetgauge.operators import health as H
@@ -13,6 +14,7 @@ from fleetgauge.plans import alerting as A
 from fleetgauge.plans import digest as P
 from fleetgauge.session import bounded_broadcast, settle
 from workbench.registry import in_emitted_order
+from fleetgauge.sources import tables as TB
 from fleetgauge.sources.events import known_sources, parse_envelope
 
 
@@ -234,3 +236,20 @@ def test_matching_entries_are_worked_out_once(spark, monkeypatch):
     got = sorted(M.expand_wildcards(monitored, inventory).select("group_name", "name", "resolved").collect(), key=repr)
     assert got == sorted([("g", "a1", True), ("g", "a2", True), ("h", "b*", False), (None, "c", False)], key=repr)
     assert labels.count("kept") == 1
+
+
+def test_known_records_are_told_by_keys_alone_and_sent_only_where_few(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(session, "is_small", lambda *a: False, raising=False)
+    monkeypatch.setattr(TB, "is_small", lambda *a: False, raising=False)
+    monkeypatch.setattr(TB, "settle", lambda df, label="settled": plans.append(_physical(df)) or settle(df, label), raising=False)
+    schema = "monitored_environment string, resource_name string, job_run_id string, time timestamp, error_message string"
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    keys = [("e", "a", "r1"), (None, "a", "r1"), ("e", None, None), ("e", "b", "r2")]
+    stored = settle(spark.createDataFrame([(*k, at, "old") for k in keys[:3]], schema))
+    new = settle(spark.createDataFrame([(*k, at, "text") for k in keys + keys[3:]], schema))
+    left = TB.unseen(new, stored, C.GLUE_JOBS)
+    assert "Broadcast" not in "".join(plans) and "error_message" not in "".join(plans) and len(plans) == 1
+    assert "Broadcast" not in _physical(left)
+    assert [tuple(r)[:3] for r in left.collect()] == [("e", "b", "r2")]
+    assert TB.unseen(new, stored.limit(0), C.GLUE_JOBS).count() == 4
