@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed value: the pattern of byte-level vocabularies that cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words a worker remembers before it starts afresh.
+#: Words a worker remembers: half of them, and those that were met since the half before was full.
 MEMORY = 200_000
 #: Bytes up to which a word is merged without a heap.
 SHORT = 40
@@ -72,7 +72,10 @@ class Vocabulary:
         self.bytes_of = {i: t for t, i in self.id_of.items()}
         self.bytes_of |= {i: t.encode("utf-8") for t, i in self.added.items()}
         self.size = max(self.bytes_of) + 1
-        self.longest = max(map(len, self.id_of))
+        # Length of the longest token that begins with these three bytes.
+        self.reach: dict[bytes, int] = {}
+        for token in self.id_of:
+            self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 2))
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
         left = np.array([model[a] for a, _ in pairs], np.int64)
@@ -93,12 +96,14 @@ class Vocabulary:
         self.special = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         #: Word, or id of an added token, to its ids as packed 32-bit numbers.
         self.known: dict[str | int, bytes] = {}
+        #: The words before those: one that is met again is taken over, the others go.
+        self.older: dict[str | int, bytes] = {}
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        ids, at, n, id_of, longest = [], 0, len(word), self.id_of, self.longest
+        ids, at, n, id_of, reach = [], 0, len(word), self.id_of, self.reach
         while at < n:
-            for end in range(min(n, at + longest), at, -1):
+            for end in range(min(n, at + reach.get(word[at : at + 3], 2)), at, -1):
                 token = id_of.get(word[at:end])
                 if token is not None:
                     ids.append(token)
@@ -209,10 +214,13 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of every text."""
         pieces = [self._pieces(t or "") for t in texts]
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
+        if len(self.known) > MEMORY // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         new = set(chain.from_iterable(pieces)).difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        new -= again
         for token in [p for p in new if p.__class__ is int]:
             known[token] = array("I", [token]).tobytes()
             new.discard(token)
@@ -257,19 +265,19 @@ def encode(
         for whole in batches:
             for batch in in_batches(whole, 1):
                 doc_ids, texts = (c.to_pylist() for c in batch.columns)
-                rows = []
-                for doc_id, ids in zip(doc_ids, vocab.encode(texts)):
+                # Copies of a text, as a mix deals them out, are encoded once.
+                distinct = list(dict.fromkeys(texts))
+                found = {}
+                for text, ids in zip(distinct, vocab.encode(distinct)):
                     decoded = vocab.decode(ids).encode("utf-8")
                     packed = ids.astype("<u4").tobytes()
-                    rows.append(
-                        [
-                            doc_id,
-                            len(ids),
-                            hashlib.sha256(packed).hexdigest(),
-                            hashlib.sha256(decoded).hexdigest(),
-                            *[ids.tolist()] * with_ids,
-                        ]
-                    )
+                    found[text] = [
+                        len(ids),
+                        hashlib.sha256(packed).hexdigest(),
+                        hashlib.sha256(decoded).hexdigest(),
+                        *[ids.tolist()] * with_ids,
+                    ]
+                rows = [[doc_id, *found[text]] for doc_id, text in zip(doc_ids, texts)]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, arrow)], names=arrow.names
